@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -28,7 +28,6 @@ MAX_TRAINING_ROWS = 200_000
 # Centroids and codebooks are held by every task.
 MAX_MODEL_BYTES = 256 * 1024 * 1024
 LIST = "ivf_list"
-ROWS_PER_FILE = 1_000_000
 
 
 def training_sample(rows: DataFrame, n_clusters: int, total: int, seed: int) -> DataFrame:
@@ -81,8 +80,8 @@ class IvfIndex:
               seed: int = 42) -> IvfIndex:
         """Train, assign every row to its list and write the lists below ``path``.
 
-        A list that holds a large share of the rows is spread over several
-        tasks and files by a salt, in proportion to its measured size.
+        The rebalance hint splits a list that holds a large share of the rows
+        over several tasks and files, by measured size.
         """
         spark, metric = rows.sparkSession, resolve_metric(metric)
         filters = filter_columns or []
@@ -99,12 +98,8 @@ class IvfIndex:
         _check_model_size(centroids.size)
 
         assigned = cls._assign(usable, centroids, by_direction)
-        sizes = assigned.groupBy(LIST).count()
-        splits = sizes.select(LIST, F.ceil(F.col("count") / ROWS_PER_FILE).cast("int").alias("splits"))
-        salted = assigned.join(F.broadcast(splits), LIST).withColumn(
-            "_salt", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"))
         (
-            salted.repartition(LIST, "_salt").drop("splits", "_salt")
+            assigned.hint("rebalance", LIST)
             .sortWithinPartitions(LIST, "id")
             .write.partitionBy(LIST).parquet(f"{path}/lists")
         )
@@ -116,15 +111,13 @@ class IvfIndex:
     def _assign(rows: DataFrame, centroids: np.ndarray, by_direction: bool) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(centroids)
 
-        @F.pandas_udf("int")
-        def nearest(vectors):
-            points = np.array(vectors.tolist(), dtype=np.float64)
-            return_type = _nearest(_unit(points) if by_direction else points, shared.value)[:, 0]
-            import pandas as pd
+        @F.arrow_udf("int")
+        def nearest(vectors: pa.Array) -> pa.Array:
+            points = matrix(vectors).astype(np.float64)
+            numbers = _nearest(_unit(points) if by_direction else points, shared.value)[:, 0]
+            return pa.array(numbers.astype(np.int32))
 
-            return pd.Series(return_type.astype(np.int32), index=vectors.index)
-
-        return rows.withColumn(LIST, nearest("vector"))
+        return rows.withColumn(LIST, nearest(F.col("vector")))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> IvfIndex:
@@ -151,7 +144,8 @@ class IvfIndex:
         def search_block(block: QueryBlock) -> DataFrame:
             probes = self.probes(block.vectors, nprobe) if len(block) else np.zeros((0, 1), dtype=int)
             wanted = [int(n) for n in np.unique(probes)]
-            chosen = stored.filter(F.col(LIST).isin(wanted)).select(
+            pruned = stored if len(wanted) == self.n_lists else stored.filter(F.col(LIST).isin(wanted))
+            chosen = pruned.select(
                 "id", "vector", LIST, *QueryFilters(block).columns(layout))
 
             def plan(queries_in_task: QueryBlock):
@@ -237,12 +231,10 @@ def pq_encode(rows: DataFrame, model: PqModel, vector: str = "vector", out: str
     shared = rows.sparkSession.sparkContext.broadcast(model.codebooks)
     metric = model.metric
 
-    @F.pandas_udf("binary")
-    def encode(vectors):
-        import pandas as pd
-
-        codes = PqModel(shared.value, metric).encode_matrix(np.array(vectors.tolist(), dtype=np.float64))
-        return pd.Series([c.tobytes() for c in codes], index=vectors.index, dtype=object)
+    @F.arrow_udf("binary")
+    def encode(vectors: pa.Array) -> pa.Array:
+        codes = PqModel(shared.value, metric).encode_matrix(matrix(vectors).astype(np.float64))
+        return pa.array([c.tobytes() for c in codes], type=pa.binary())
 
     return rows.filter(F.col(vector).isNotNull()).withColumn(out, encode(F.col(vector)))
 
@@ -324,8 +316,6 @@ class LshIndex:
 
     @staticmethod
     def _hash(model: BucketedRandomProjectionLSHModel, featured: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
         hashed = model.transform(featured)
         numbers = F.transform("hashes", lambda h: vector_to_array(h)[0].cast("bigint"))
         return hashed.withColumn("buckets", numbers).drop("features", "hashes")
@@ -339,11 +329,10 @@ class LshIndex:
         query_type = queries.schema["query_id"].dataType
         id_type = self.hashed.schema["id"].dataType
         metric = self.metric
-        hashed_queries = self._hash(self.model, self._features(
-            queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")), metric))
-
+        shaped = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+        hashed_queries = self._hash(self.model, self._features(shaped, metric))
         carried = hashed_queries.select(
-            "query_id", F.concat("vector", F.transform("buckets", lambda b: b.cast("float"))).alias("vector"))
+            "query_id", F.concat("vector", F.transform("buckets", lambda b: b.cast("double"))).alias("vector"))
         n_tables = self.model.getNumHashTables()
 
         def search_block(both: QueryBlock) -> DataFrame:
