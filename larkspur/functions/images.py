@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 MIN_IMAGE_BYTES = 100
 MAX_IMAGE_BYTES = 50 * 1024 * 1024
@@ -93,6 +93,9 @@ def _number(content: Column, offset: int, length: int, little: bool = False) ->
     return F.when(F.length(piece) == length, total)
 
 
+_SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
+
+
 def _jpeg_frame_size(raw: bytes | None) -> tuple[int | None, int | None]:
     """Width and height from the first start-of-frame segment."""
     if not raw:
@@ -115,7 +118,7 @@ def _jpeg_frame_size(raw: bytes | None) -> tuple[int | None, int | None]:
     return None, None
 
 
-@F.pandas_udf("width int, height int")
+@F.pandas_udf(_SIZE)
 def _jpeg_size(content: pd.Series) -> pd.DataFrame:
     sizes = [_jpeg_frame_size(raw) for raw in content]
     return pd.DataFrame(sizes, columns=["width", "height"], dtype="Int32")

@@ -6,13 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Fixed value: where a sentence ends.
 SENTENCE_END = r"[.!?]\s+[A-Z]|[.!?]\n"
 
-CHUNK_TYPE = "array<struct<chunk_no:int,start:int,end:int,text:string>>"
-
 _sentence_end = re.compile(SENTENCE_END)
 
 
@@ -49,7 +47,7 @@ def chunk_text(text: Column, chunk_size: int = 500, compat: bool = False) -> Col
     if chunk_size < 1:
         raise ValueError("chunk_size must be at least 1")
 
-    @F.pandas_udf(CHUNK_TYPE)
+    @F.pandas_udf(T.ArrayType(_CHUNK))
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([chunk_list(t, chunk_size, compat) for t in batch], index=batch.index)
@@ -66,7 +64,13 @@ def explode_chunks(
     return chunked.select(*kept, "_c.chunk_no", "_c.start", "_c.end", F.col("_c.text").alias("text"))
 
 
-@F.udtf(returnType="chunk_no: int, start: int, end: int, text: string")
+_CHUNK = T.StructType([
+    T.StructField("chunk_no", T.IntegerType()), T.StructField("start", T.IntegerType()),
+    T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()),
+])
+
+
+@F.udtf(returnType=_CHUNK)
 class Chunks:
     """Table function form, for ``LATERAL chunks(text, size)`` in SQL."""
 

@@ -65,43 +65,41 @@ def exact_percentiles(rows: DataFrame, value: str, probabilities: list[float], b
     data = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     marks = [i / _RANGES for i in range(1, _RANGES)]
     splits = data.groupBy(*by).agg(F.percentile_approx("_v", marks, 2000).alias("_splits"))
-    ranged = data.join(splits, _null_safe(data, splits, by)).select(
-        *[data[c] for c in by],
-        F.size(F.filter("_splits", lambda s: s < F.col("_v"))).alias("_range"), "_v")
-    values = ranged.groupBy(*by, "_range", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = _join(data, splits, by).withColumn(
+        "_range", F.size(F.filter("_splits", lambda s: s < F.col("_v"))))
+    keys = [*by, "_range"]
+    values = ranged.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
 
-    ranges = values.groupBy(*by, "_range").agg(F.sum("_n").alias("_in_range"))
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    located = ranges.withColumn("_before", F.coalesce(F.sum("_in_range").over(ahead), F.lit(0))) \
-        .withColumn("_total", F.sum("_in_range").over(Window.partitionBy(*by)))
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    ranges = values.groupBy(*keys).agg(F.sum("_n").alias("_in_range")).withColumns({
+        "_before": F.coalesce(F.sum("_in_range").over(ahead), F.lit(0)),
+        "_total": F.sum("_in_range").over(Window.partitionBy(*by)),
+    })
     targets = (
-        located.withColumn("_p", F.explode(wanted))
+        ranges.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
         .withColumn("_at", F.col("_p") * (F.col("_total") - 1))
         .withColumn("_pos", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
         .filter((F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_in_range")))
-        .select(*by, "_range", "_before", "_p", "_at", "_pos")
     )
-    needed = targets.select(*by, "_range", "_before").distinct()
-    keys = [*by, "_range"]
-    close = values.join(needed, _null_safe(values, needed, keys)).select(
-        *[values[c] for c in keys], values["_v"], values["_n"], needed["_before"])
+    needed = targets.select(*keys, "_before").distinct()
     running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = close.withColumn("_lo", F.col("_before") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
-    condition = _null_safe(targets, placed, keys) & (targets["_pos"] >= placed["_lo"]) & (
-        targets["_pos"] < placed["_lo"] + placed["_n"])
-    hits = targets.join(placed, condition).select(*[targets[c] for c in by], "_p", "_at", "_pos", "_v")
+    placed = _join(values, needed, keys).select(
+        *keys, "_v", "_n", (F.col("_before") + F.coalesce(F.sum("_n").over(running), F.lit(0))).alias("_lo"))
+    hits = _join(targets.select(*keys, "_p", "_at", "_pos"), placed, keys).filter(
+        (F.col("_pos") >= F.col("_lo")) & (F.col("_pos") < F.col("_lo") + F.col("_n")))
     low, high = F.min_by("_v", "_pos"), F.max_by("_v", "_pos")
     each = hits.groupBy(*by, "_p").agg((low + (high - low) * F.max(F.col("_at") - F.floor("_at"))).alias("_q"))
     columns = [F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"p{p * 100:g}") for p in probabilities]
     return each.groupBy(*by).agg(*columns)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    condition = left[keys[0]].eqNullSafe(right[keys[0]])
-    for key in keys[1:]:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which null keys match; the keys of the right side are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_right_{key}"))
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def latency_stats(rows: DataFrame, value: str, by: list[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -117,8 +115,7 @@ def latency_stats(rows: DataFrame, value: str, by: list[str] | None = None, appr
         out = mean.withColumn("p50", F.col("_q")[0]).withColumn("p95", F.col("_q")[1])
     else:
         quantiles = exact_percentiles(keyed, value, [0.5, 0.95], keys)
-        out = mean.join(quantiles, _null_safe(mean, quantiles, keys), "left").select(
-            *[mean[c] for c in keys], "lat_ms_avg", "p50", "p95")
+        out = _join(mean, quantiles, keys, "left")
     return out.select(*(by or []), "lat_ms_avg", F.col("p50").alias("lat_ms_p50"), F.col("p95").alias("lat_ms_p95"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.links import image_file_name, image_url
 from larkspur.functions.payload import rfc3339_date
+from larkspur.session import stage
 
 
 def canonical_uuid(column: Column) -> Column:
@@ -150,6 +151,34 @@ def image_response(results: DataFrame) -> DataFrame:
     )
 
 
+def running_total(rows: DataFrame, key: str, weight: Column, out: str) -> DataFrame:
+    """Add the sum of ``weight`` over all rows with a smaller key.
+
+    Rows are range-partitioned by key; totals per range (one row each) give
+    the start of every range, so no task sees more than its own range.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weighted = rows.withColumn("_w", weight.cast("bigint"))
+    ranged = stage(weighted.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.sum("_w").alias("_sum"))
+    starts = totals.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranged.join(F.broadcast(starts), "_range")  # one row per range: at most spark.sql.shuffle.partitions rows
+        .withColumn(out, F.col("_start") + F.coalesce(F.sum("_w").over(within), F.lit(0)))
+        .drop("_w", "_range", "_start")
+    )
+
+
+def batch_numbers(keys: DataFrame, size: int, key: str = "key") -> DataFrame:
+    """Number of the batch of ``size`` keys, in key order, each key belongs to."""
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    numbered = running_total(keys, key, F.lit(1), "_no")
+    return numbered.withColumn("batch", F.floor(F.col("_no") / size).cast("bigint")).drop("_no")
+
+
 def cycle_documents(chunks: DataFrame, n_documents: int, n_chunks: int | None = None) -> DataFrame:
     """``n_documents`` documents, number ``i`` carrying the chunk ``i mod n_chunks``.
 

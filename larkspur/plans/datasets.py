@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from larkspur.functions.images import detect_image_format
 from larkspur.functions.links import photo_id_from_url
@@ -12,6 +12,7 @@ from larkspur.operators.collections import CollectionStore
 from larkspur.operators.embedding import IMAGE_POLICY, EmbedderFactory, EmbedPolicy, embed_images
 from larkspur.operators.relational import (
     cycle_documents, enrich_embeddings, first_rows, image_dataset, image_points, photo_metadata,
+    running_total,
 )
 from larkspur.operators.sinks import write_dataset, write_documents
 from larkspur.session import stage
@@ -76,14 +77,12 @@ def reembed_dataset(
 def book_chunks(books: DataFrame, chunk_size: int = 500, compat: bool = False) -> DataFrame:
     """Chunks of cleaned books ``book, text`` with a dense number over all books in order.
 
-    Numbers come from per-book totals (one row per book), not from a window
-    over all chunks.
+    Only one row per book takes part in the numbering, not every chunk.
     """
     cleaned = books.select("book", clean_book_text(F.col("text")).alias("text"))
     chunks = stage(explode_chunks(cleaned, "text", chunk_size, compat), "chunks")
     sizes = chunks.groupBy("book").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("book").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("book", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    offsets = running_total(sizes, "book", F.col("n"), "first").select("book", "first")
     return chunks.join(offsets, "book").select(
         (F.col("first") + F.col("chunk_no")).alias("chunk_no"), "book", "text")
 

@@ -45,16 +45,17 @@ def read_embedding_dataset(spark: SparkSession, path: str, columns: list[str] |
     return data.select(*columns) if columns else data
 
 
-def query_lines(files: DataFrame, limit: int = -1) -> DataFrame:
+def query_lines(files: DataFrame, limit: int = -1, keep: list[str] | None = None) -> DataFrame:
     """``query_id, query`` from rows of whole query files in ``value``.
 
     Lines are stripped, blank ones dropped, the file order kept; a negative
-    limit means all.
+    limit means all. ``keep`` names further columns of the file to keep.
     """
-    lines = files.select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "line"))
-    kept = lines.select("pos", strip(F.col("line")).alias("query")).filter(F.col("query") != "")
-    kept = kept.select(F.col("pos").cast("bigint").alias("query_id"), "query")
-    return kept if limit < 0 else kept.orderBy("query_id").limit(limit)
+    kept = keep or []
+    lines = files.select(*kept, F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "line"))
+    stripped = lines.select(*kept, F.col("pos").cast("bigint").alias("query_id"), strip(F.col("line")).alias("query"))
+    found = stripped.filter(F.col("query") != "")
+    return found if limit < 0 else found.orderBy(*kept, "query_id").limit(limit)
 
 
 def read_queries(spark: SparkSession, path: str, limit: int = -1) -> DataFrame:
