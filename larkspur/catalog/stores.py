@@ -227,7 +227,8 @@ def streamed_first_arrivals(spark, sf_dir):
 def streamed_event_keys(spark, sf_dir):
     """Users once each, with state bounded by a watermark longer than the data."""
     events = table(spark, sf_dir, "events")
-    stream = point_stream(spark, f"{sf_dir}/events*.parquet", events.schema).select("ts", F.col("user_id").alias("key"))
+    stream = point_stream(spark, f"{sf_dir}/events*.parquet", events.schema).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"))
     return _drained(spark, first_arrivals(stream, event_time="ts", delay="3650 days")).select("key")
 
 

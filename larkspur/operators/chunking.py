@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from larkspur.session import spread
+
 # Fixed value: where a sentence ends.
 SENTENCE_END = r"[.!?]\s+[A-Z]|[.!?]\n"
 
@@ -59,7 +61,7 @@ def explode_chunks(
     documents: DataFrame, text: str = "text", chunk_size: int = 500, compat: bool = False,
 ) -> DataFrame:
     """One row per chunk with the other columns of its document."""
-    chunked = documents.withColumn("_c", F.explode(chunk_text(F.col(text), chunk_size, compat)))
+    chunked = spread(documents).withColumn("_c", F.explode(chunk_text(F.col(text), chunk_size, compat)))
     kept = [c for c in documents.columns if c != text]
     return chunked.select(*kept, "_c.chunk_no", "_c.start", "_c.end", F.col("_c.text").alias("text"))
 

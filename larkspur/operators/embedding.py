@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from larkspur.session import spread
+
 BatchFunction = Callable[[Sequence], Sequence]
 EmbedderFactory = Callable[[], BatchFunction]
 
@@ -237,7 +239,7 @@ def embed_column(
     """
     factory = get_embedder(embedder)
     udf = _embed_struct(factory, policy, _task_interval(df.sparkSession, policy), _blank_text)
-    return _with_result(df, udf(F.col(column)), out)
+    return _with_result(spread(df), udf(F.col(column)), out)
 
 
 def embed_images(
@@ -247,7 +249,7 @@ def embed_images(
     """Add a vector for each image in a binary column; empty images are failed rows."""
     factory = get_embedder(embedder)
     udf = _embed_struct(factory, policy, _task_interval(df.sparkSession, policy), _empty_image)
-    return _with_result(df, udf(F.col(column)), out)
+    return _with_result(spread(df), udf(F.col(column)), out)
 
 
 def embed_image_text(
@@ -257,7 +259,7 @@ def embed_image_text(
     """Add a vector for each image with its text; both come from one row, so they always pair up."""
     factory = get_embedder(embedder)
     udf = _embed_pair_struct(factory, policy, _task_interval(df.sparkSession, policy))
-    return _with_result(df, udf(F.col(image), F.col(text)), out)
+    return _with_result(spread(df), udf(F.col(image), F.col(text)), out)
 
 
 _registry: dict[str, EmbedderFactory] = {}

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.errors import error_class
 
-_RANGES = 256
+# The sketch is off by at most 1 / _ACCURACY of the rows; the band is wider than that.
+_ACCURACY = 10_000
+_BAND = 5 / _ACCURACY
+_SMALL_GROUP = 10_000
 
 
 def summarize_run(results: DataFrame, elapsed_seconds: float | Column, by: list[str] | None = None) -> DataFrame:
@@ -57,38 +60,40 @@ def classify_errors(results: DataFrame, message: str = "error_message") -> DataF
 def exact_percentiles(rows: DataFrame, value: str, probabilities: list[float], by: list[str]) -> DataFrame:
     """Linear-interpolated percentiles per group, exact however large a group is.
 
-    A sketch gives rough split points per group, rows are counted by (group,
-    range, value) with map-side aggregation, and only the ranges that hold a
-    wanted position are ordered. A group holding most rows is thus spread over
-    its ranges instead of being sorted in one task.
+    A sketch bounds each percentile by a narrow band of values whose width
+    covers the sketch's error. Rows are then counted by (group, percentile,
+    value) with map-side aggregation: those below a band as one number, those
+    above not at all, and only the values inside it are put in order. Groups
+    of up to ``_SMALL_GROUP`` rows are one band.
     """
     data = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    marks = [i / _RANGES for i in range(1, _RANGES)]
-    splits = data.groupBy(*by).agg(F.percentile_approx("_v", marks, 2000).alias("_splits"))
-    ranged = _join(data, splits, by).withColumn(
-        "_range", F.size(F.filter("_splits", lambda s: s < F.col("_v"))))
-    keys = [*by, "_range"]
-    values = ranged.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-
-    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = values.groupBy(*keys).agg(F.sum("_n").alias("_in_range")).withColumns({
-        "_before": F.coalesce(F.sum("_in_range").over(ahead), F.lit(0)),
-        "_total": F.sum("_in_range").over(Window.partitionBy(*by)),
-    })
-    targets = (
-        ranges.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("_at", F.col("_p") * (F.col("_total") - 1))
-        .withColumn("_pos", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-        .filter((F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_in_range")))
+    marks = [min(1.0, max(0.0, p + side * _BAND)) for p in probabilities for side in (-1, 1)]
+    stats = data.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", marks, _ACCURACY).alias("_marks"))
+    small = F.col("_total") <= _SMALL_GROUP
+    limits = stats.select(*by, "_total", F.array(*[
+        F.struct(F.lit(float(p)).alias("p"),
+                 F.when(small, F.col("_min")).otherwise(F.col("_marks")[2 * i]).alias("lo"),
+                 F.when(small, F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]).alias("hi"))
+        for i, p in enumerate(probabilities)]).alias("_bands"))
+    keys = [*by, "_p"]
+    placed = (
+        _join(data, limits, by)
+        .select(*by, "_total", "_v", F.explode("_bands").alias("_band"))
+        .filter(F.col("_v") <= F.col("_band.hi"))
+        .groupBy(*by, "_total", F.col("_band.p").alias("_p"), F.when(F.col("_v") >= F.col("_band.lo"), F.col("_v")).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    needed = targets.select(*keys, "_before").distinct()
-    running = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = _join(values, needed, keys).select(
-        *keys, "_v", "_n", (F.col("_before") + F.coalesce(F.sum("_n").over(running), F.lit(0))).alias("_lo"))
-    hits = _join(targets.select(*keys, "_p", "_at", "_pos"), placed, keys).filter(
-        (F.col("_pos") >= F.col("_lo")) & (F.col("_pos") < F.col("_lo") + F.col("_n")))
-    low, high = F.min_by("_v", "_pos"), F.max_by("_v", "_pos")
-    each = hits.groupBy(*by, "_p").agg((low + (high - low) * F.max(F.col("_at") - F.floor("_at"))).alias("_q"))
+    ahead = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_value")).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_p") * (F.col("_total") - 1)
+    found = (
+        placed.withColumn("_lo", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+        .withColumn("_pos", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))))
+        .filter((F.col("_pos") >= F.col("_lo")) & (F.col("_pos") < F.col("_lo") + F.col("_n")))
+    )
+    low, high = F.min_by("_value", "_pos"), F.max_by("_value", "_pos")
+    each = found.groupBy(*keys).agg((low + (high - low) * F.max(at - F.floor(at))).alias("_q"))
     columns = [F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"p{p * 100:g}") for p in probabilities]
     return each.groupBy(*by).agg(*columns)
 

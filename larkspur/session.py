@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SPLIT_BYTES = 128 * 1024 * 1024
 
 _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -58,6 +59,20 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{scratch_root(spark)}/larkspur/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all slots for a costly per-row step on an input too small to fill them.
+
+    Inputs with fewer bytes than one scan split per slot are repartitioned;
+    larger ones already come in enough splits and are left alone.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(slots) if estimate < slots * SPLIT_BYTES else df
+
+
 def stage(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the scratch folder and read it back.
 
