@@ -12,9 +12,7 @@ from larkspur.functions.vectors import l2_normalise, norm, pad_ids, raw_similari
 from larkspur.operators.embedding import embed_column
 from larkspur.operators.ivf import IvfIndex, LshIndex, PqModel, pq_encode, search_pq
 from larkspur.operators.metrics import latency_stats, recall_at_k, result_ids
-from larkspur.operators.search import (
-    Layout, one_query, rank_results, result_page, search, search_batch, with_payload, with_total,
-)
+from larkspur.operators.search import Layout, result_page, search, search_batch, with_payload, with_total
 from larkspur.session import scratch_path, stage
 
 PLAIN = Layout(id="vec_id", vector="embedding", species="label")

@@ -13,12 +13,12 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from larkspur import files
 from larkspur.functions.vectors import resolve_metric
 from larkspur.operators.relational import latest_per_key, row_tiebreak
-from larkspur.session import stage
+from larkspur.session import MAX_BROADCAST_ROWS, stage
 
 BUCKET = "bucket"
 
@@ -186,19 +186,40 @@ class CollectionStore:
         except ConflictError:
             return self.manifest(name)
 
-    def _write_buckets(self, name: str, version: int, rows: DataFrame) -> str:
-        """Write rows below a new folder, one subfolder per bucket.
+    def _new_folder(self, version: int) -> str:
+        return f"folder=v{version:08d}-{uuid.uuid4().hex[:8]}"
 
-        The rebalance hint lets Spark split a large bucket over several tasks
-        and join small ones, so file sizes follow the advisory partition size.
+    def _write(self, name: str, folder: str, rows: DataFrame) -> None:
+        """Add rows that are already laid out by bucket to a folder, one subfolder per bucket."""
+        rows.sortWithinPartitions(BUCKET, "id").write.mode("append").partitionBy(BUCKET).parquet(
+            f"{self._home(name)}/data/{folder}")
+
+    def _replace_rows(self, name: str, folder: str, old: DataFrame, ids: DataFrame, n_ids: int,
+                      incoming: DataFrame | None, n_buckets: int) -> None:
+        """Write the old rows without the given ids, and the incoming rows, to a new folder.
+
+        A counted small set of ids is broadcast: old rows are then filtered
+        and rewritten where they are read, without a shuffle, and only the
+        incoming rows move. Otherwise old rows, incoming rows and ids meet in
+        one shuffle by bucket and a salt of the id, and the newest row per id
+        is kept inside that layout.
         """
-        folder = f"folder=v{version:08d}-{uuid.uuid4().hex[:8]}"
-        (
-            rows.hint("rebalance", BUCKET)
-            .sortWithinPartitions(BUCKET, "id")
-            .write.partitionBy(BUCKET).parquet(f"{self._home(name)}/data/{folder}")
-        )
-        return folder
+        if n_ids <= MAX_BROADCAST_ROWS:
+            self._write(name, folder, old.join(F.broadcast(ids), [BUCKET, "id"], "left_anti"))
+            if incoming is not None:
+                self._write(name, folder, incoming.hint("rebalance", BUCKET))
+            return
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), n_buckets)
+        salt = F.pmod(F.hash("id"), F.lit(-(-parts // n_buckets)))
+        fresh = ids if incoming is None else incoming
+        both = old.withColumn("_new", F.lit(False)).unionByName(
+            fresh.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+        placed = both.withColumn("_salt", salt).repartition(parts, BUCKET, "_salt")
+        newest = Window.partitionBy(BUCKET, "_salt", "id").orderBy(F.desc("_new"))
+        kept = placed.withColumn("_n", F.row_number().over(newest)).filter("_n = 1")
+        if incoming is None:
+            kept = kept.filter("not _new")
+        self._write(name, folder, kept.drop("_new", "_salt", "_n"))
 
     def _buckets_in(self, name: str, folder: str) -> set[int]:
         entries = files.names(self.spark, f"{self._home(name)}/data/{folder}")
@@ -216,19 +237,25 @@ class CollectionStore:
         return json.dumps(T.StructType([*fields, T.StructField(BUCKET, T.IntegerType())]).jsonValue())
 
     def load(self, name: str, points: DataFrame, dim: int, metric: str = "cosine", n_buckets: int = 64,
-             order_by: str | None = None) -> int:
-        """Bulk load into a new collection in one job and return the number of points.
+             order_by: str | None = None, distinct_ids: bool = False) -> int:
+        """Bulk load into a new collection and return the number of points.
 
-        The load builds no index: call ``build_index`` afterwards.
+        The rebalance hint lets Spark split a large bucket over several tasks
+        and join small ones. With ``distinct_ids`` the caller vouches that no
+        id comes twice, which saves the shuffle that keeps one row per id. The
+        load builds no index: call ``build_index`` afterwards.
         """
         manifest = self.create(name, dim, metric, n_buckets)
         if manifest.folders:
             self.upsert(name, points, order_by)
             return self.count(name)
-        good = self._checked(points, manifest).filter("_reason is null").drop("_reason")
-        rows = collapse_duplicates(good, order_by).withColumn(BUCKET, bucket_of(F.col("id"), n_buckets))
+        rows = self._checked(points, manifest).filter("_reason is null").drop("_reason")
+        if not distinct_ids:
+            rows = collapse_duplicates(rows, order_by)
+        rows = rows.withColumn(BUCKET, bucket_of(F.col("id"), n_buckets))
         version = manifest.version + 1
-        folder = self._write_buckets(name, version, rows)
+        folder = self._new_folder(version)
+        self._write(name, folder, rows.hint("rebalance", BUCKET))
         folders = {str(b): folder for b in self._buckets_in(name, folder)}
         self._publish(replace(manifest, version=version, folders=folders, schema=self._stored_schema(rows)))
         return self.count(name)
@@ -250,6 +277,7 @@ class CollectionStore:
             for r in staged.groupBy(BUCKET, F.col("_reason").isNull().alias("good")).count().collect()
         }
         touched = {b for b, good in counts if good}
+        written = sum(n for (_, good), n in counts.items() if good)
         refused = sum(n for (_, good), n in counts.items() if not good)
         rejected = staged.filter("_reason is not null").select("id", F.col("_reason").alias("reason"))
         applied = {**manifest.applied, **({batch[0]: batch[1]} if batch else {})}
@@ -258,31 +286,35 @@ class CollectionStore:
                 self._publish(replace(manifest, version=manifest.version + 1, applied=applied))
             return WriteReport(manifest.version, 0, refused, rejected)
 
-        incoming = collapse_duplicates(staged.filter("_reason is null").drop("_reason"), order_by)
-        old = self._read_buckets(manifest, touched)
-        rows = incoming
-        if manifest.folders:
-            ids = staged.filter("_reason is null").select(BUCKET, "id").distinct()
-            kept = old.join(ids, [BUCKET, "id"], "left_anti")
-            rows = kept.unionByName(incoming, allowMissingColumns=True)
+        good = staged.filter("_reason is null").drop("_reason")
+        incoming = collapse_duplicates(good, order_by)
         version = manifest.version + 1
-        folder = self._write_buckets(name, version, rows)
+        folder = self._new_folder(version)
+        old_buckets = touched & {int(b) for b in manifest.folders}
+        schema = self._stored_schema(incoming)
+        if old_buckets:
+            old = self._read_buckets(manifest, old_buckets)
+            schema = self._stored_schema(old.unionByName(incoming, allowMissingColumns=True))
+            self._replace_rows(name, folder, old, good.select(BUCKET, "id"), written, incoming, manifest.n_buckets)
+        else:
+            self._write(name, folder, incoming.hint("rebalance", BUCKET))
         folders = {**manifest.folders, **{str(b): folder for b in touched}}
-        self._publish(replace(manifest, version=version, folders=folders,
-                              schema=self._stored_schema(rows), applied=applied))
-        return WriteReport(version, sum(n for (_, good), n in counts.items() if good), refused, rejected)
+        self._publish(replace(manifest, version=version, folders=folders, schema=schema, applied=applied))
+        return WriteReport(version, written, refused, rejected)
 
     def delete(self, name: str, ids: DataFrame) -> int:
         """Remove the points with the given ids (column ``id``); unknown ids are ignored."""
         manifest = self.manifest(name)
-        gone = stage(ids.select("id").distinct().withColumn(BUCKET, bucket_of(F.col("id"), manifest.n_buckets)), "delete")
-        present = {int(b) for b in manifest.folders}
-        touched = {r[BUCKET] for r in gone.select(BUCKET).distinct().collect()} & present
+        gone = stage(ids.select("id").filter("id is not null").withColumn(
+            BUCKET, bucket_of(F.col("id"), manifest.n_buckets)), "delete")
+        counts = {r[BUCKET]: r["count"] for r in gone.groupBy(BUCKET).count().collect()}
+        touched = set(counts) & {int(b) for b in manifest.folders}
         if not touched:
             return manifest.version
-        rows = self._read_buckets(manifest, touched).join(gone, [BUCKET, "id"], "left_anti")
         version = manifest.version + 1
-        folder = self._write_buckets(name, version, rows)
+        folder = self._new_folder(version)
+        self._replace_rows(name, folder, self._read_buckets(manifest, touched), gone, sum(counts.values()), None,
+                           manifest.n_buckets)
         left = self._buckets_in(name, folder)
         folders = {b: f for b, f in manifest.folders.items() if int(b) not in touched}
         folders.update({str(b): folder for b in left})

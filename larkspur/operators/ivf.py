@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from larkspur import files
 from larkspur.functions.vectors import l2_normalise, resolve_metric, similarity
 from larkspur.operators.scoring import QueryBlock, TopK, matrix, sortable
-from larkspur.operators.search import Layout, QueryFilters, for_each_block, rank_results, scan_top_k
+from larkspur.operators.search import (
+    MAX_PUSHED_VALUES, Layout, QueryFilters, for_each_block, rank_results, scan_top_k, share,
+)
+from larkspur.session import small_side, stage
 
 MAX_TRAINING_ROWS = 200_000
 # Centroids and codebooks are held by every task.
@@ -145,8 +149,9 @@ class IvfIndex:
             probes = self.probes(block.vectors, nprobe) if len(block) else np.zeros((0, 1), dtype=int)
             wanted = [int(n) for n in np.unique(probes)]
             pruned = stored if len(wanted) == self.n_lists else stored.filter(F.col(LIST).isin(wanted))
-            chosen = pruned.select(
-                "id", "vector", LIST, *QueryFilters(block).columns(layout))
+            filters = QueryFilters(block)
+            chosen = pruned.filter(filters.scan_condition(layout)).select(
+                "id", "vector", LIST, *filters.columns(layout))
 
             def plan(queries_in_task: QueryBlock):
                 filters = QueryFilters(queries_in_task)
@@ -251,7 +256,7 @@ def search_pq(coded: DataFrame, queries: DataFrame, model: PqModel, k: int = 10,
     width = k * refine if vectors is not None else k
 
     def search_block(block: QueryBlock) -> DataFrame:
-        shared = slim.sparkSession.sparkContext.broadcast((block.ids, model.tables(block.vectors)))
+        shared = share(slim.sparkSession, (block.ids, model.tables(block.vectors)))
         arrow_query, arrow_id = to_arrow_type(query_type), to_arrow_type(id_type)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +291,7 @@ def search_pq(coded: DataFrame, queries: DataFrame, model: PqModel, k: int = 10,
         return found
     full = vectors.select("id", F.col("vector").alias("_row"))
     wanted = queries.select("query_id", F.col("vector").alias("_query"))
-    pairs = full.join(found.select("query_id", "id"), "id").join(wanted, "query_id")
+    pairs = full.join(small_side(found.select("query_id", "id"), "candidates"), "id").join(wanted, "query_id")
     exact = pairs.select("query_id", "id", similarity(F.col("_query"), F.col("_row"), model.metric).alias("score"))
     return rank_results(exact, k)
 
@@ -307,7 +312,7 @@ class LshIndex:
                                           bucketLength=bucket_length, numHashTables=tables)
         featured = cls._features(shaped, metric)
         model = lsh.fit(featured)
-        return cls(model, cls._hash(model, featured), metric)
+        return cls(model, stage(cls._hash(model, featured), "lsh"), metric)
 
     @staticmethod
     def _features(rows: DataFrame, metric: str) -> DataFrame:
@@ -340,6 +345,10 @@ class LshIndex:
             query_buckets = both.vectors[:, split:].astype(np.int64)
             block = QueryBlock(both.ids, both.vectors[:, :split])
             rows = self.hashed.select("id", "vector", "buckets")
+            used = [sorted(set(query_buckets[:, t].tolist())) for t in range(n_tables)]
+            if sum(map(len, used)) <= MAX_PUSHED_VALUES:
+                shares = [F.col("buckets")[t].isin(values) for t, values in enumerate(used)]
+                rows = rows.filter(reduce(lambda a, b: a | b, shares))
 
             def plan(queries_in_task: QueryBlock):
                 every = np.arange(len(queries_in_task))

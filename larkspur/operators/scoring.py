@@ -35,11 +35,22 @@ class QueryBlock:
     def __len__(self) -> int:
         return len(self.ids)
 
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a non-null list column of equal lengths as a matrix, without copying the values."""
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(column), -1)
+    @property
+    def dim(self) -> int:
+        return self.vectors.shape[1]
+
+
+def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """Rows of a non-null list column as a matrix, without copying the values.
+
+    Rows must have the same length, ``dim`` when it is given.
+    """
+    lengths = np.diff(column.offsets.to_numpy())
+    dim = dim if dim is not None else int(lengths[0]) if len(lengths) else 0
+    if (lengths != dim).any():
+        wrong = int(lengths[lengths != dim][0])
+        raise ValueError(f"vector with {wrong} dimensions among vectors with {dim}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def sortable(column: pa.Array) -> np.ndarray:

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from larkspur.functions.predicates import all_of, in_box, in_dates, in_months, month_number, species_is
 from larkspur.functions.vectors import resolve_metric
 from larkspur.operators.scoring import QueryBlock, Scorer, TopK, matrix, score_rows, sortable
-from larkspur.session import scratch_path
+from larkspur.session import scratch_path, small_side
 
 # A block of queries is held in memory by every task, so its size is checked;
 # more queries than this are searched block after block.
 MAX_BLOCK_QUERIES = 16384
 MAX_BLOCK_BYTES = 64 * 1024 * 1024
+MAX_PUSHED_VALUES = 1000
 
 FILTER_COLUMNS = (
     "species", "latitude_min", "latitude_max", "longitude_min", "longitude_max",
@@ -116,10 +118,33 @@ def for_each_block(queries: DataFrame, search_block) -> DataFrame:
     for number in range(n_blocks):
         table = stored.filter(F.col("block") == number).drop("block").toArrow()
         if table.num_rows:
-            search_block(_block_of(table)).write.mode("append").parquet(results)
+            with released_values():
+                search_block(_block_of(table)).write.mode("append").parquet(results)
     return spark.read.parquet(results)
 
 
+_held_values: list[list] = []
+
+
+@contextmanager
+def released_values():
+    """Release the values shared with the tasks while the body ran."""
+    _held_values.append([])
+    try:
+        yield
+    finally:
+        for value in _held_values.pop():
+            value.unpersist()
+
+
+def share(spark, value):
+    """Broadcast a value of checked size."""
+    shared = spark.sparkContext.broadcast(value)
+    if _held_values:
+        _held_values[-1].append(shared)
+    return shared
+
+
 # Filters carried by the queries ------------------------------------------------
 
 
@@ -172,13 +197,33 @@ class QueryFilters:
             out.append(F.col(layout.date).cast("date").alias("_date"))
         return out
 
+    def scan_condition(self, layout: Layout) -> Column:
+        """What every query demands, as one condition the scan can prune by."""
+        parts = []
+        if len(self.species) and (self.species != "").all():
+            names = sorted(set(self.species))
+            if len(names) <= MAX_PUSHED_VALUES:
+                parts.append(F.col(layout.species).cast("string").isin(names))
+        if len(self.boxed) and self.boxed.all():
+            parts.append(F.col(layout.latitude).between(float(self.box[0].min()), float(self.box[1].max())))
+        if len(self.dated) and self.dated.all():
+            first, last = self.start.min(), self.end.max()
+            if np.isfinite(first):
+                parts.append(F.col(layout.date) >= F.lit(np.datetime64(int(first), "D").item()))
+            if np.isfinite(last):
+                parts.append(F.col(layout.date) <= F.lit(np.datetime64(int(last), "D").item()))
+        return all_of(*parts)
+
     def mask(self, batch: pa.RecordBatch):
         """A function giving the permitted pairs of (queries, rows) for this batch, or None."""
         names = batch.schema.names
         tests = []
         if "_species" in names:
-            values = batch.column(names.index("_species")).to_numpy(zero_copy_only=False)
-            tests.append(lambda r, q: (self.species[q] == "")[:, None] | (self.species[q][:, None] == values[r][None, :]))
+            encoded = batch.column(names.index("_species")).dictionary_encode()
+            known = {name: code for code, name in enumerate(encoded.dictionary.to_pylist())}
+            wanted = np.array([-2 if s == "" else known.get(s, -3) for s in self.species])
+            codes = encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            tests.append(lambda r, q: (wanted[q] == -2)[:, None] | (wanted[q][:, None] == codes[r][None, :]))
         if "_lat" in names:
             lat = batch.column(names.index("_lat")).to_numpy(zero_copy_only=False).astype(float)
             lon = batch.column(names.index("_lon")).to_numpy(zero_copy_only=False).astype(float)
@@ -224,8 +269,7 @@ def scan_top_k(rows: DataFrame, block: QueryBlock, k: int, metric: str, query_ty
     ``plan(block)`` is called in the task and returns a function giving, for a
     batch, the groups ``(rows, queries, mask)`` to score.
     """
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(block)
+    shared = share(rows.sparkSession, block)
     arrow_query, arrow_id = to_arrow_type(query_type), to_arrow_type(id_type)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +283,7 @@ def scan_top_k(rows: DataFrame, block: QueryBlock, k: int, metric: str, query_ty
         for batch in batches:
             if batch.num_rows:
                 ids = sortable(batch.column(0))
-                scorer.prepare(matrix(batch.column(1)))
+                scorer.prepare(matrix(batch.column(1), queries.dim))
                 for row_idx, query_idx, allowed in groups(batch):
                     score_rows(scorer, top, ids, row_idx, query_idx, allowed)
         yield from top.batches(queries.ids, arrow_query, arrow_id)
@@ -266,24 +310,23 @@ def search_batch(
     ``queries`` has ``query_id, vector`` and any of the filter columns, which
     then apply to that query alone.
     """
+    query_type = queries.schema["query_id"].dataType
+    return for_each_block(queries, lambda block: search_block(collection, block, query_type, k, metric, layout))
+
+
+def search_block(collection: DataFrame, block: QueryBlock, query_type: T.DataType, k: int, metric: str,
+                 layout: Layout) -> DataFrame:
+    """Exact search for one bounded block of queries."""
     metric = resolve_metric(metric)
     if k < 1:
         raise ValueError("k must be at least 1")
-    query_type = queries.schema["query_id"].dataType
+    filters = QueryFilters(block)
     id_type = collection.select(layout.id).schema[0].dataType
-
-    def search_block(block: QueryBlock) -> DataFrame:
-        rows = collection.filter(F.col(layout.vector).isNotNull()).select(
-            F.col(layout.id).alias("id"), F.col(layout.vector).alias("vector"),
-            *QueryFilters(block).columns(layout))
-        found = scan_top_k(rows, block, k, metric, query_type, id_type, _all_pairs)
-        return rank_results(found, k)
-
-    return for_each_block(queries, search_block)
-
-
-def one_query(spark, vector, query_id: int = 0) -> DataFrame:
-    return spark.createDataFrame([(query_id, [float(v) for v in vector])], "query_id bigint, vector array<double>")
+    rows = (
+        collection.filter(F.col(layout.vector).isNotNull()).filter(filters.scan_condition(layout))
+        .select(F.col(layout.id).alias("id"), F.col(layout.vector).alias("vector"), *filters.columns(layout))
+    )
+    return rank_results(scan_top_k(rows, block, k, metric, query_type, id_type, _all_pairs), k)
 
 
 def search(
@@ -300,8 +343,8 @@ def search(
     Parquet scan and rows they reject are never scored.
     """
     chosen = collection.filter(filter_condition(layout, filters))
-    found = search_batch(chosen, one_query(collection.sparkSession, vector), k, metric, layout)
-    return found.drop("query_id")
+    block = QueryBlock(np.zeros(1, dtype=np.int64), np.array([[float(v) for v in vector]]))
+    return search_block(chosen, block, T.LongType(), k, metric, layout).drop("query_id")
 
 
 def search_exact(collection: DataFrame, vector, k: int = 10, metric: str = "cosine",
@@ -313,12 +356,11 @@ def search_exact(collection: DataFrame, vector, k: int = 10, metric: str = "cosi
 def with_payload(results: DataFrame, collection: DataFrame, columns: list[str], id_column: str = "id") -> DataFrame:
     """Add payload columns to search results.
 
-    The results are small (``k`` per query), so Spark broadcasts them and the
-    payload is read in one scan without moving the collection; the vectors are
-    not read at all.
+    Results of a checked small size are broadcast: the payload is then read in
+    one scan without moving the collection, and the vectors are not read.
     """
     payload = collection.select(F.col(id_column).alias("id"), *[c for c in columns if c != id_column])
-    return payload.join(results, "id").select(*results.columns, *[c for c in columns if c != "id"])
+    return payload.join(small_side(results, "results"), "id").select(*results.columns, *[c for c in columns if c != "id"])
 
 
 def result_page(results: DataFrame, page: int, size: int = 50, limit: int = 200) -> DataFrame:

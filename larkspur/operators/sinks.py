@@ -81,7 +81,7 @@ class Checkpoint:
         return self._table().filter(F.col("collection") == collection).select("key").distinct()
 
     def pending(self, collection: str, objects: DataFrame, column: str = "key") -> DataFrame:
-        done = self.keys(collection).withColumnRenamed("key", column)
+        done = self._table().filter(F.col("collection") == collection).select(F.col("key").alias(column))
         return objects.join(done, column, "left_anti")
 
     def import_json(self, collection: str, path: str, run_id: str = "import") -> None:

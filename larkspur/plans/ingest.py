@@ -104,7 +104,6 @@ def ingest_documents(
     """
     started, run_id = time.monotonic(), run_id or uuid.uuid4().hex
     todo = checkpoint.pending(name, objects) if checkpoint is not None else objects
-    todo = todo.dropDuplicates(["key"])
     if "content" in todo.columns:
         decoded = decode_text(todo.select("key", "content"))
     else:
@@ -134,7 +133,7 @@ def ingest_images(
     """Check image objects (``key, content``), embed the valid ones and upsert them into every target."""
     started, run_id = time.monotonic(), run_id or uuid.uuid4().hex
     todo = checkpoint.pending(name, objects) if checkpoint is not None else objects
-    checked = check_images(todo.dropDuplicates(["key"]).select("key", "content"))
+    checked = check_images(todo.select("key", "content"))
     good = checked.filter("success").select("key", "format", "content")
     bad = checked.filter(~F.col("success")).select("key", "format", "success", "error_message", F.col("reason").alias("cause"))
     embedded = embed_images(good, "content", embedder, policy=policy).drop("content")

@@ -7,10 +7,11 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 SPLIT_BYTES = 128 * 1024 * 1024
+MAX_BROADCAST_ROWS = 1_000_000
 
 _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -87,3 +88,12 @@ def stage(df: DataFrame, purpose: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, purpose: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Stage ``df`` and mark it for broadcast if its counted rows are within the bound.
+
+    Meant for narrow rows such as ids and search results.
+    """
+    staged = stage(df, purpose)
+    return F.broadcast(staged) if staged.count() <= max_rows else staged
