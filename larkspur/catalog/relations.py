@@ -13,13 +13,14 @@ from larkspur.catalog.tables import LABEL_QUERIES, PLACED_SQL, label_queries, po
 from larkspur.operators.collections import CollectionStore
 from larkspur.operators.metrics import classify_errors, progress, sink_rollup, summarize_run
 from larkspur.operators.relational import (
-    attach_embeddings, batch_numbers, enrich_embeddings, first_rows, image_response, latest_per_key, photo_metadata,
+    attach_embeddings, batch_numbers, enrich_embeddings, first_rows, image_points, image_response, latest_per_key, photo_metadata,
     photo_observers, photo_observations, unprocessed, valid_embeddings, with_taxa,
 )
 from larkspur.operators.search import search_batch
 from larkspur.plans.benchmark import run_benchmark, run_update_benchmark
 from larkspur.plans.datasets import build_collection, build_image_dataset, reembed_dataset
 from larkspur.session import scratch_path
+from larkspur.streaming.jobs import point_stream, upsert_stream
 
 HOST = "images.example.org"
 
@@ -130,6 +131,21 @@ def photo_collection(spark, sf_dir):
                                        F.size("vector").cast("bigint").alias("dim"))
 
 
+def streamed_photos(spark, sf_dir):
+    """Embeddings arrive as a stream; each batch is joined to the metadata tables and upserted."""
+    store, source = CollectionStore(spark, scratch_path(spark, "store")), table(spark, sf_dir, "embeddings")
+    store.create("photos", 64, n_buckets=8)
+
+    def with_metadata(batch: DataFrame) -> DataFrame:
+        shaped = batch.select(F.col("vec_id").cast("int").alias("photo_id"), "embedding", (F.col("label") < 8).alias("status"))
+        rows = enrich_embeddings(shaped, photos(spark, sf_dir), observations(spark, sf_dir), taxa(spark, sf_dir))
+        return image_points(rows, "embedding", HOST)
+
+    stream = point_stream(spark, f"{sf_dir}/embeddings*.parquet", source.schema)
+    upsert_stream(stream, store, "photos", scratch_path(spark, "stream"), "observation_uuid", enrich=with_metadata)
+    return store.read("photos").select("id", "observation_uuid", "file_name", F.size("vector").cast("bigint").alias("dim"))
+
+
 def photo_search_response(spark, sf_dir):
     """Search over the photo collection in the shape sent to a client."""
     store = CollectionStore(spark, scratch_path(spark, "store"))
@@ -241,6 +257,7 @@ QUERIES = {
     "valid_embedding_counts": valid_embedding_counts,
     "photo_dataset": photo_dataset,
     "photo_collection": photo_collection,
+    "streamed_photos": streamed_photos,
     "photo_search_response": photo_search_response,
     "reembedded_pages": reembedded_pages,
     "run_summary": run_summary,
@@ -336,3 +353,4 @@ SELECT page_id AS id, 'https://images.example.org/photos/' || page_id || '/mediu
        'photos/' || page_id AS file_name, 64::BIGINT AS dim
 FROM pages WHERE starts_with(url, 'https')""",
 }
+ORACLES["streamed_photos"] = ORACLES["photo_collection"]

@@ -9,8 +9,8 @@ from larkspur.functions.text import clean_book_text
 from larkspur.operators.chunking import SENTENCE_END, explode_chunks, register_chunks
 from larkspur.operators.embedding import EmbedPolicy, embed_column, embed_image_text, embed_images
 from larkspur.plans.datasets import make_documents
-from larkspur.session import scratch_path
-from larkspur.sources.objects import decode_text, list_objects
+from larkspur.session import scratch_path, spread
+from larkspur.sources.objects import decode_text, list_objects, read_text_objects
 from larkspur.sources.tables import query_lines
 
 
@@ -19,6 +19,17 @@ def listed_objects(spark, sf_dir):
     return list_objects(spark, sf_dir, glob="*.parquet").select("key", "length")
 
 
+def text_objects(spark, sf_dir):
+    """Documents written as text objects, one folder per language and source, then listed and read back."""
+    path = scratch_path(spark, "objects")
+    table(spark, sf_dir, "documents").select("lang", "source", "text").write.partitionBy("lang", "source").text(path)
+    listed = list_objects(spark, path, prefix="lang=").select("key", "length")
+    read = read_text_objects(spark, path, glob="*.txt").filter("success").join(listed, "key")
+    parts = F.split("key", "[=/]")
+    return read.groupBy(parts[1].alias("lang"), parts[3].alias("source")).agg(
+        F.sum("length").alias("bytes"), F.sum(F.length("text")).alias("chars"))
+
+
 def decoded_objects(spark, sf_dir):
     """Documents as bytes; Spanish ones are cut short by a broken character."""
     broken = F.when(F.col("lang") == "es", F.unhex(F.lit("C3"))).otherwise(F.unhex(F.lit("")))
@@ -35,7 +46,7 @@ def benchmark_lines(spark, sf_dir):
 
 def _chunks(compat):
     def run(spark, sf_dir):
-        rows = explode_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 500, compat)
+        rows = explode_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", 500, compat)
         return rows.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("chunk_no", "start", "end")],
                            F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -130,6 +141,7 @@ def embedded_pictures(spark, sf_dir):
 
 QUERIES = {
     "listed_objects": listed_objects,
+    "text_objects": text_objects,
     "decoded_objects": decoded_objects,
     "benchmark_lines": benchmark_lines,
     "document_chunks": _chunks(False),
@@ -182,6 +194,9 @@ ended AS (SELECT book, regexp_replace(text, '(?is)\n\s*end\s+of\s+(?:the\s+)?pro
 cleaned AS (SELECT book, trim(regexp_replace(text, '\n{3,}', E'\n\n', 'g'), """ + _WHITE + """) AS text FROM ended)"""
 
 ORACLES = {
+    "text_objects": """
+SELECT lang, source, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, sum(length(text) + 1)::BIGINT AS chars
+FROM documents GROUP BY lang, source""",
     "decoded_objects": """
 SELECT 'inputs/doc-' || doc_id || '.txt' AS key, lang <> 'es' AS success,
        CASE WHEN lang = 'es' THEN 'Failed to fetch or decode content' END AS error_message,

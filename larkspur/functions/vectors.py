@@ -35,9 +35,14 @@ def norm(vector: Column) -> Column:
 
 
 def l2_normalise(vector: Column) -> Column:
-    """Unit-length copy as ``array<float>``; the zero vector stays zero."""
-    length = F.greatest(norm(vector), F.lit(1e-12))
-    return F.transform(vector, lambda x: (x.cast("double") / length).cast("float"))
+    """Unit-length copy as ``array<float>``; the zero vector stays zero.
+
+    The length is passed in through an array of one element, so that it is
+    worked out once per vector and not once per coordinate.
+    """
+    length = F.array(F.greatest(norm(vector), F.lit(1e-12)))
+    scaled = F.transform(length, lambda n: F.transform(vector, lambda x: (x.cast("double") / n).cast("float")))
+    return scaled[0]
 
 
 def cosine(left: Column, right: Column) -> Column:

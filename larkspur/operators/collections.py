@@ -261,32 +261,34 @@ class CollectionStore:
         return self.count(name)
 
     def upsert(self, name: str, points: DataFrame, order_by: str | None = None,
-               batch: tuple[str, int] | None = None) -> WriteReport:
+               batch: tuple[str, int] | None = None, staged: bool = False) -> WriteReport:
         """Insert points or overwrite those with the same id.
 
         ``order_by`` decides between rows of one id inside the input. A batch
-        ``(stream, number)`` that was already applied is a no-op.
+        ``(stream, number)`` that was already applied is a no-op. The input is
+        read several times and therefore staged first, unless the caller says
+        that it already comes from stored files (``staged``).
         """
         manifest = self.manifest(name)
         if batch and manifest.applied.get(batch[0], -1) >= batch[1]:
             return WriteReport(manifest.version, 0, 0)
-        staged = stage(
-            self._checked(points, manifest).withColumn(BUCKET, bucket_of(F.col("id"), manifest.n_buckets)), "upsert")
+        checked = self._checked(points, manifest).withColumn(BUCKET, bucket_of(F.col("id"), manifest.n_buckets))
+        rows = checked if staged else stage(checked, "upsert")
         counts = {
             (r[BUCKET], r.good): r["count"]
-            for r in staged.groupBy(BUCKET, F.col("_reason").isNull().alias("good")).count().collect()
+            for r in rows.groupBy(BUCKET, F.col("_reason").isNull().alias("good")).count().collect()
         }
         touched = {b for b, good in counts if good}
         written = sum(n for (_, good), n in counts.items() if good)
         refused = sum(n for (_, good), n in counts.items() if not good)
-        rejected = staged.filter("_reason is not null").select("id", F.col("_reason").alias("reason"))
+        rejected = rows.filter("_reason is not null").select("id", F.col("_reason").alias("reason"))
         applied = {**manifest.applied, **({batch[0]: batch[1]} if batch else {})}
         if not touched:
             if batch:
                 self._publish(replace(manifest, version=manifest.version + 1, applied=applied))
             return WriteReport(manifest.version, 0, refused, rejected)
 
-        good = staged.filter("_reason is null").drop("_reason")
+        good = rows.filter("_reason is null").drop("_reason")
         incoming = collapse_duplicates(good, order_by)
         version = manifest.version + 1
         folder = self._new_folder(version)

@@ -319,7 +319,7 @@ class HashingEmbedder:
                     positions.append(slot[0])
                     signs.append(slot[1])
                 if positions:
-                    np.add.at(out[row], positions, signs)
+                    out[row] = np.bincount(positions, weights=signs, minlength=dim)
             lengths = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return (out / np.maximum(lengths, 1e-12)).astype(np.float32)
 

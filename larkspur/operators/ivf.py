@@ -28,7 +28,7 @@ from larkspur.operators.search import (
 )
 from larkspur.session import small_side, stage
 
-MAX_TRAINING_ROWS = 200_000
+MAX_TRAINING_ROWS = 10_000_000
 # Centroids and codebooks are held by every task.
 MAX_MODEL_BYTES = 256 * 1024 * 1024
 LIST = "ivf_list"
@@ -56,10 +56,26 @@ def _check_model_size(cells: int) -> None:
 
 def _nearest(points: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndarray:
     """Numbers of the ``n`` nearest centroids per row, nearest first."""
-    squared = (centroids ** 2).sum(axis=1)[None, :] - 2.0 * points @ centroids.T
-    if n == 1:
-        return squared.argmin(axis=1)[:, None]
-    return np.argsort(squared, axis=1, kind="stable")[:, :n]
+    out = np.empty((len(points), n), dtype=np.int32)
+    lengths = (centroids ** 2).sum(axis=1)
+    step = max(1, 4_000_000 // len(centroids))
+    for lo in range(0, len(points), step):
+        squared = lengths - 2.0 * points[lo:lo + step] @ centroids.T
+        if n == 1:
+            out[lo:lo + step, 0] = squared.argmin(axis=1)
+        else:
+            out[lo:lo + step] = np.argsort(squared, axis=1, kind="stable")[:, :n]
+    return out
+
+
+def _save_matrix(spark: SparkSession, values: np.ndarray, path: str) -> None:
+    """A matrix of checked size as a table of numbered rows."""
+    rows = pa.table({"row": pa.array(range(len(values))), "cells": pa.array(list(values), type=pa.list_(pa.float64()))})
+    spark.createDataFrame(rows).write.parquet(path)
+
+
+def _load_matrix(spark: SparkSession, path: str) -> np.ndarray:
+    return matrix(spark.read.parquet(path).orderBy("row").select("cells").toArrow().column(0).combine_chunks())
 
 
 def _unit(points: np.ndarray) -> np.ndarray:
@@ -107,8 +123,8 @@ class IvfIndex:
             .sortWithinPartitions(LIST, "id")
             .write.partitionBy(LIST).parquet(f"{path}/lists")
         )
-        meta = {"metric": metric, "filters": filters, "centroids": centroids.tolist()}
-        files.create(spark, f"{path}/model.json", json.dumps(meta))
+        _save_matrix(spark, centroids, f"{path}/centroids")
+        files.create(spark, f"{path}/model.json", json.dumps({"metric": metric, "filters": filters}))
         return cls(spark, path, centroids, metric, filters)
 
     @staticmethod
@@ -126,7 +142,7 @@ class IvfIndex:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> IvfIndex:
         meta = json.loads(files.read(spark, f"{path}/model.json"))
-        return cls(spark, path, np.array(meta["centroids"]), meta["metric"], meta["filters"])
+        return cls(spark, path, _load_matrix(spark, f"{path}/centroids"), meta["metric"], meta["filters"])
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/lists")
@@ -209,6 +225,18 @@ class PqModel:
         with ThreadPoolExecutor(max_workers=min(8, subspaces)) as pool:
             return cls(list(pool.map(fit, range(subspaces))), metric)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Store the codebooks, stacked, with the number of codes of each."""
+        _save_matrix(spark, np.concatenate(self.codebooks), f"{path}/codes")
+        files.create(spark, f"{path}/model.json", json.dumps(
+            {"metric": self.metric, "codes": [len(book) for book in self.codebooks]}))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PqModel:
+        meta = json.loads(files.read(spark, f"{path}/model.json"))
+        ends = np.cumsum(meta["codes"])[:-1]
+        return cls(np.split(_load_matrix(spark, f"{path}/codes"), ends), meta["metric"])
+
     def encode_matrix(self, points: np.ndarray) -> np.ndarray:
         points = _unit(points) if self.metric == "cosine" else points
         parts = [
@@ -256,12 +284,12 @@ def search_pq(coded: DataFrame, queries: DataFrame, model: PqModel, k: int = 10,
     width = k * refine if vectors is not None else k
 
     def search_block(block: QueryBlock) -> DataFrame:
-        shared = share(slim.sparkSession, (block.ids, model.tables(block.vectors)))
+        shared = share(slim.sparkSession, (block.ids, block.vectors, model.codebooks, model.metric))
         arrow_query, arrow_id = to_arrow_type(query_type), to_arrow_type(id_type)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, tables = shared.value
-            n = len(query_ids)
+            query_ids, query_vectors, codebooks, metric = shared.value
+            quantiser, n = PqModel(codebooks, metric), len(query_ids)
             top = TopK(n, width)
             for batch in batches:
                 if not batch.num_rows or not n:
@@ -269,11 +297,12 @@ def search_pq(coded: DataFrame, queries: DataFrame, model: PqModel, k: int = 10,
                 ids = sortable(batch.column(0))
                 raw = b"".join(batch.column(1).to_pylist())
                 codes = np.frombuffer(raw, np.uint8).reshape(batch.num_rows, -1)
-                step = max(1, 4_000_000 // batch.num_rows)
+                step = max(1, min(1024, 4_000_000 // batch.num_rows))
                 for lo in range(0, n, step):
-                    scores = np.zeros((batch.num_rows, len(query_ids[lo:lo + step])), dtype=np.float32)
+                    tables = quantiser.tables(query_vectors[lo:lo + step])
+                    scores = np.zeros((batch.num_rows, tables.shape[2]), dtype=np.float32)
                     for i in range(codes.shape[1]):
-                        scores += tables[i, :, lo:lo + step][codes[:, i]]
+                        scores += tables[i][codes[:, i]]
                     scores = scores.T
                     bar = top.floor[lo:lo + step].astype(np.float32)
                     if batch.num_rows > width:

@@ -15,7 +15,7 @@ from larkspur.operators.relational import (
     running_total,
 )
 from larkspur.operators.sinks import write_dataset, write_documents
-from larkspur.session import stage
+from larkspur.session import spread, stage
 
 
 def build_image_dataset(
@@ -79,7 +79,7 @@ def book_chunks(books: DataFrame, chunk_size: int = 500, compat: bool = False) -
 
     Only one row per book takes part in the numbering, not every chunk.
     """
-    cleaned = books.select("book", clean_book_text(F.col("text")).alias("text"))
+    cleaned = spread(books).select("book", clean_book_text(F.col("text")).alias("text"))
     chunks = stage(explode_chunks(cleaned, "text", chunk_size, compat), "chunks")
     sizes = chunks.groupBy("book").agg(F.count(F.lit(1)).alias("n"))
     offsets = running_total(sizes, "book", F.col("n"), "first").select("book", "first")

@@ -51,7 +51,7 @@ def text_points(embedded: DataFrame, bucket: str, id_mode: str = "deterministic"
 def _sink(target: Target, dim: int, batch: tuple[str, int] | None):
     def write(points: DataFrame) -> None:
         target.store.create(target.collection, dim, n_buckets=target.n_buckets)
-        target.store.upsert(target.collection, points, batch=batch)
+        target.store.upsert(target.collection, points, batch=batch, staged=True)
 
     return write
 

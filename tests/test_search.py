@@ -250,9 +250,10 @@ def test_ivf_recall_grows_with_probes(spark, sample, folder):
     assert recalls == sorted(recalls) and recalls[-1] == 1.0 and all(0 <= r <= 1 for r in recalls)
 
 
-def test_pq_refined_with_all_candidates_is_exact(spark, sample):
+def test_pq_refined_with_all_candidates_is_exact(spark, sample, folder):
     frame, data = sample
-    model = PqModel.train(frame, 64, subspaces=4, n_codes=16, metric="ip")
+    PqModel.train(frame, 64, subspaces=4, n_codes=16, metric="ip").save(spark, folder + "/pq")
+    model = PqModel.load(spark, folder + "/pq")
     coded = pq_encode(frame, model).select("id", "code")
     assert coded.filter(F.length("code") != 4).count() == 0
     queries = as_queries(spark, data[:4])
