@@ -42,6 +42,7 @@ class Manifest:
     version: int = 0
     schema: str | None = None
     folders: dict[str, str] = field(default_factory=dict)
+    written: dict[str, int] = field(default_factory=dict)
     applied: dict[str, int] = field(default_factory=dict)
     index: dict | None = None
     dropped: bool = False
@@ -142,12 +143,15 @@ class CollectionStore:
                 T.StructField(BUCKET, T.IntegerType())])
             return self.spark.createDataFrame([], schema)
         schema = T.StructType.fromJson(json.loads(manifest.schema))
-        whole = len(set(wanted.values())) == 1 and buckets is None
-        if whole:
-            paths = [f"{data}/{next(iter(wanted.values()))}"]
-            return self.spark.read.schema(schema).parquet(*paths)
         reader = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("folder", T.StringType())]))
-        paths = [f"{data}/{folder}/{BUCKET}={b}" for b, folder in sorted(wanted.items())]
+        paths, by_folder = [], {}
+        for bucket, folder in wanted.items():
+            by_folder.setdefault(folder, []).append(bucket)
+        for folder, live in sorted(by_folder.items()):
+            if len(live) == manifest.written.get(folder):  # every bucket of the folder is current
+                paths.append(f"{data}/{folder}")
+            else:
+                paths += [f"{data}/{folder}/{BUCKET}={b}" for b in sorted(live)]
         return reader.option("basePath", data).parquet(*paths).drop("folder")
 
     def count(self, name: str) -> int:
@@ -257,7 +261,8 @@ class CollectionStore:
         folder = self._new_folder(version)
         self._write(name, folder, rows.hint("rebalance", BUCKET))
         folders = {str(b): folder for b in self._buckets_in(name, folder)}
-        self._publish(replace(manifest, version=version, folders=folders, schema=self._stored_schema(rows)))
+        self._publish(replace(manifest, version=version, folders=folders, written={folder: len(folders)},
+                              schema=self._stored_schema(rows)))
         return self.count(name)
 
     def upsert(self, name: str, points: DataFrame, order_by: str | None = None,
@@ -301,7 +306,8 @@ class CollectionStore:
         else:
             self._write(name, folder, incoming.hint("rebalance", BUCKET))
         folders = {**manifest.folders, **{str(b): folder for b in touched}}
-        self._publish(replace(manifest, version=version, folders=folders, schema=schema, applied=applied))
+        self._publish(replace(manifest, version=version, folders=folders, schema=schema, applied=applied,
+                              written=self._still_used(manifest, folders, folder, len(touched))))
         return WriteReport(version, written, refused, rejected)
 
     def delete(self, name: str, ids: DataFrame) -> int:
@@ -320,13 +326,20 @@ class CollectionStore:
         left = self._buckets_in(name, folder)
         folders = {b: f for b, f in manifest.folders.items() if int(b) not in touched}
         folders.update({str(b): folder for b in left})
-        self._publish(replace(manifest, version=version, folders=folders))
+        self._publish(replace(manifest, version=version, folders=folders,
+                              written=self._still_used(manifest, folders, folder, len(left))))
         return version
 
+    @staticmethod
+    def _still_used(manifest: Manifest, folders: dict[str, str], new: str, size: int) -> dict[str, int]:
+        """Number of buckets written to each folder that some bucket still points to."""
+        sizes = {**manifest.written, new: size}
+        return {f: sizes[f] for f in set(folders.values()) if f in sizes}
+
     def drop(self, name: str) -> None:
         """Remove a collection: a closing manifest first, then the files."""
         manifest = self.manifest(name)
-        self._publish(replace(manifest, version=manifest.version + 1, folders={}, index=None, dropped=True))
+        self._publish(replace(manifest, version=manifest.version + 1, folders={}, written={}, index=None, dropped=True))
         files.remove(self.spark, f"{self._home(name)}/data")
         files.remove(self.spark, f"{self._home(name)}/index")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.errors import error_class
+from larkspur.session import small_side
 
 # The sketch is off by at most 1 / _ACCURACY of the rows; the band is wider than that.
 _ACCURACY = 10_000
@@ -72,11 +73,11 @@ def exact_percentiles(rows: DataFrame, value: str, probabilities: list[float], b
         F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", marks, _ACCURACY).alias("_marks"))
     small = F.col("_total") <= _SMALL_GROUP
-    limits = stats.select(*by, "_total", F.array(*[
+    limits = small_side(stats.select(*by, "_total", F.array(*[
         F.struct(F.lit(float(p)).alias("p"),
                  F.when(small, F.col("_min")).otherwise(F.col("_marks")[2 * i]).alias("lo"),
                  F.when(small, F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]).alias("hi"))
-        for i, p in enumerate(probabilities)]).alias("_bands"))
+        for i, p in enumerate(probabilities)]).alias("_bands")), "limits")
     keys = [*by, "_p"]
     placed = (
         _join(data, limits, by)

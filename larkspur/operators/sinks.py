@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur import files, schemas
+from larkspur.session import MAX_BROADCAST_ROWS
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -81,8 +82,10 @@ class Checkpoint:
         return self._table().filter(F.col("collection") == collection).select("key").distinct()
 
     def pending(self, collection: str, objects: DataFrame, column: str = "key") -> DataFrame:
+        """Objects whose key is not recorded. A counted small record is broadcast, so that contents do not move."""
         done = self._table().filter(F.col("collection") == collection).select(F.col("key").alias(column))
-        return objects.join(done, column, "left_anti")
+        small = done.count() <= MAX_BROADCAST_ROWS
+        return objects.join(F.broadcast(done) if small else done, column, "left_anti")
 
     def import_json(self, collection: str, path: str, run_id: str = "import") -> None:
         """Take over keys from JSON documents; a missing or damaged document counts as empty."""

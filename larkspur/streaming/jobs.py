@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -73,7 +75,20 @@ def upsert_stream(
 
 
 def first_arrivals(keys: DataFrame, column: str = "key", event_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Each key once. With an event time, state is kept only for the delay."""
+    """Each key once. With an event time, state is kept only for the delay.
+
+    Repeats inside an Arrow batch are dropped before the shuffle by key, so a
+    key that holds most rows does not travel.
+    """
+    place = keys.columns.index(column)
+
+    def first_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = batch.column(place).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            _, first = np.unique(seen, return_index=True)
+            yield batch.take(pa.array(np.sort(first)))
+
+    thinned = keys.mapInArrow(first_in_batch, keys.schema)
     if event_time is None:
-        return keys.dropDuplicates([column])
-    return keys.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([column])
+        return thinned.dropDuplicates([column])
+    return thinned.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([column])
