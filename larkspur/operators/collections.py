@@ -366,14 +366,20 @@ class CollectionStore:
     def index_path(self, name: str, version: int) -> str:
         return f"{self._home(name)}/index/v{version:08d}"
 
-    def build_index(self, name: str, n_lists: int = 64, filter_columns: list[str] | None = None, seed: int = 42):
-        """Build the inverted file index of the current version and record it in the manifest."""
-        from larkspur.operators.ivf import IvfIndex
+    def build_index(self, name: str, n_lists: int = 64, filter_columns: list[str] | None = None, seed: int = 42,
+                    subspaces: int | None = None, n_codes: int = 64):
+        """Build the inverted file index of the current version and record it in the manifest.
+
+        With ``subspaces`` the index also holds product quantisation codes.
+        """
+        from larkspur.operators.ivf import IvfIndex, PqModel
 
         manifest = self.manifest(name)
         path = self.index_path(name, manifest.version + 1) + f"-{uuid.uuid4().hex[:8]}"
-        index = IvfIndex.build(self.read(name), path, n_lists=n_lists, metric=manifest.metric,
-                               filter_columns=filter_columns or [], seed=seed)
+        rows = self.read(name)
+        pq = PqModel.train(rows, manifest.dim, subspaces, n_codes, manifest.metric, seed=seed) if subspaces else None
+        index = IvfIndex.build(rows, path, n_lists=n_lists, metric=manifest.metric,
+                               filter_columns=filter_columns or [], seed=seed, pq=pq)
         version = manifest.version + 1
         self._publish(replace(manifest, version=version,
                               index={"version": version, "path": path, "n_lists": index.n_lists}))

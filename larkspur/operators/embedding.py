@@ -277,6 +277,13 @@ def get_embedder(embedder: str | EmbedderFactory) -> EmbedderFactory:
     return _registry[embedder]
 
 
+def register_sql_embedder(spark: SparkSession, name: str, embedder: str | EmbedderFactory,
+                          policy: EmbedPolicy = TEXT_POLICY) -> None:
+    """Make an embedder an SQL function from text to a struct with the vector and the outcome."""
+    factory = get_embedder(embedder)
+    spark.udf.register(name, _embed_struct(factory, policy, _task_interval(spark, policy), _blank_text))
+
+
 def embedder_names() -> list[str]:
     return sorted(_registry)
 

@@ -37,9 +37,9 @@ LIST = "ivf_list"
 def training_sample(rows: DataFrame, n_clusters: int, total: int, seed: int) -> DataFrame:
     """A sample of at most ``MAX_TRAINING_ROWS`` vectors, 256 per cluster if there are that many."""
     wanted = min(MAX_TRAINING_ROWS, max(1, 256 * n_clusters))
-    if total <= wanted:
-        return rows
-    return rows.sample(withReplacement=False, fraction=min(1.0, wanted / total), seed=seed)
+    if total > wanted:
+        rows = rows.sample(withReplacement=False, fraction=wanted / total, seed=seed)
+    return stage(rows, "training")  # read many times over
 
 
 def train_centroids(vectors: DataFrame, column: str, n_clusters: int, seed: int, max_iter: int = 10) -> np.ndarray:
@@ -86,9 +86,10 @@ def _unit(points: np.ndarray) -> np.ndarray:
 class IvfIndex:
     """Collection rows grouped by nearest centroid."""
 
-    def __init__(self, spark: SparkSession, path: str, centroids: np.ndarray, metric: str, filters: list[str]):
+    def __init__(self, spark: SparkSession, path: str, centroids: np.ndarray, metric: str, filters: list[str],
+                 pq: PqModel | None = None):
         self.spark, self.path, self.centroids = spark, path, centroids
-        self.metric, self.filters = metric, filters
+        self.metric, self.filters, self.pq = metric, filters, pq
 
     @property
     def n_lists(self) -> int:
@@ -97,11 +98,12 @@ class IvfIndex:
     @classmethod
     def build(cls, rows: DataFrame, path: str, n_lists: int = 64, metric: str = "cosine",
               id_column: str = "id", vector: str = "vector", filter_columns: list[str] | None = None,
-              seed: int = 42) -> IvfIndex:
+              seed: int = 42, pq: PqModel | None = None) -> IvfIndex:
         """Train, assign every row to its list and write the lists below ``path``.
 
         The rebalance hint splits a list that holds a large share of the rows
-        over several tasks and files, by measured size.
+        over several tasks and files, by measured size. With a quantiser the
+        rows carry their code as well, for ``search_codes``.
         """
         spark, metric = rows.sparkSession, resolve_metric(metric)
         filters = filter_columns or []
@@ -111,21 +113,24 @@ class IvfIndex:
         if total == 0:
             raise ValueError("cannot index an empty collection")
         by_direction = metric in ("cosine", "ip")
-        sample = training_sample(usable.select("vector"), n_lists, total, seed)
-        if by_direction:
-            sample = sample.select(l2_normalise(F.col("vector")).alias("vector"))
+        shaped = l2_normalise(F.col("vector")) if by_direction else F.col("vector")
+        sample = training_sample(usable.select(shaped.alias("vector")), n_lists, total, seed)
         centroids = train_centroids(sample, "vector", min(n_lists, total), seed)
         _check_model_size(centroids.size)
 
         assigned = cls._assign(usable, centroids, by_direction)
+        if pq is not None:
+            assigned = pq_encode(assigned, pq)
+            pq.save(spark, f"{path}/pq")
         (
             assigned.hint("rebalance", LIST)
             .sortWithinPartitions(LIST, "id")
             .write.partitionBy(LIST).parquet(f"{path}/lists")
         )
         _save_matrix(spark, centroids, f"{path}/centroids")
-        files.create(spark, f"{path}/model.json", json.dumps({"metric": metric, "filters": filters}))
-        return cls(spark, path, centroids, metric, filters)
+        files.create(spark, f"{path}/model.json", json.dumps(
+            {"metric": metric, "filters": filters, "pq": pq is not None}))
+        return cls(spark, path, centroids, metric, filters, pq)
 
     @staticmethod
     def _assign(rows: DataFrame, centroids: np.ndarray, by_direction: bool) -> DataFrame:
@@ -142,7 +147,8 @@ class IvfIndex:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> IvfIndex:
         meta = json.loads(files.read(spark, f"{path}/model.json"))
-        return cls(spark, path, _load_matrix(spark, f"{path}/centroids"), meta["metric"], meta["filters"])
+        pq = PqModel.load(spark, f"{path}/pq") if meta["pq"] else None
+        return cls(spark, path, _load_matrix(spark, f"{path}/centroids"), meta["metric"], meta["filters"], pq)
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/lists")
@@ -158,38 +164,61 @@ class IvfIndex:
         to the number of lists the result is exact.
         """
         layout = layout or Layout()
-        stored = self.rows()
-        query_type, id_type = queries.schema["query_id"].dataType, stored.schema["id"].dataType
+        query_type, id_type = queries.schema["query_id"].dataType, self.rows().schema["id"].dataType
 
         def search_block(block: QueryBlock) -> DataFrame:
-            probes = self.probes(block.vectors, nprobe) if len(block) else np.zeros((0, 1), dtype=int)
-            wanted = [int(n) for n in np.unique(probes)]
-            pruned = stored if len(wanted) == self.n_lists else stored.filter(F.col(LIST).isin(wanted))
-            filters = QueryFilters(block)
-            chosen = pruned.filter(filters.scan_condition(layout)).select(
-                "id", "vector", LIST, *filters.columns(layout))
+            rows, _, plan = self._probed(block, nprobe, layout, "vector")
+            return rank_results(scan_top_k(rows, block, k, self.metric, query_type, id_type, plan), k)
 
-            def plan(queries_in_task: QueryBlock):
-                filters = QueryFilters(queries_in_task)
-                flat = probes.ravel()
-                order = np.argsort(flat, kind="stable")
-                owners = np.repeat(np.arange(len(queries_in_task)), probes.shape[1])[order]
-                sorted_lists = flat[order]
+        return for_each_block(queries, search_block)
 
-                def groups(batch: pa.RecordBatch):
-                    numbers = batch.column(2).to_numpy(zero_copy_only=False)
-                    allowed = filters.mask(batch)
-                    for number in np.unique(numbers):
-                        lo, hi = np.searchsorted(sorted_lists, [number, number + 1])
-                        yield np.flatnonzero(numbers == number), owners[lo:hi], allowed
+    def search_codes(self, queries: DataFrame, k: int = 10, nprobe: int = 8, refine: int = 4,
+                     layout: Layout | None = None) -> DataFrame:
+        """The same by compressed score: only ids and codes of the probed lists are read.
 
-                return groups
+        The best ``k * refine`` rows per query are scored again with the full
+        vectors, unless ``refine`` is 0.
+        """
+        if self.pq is None:
+            raise ValueError("this index was built without a quantiser")
+        layout = layout or Layout()
+        query_type, id_type = queries.schema["query_id"].dataType, self.rows().schema["id"].dataType
+        width = k * max(1, refine)
 
-            found = scan_top_k(chosen, block, k, self.metric, query_type, id_type, plan)
-            return rank_results(found, k)
+        def search_block(block: QueryBlock) -> DataFrame:
+            rows, lists, plan = self._probed(block, nprobe, layout, "code")
+            found = rank_results(_scan_codes(rows, block, self.pq, width, query_type, id_type, plan), width)
+            return _refined(found, queries, lists, self.metric, k) if refine else found
 
         return for_each_block(queries, search_block)
 
+    def _probed(self, block: QueryBlock, nprobe: int, layout: Layout, column: str):
+        """Rows ``id, column, list, ...`` of the probed lists, those lists, and who probes which."""
+        probes = self.probes(block.vectors, nprobe) if len(block) else np.zeros((0, 1), dtype=int)
+        wanted = [int(n) for n in np.unique(probes)]
+        stored = self.rows()
+        pruned = stored if len(wanted) == self.n_lists else stored.filter(F.col(LIST).isin(wanted))
+        filters = QueryFilters(block)
+        rows = pruned.filter(filters.scan_condition(layout)).select("id", column, LIST, *filters.columns(layout))
+
+        def plan(queries_in_task: QueryBlock):
+            filters = QueryFilters(queries_in_task)
+            flat = probes.ravel()
+            order = np.argsort(flat, kind="stable")
+            owners = np.repeat(np.arange(len(queries_in_task)), probes.shape[1])[order]
+            sorted_lists = flat[order]
+
+            def groups(batch: pa.RecordBatch):
+                numbers = batch.column(2).to_numpy(zero_copy_only=False)
+                allowed = filters.mask(batch)
+                for number in np.unique(numbers):
+                    lo, hi = np.searchsorted(sorted_lists, [number, number + 1])
+                    yield np.flatnonzero(numbers == number), owners[lo:hi], allowed
+
+            return groups
+
+        return rows, pruned, plan
+
 
 class PqModel:
     """Codebooks of a product quantiser: one set of centroids per slice of the vector."""
@@ -213,9 +242,8 @@ class PqModel:
         usable = rows.filter(F.col(vector).isNotNull()).select(F.col(vector).alias("vector"))
         total = usable.count()
         codes = max(2, min(n_codes, total))
-        sample = training_sample(usable, codes, total, seed)
-        if metric == "cosine":
-            sample = sample.select(l2_normalise(F.col("vector")).alias("vector"))
+        shaped = l2_normalise(F.col("vector")) if metric == "cosine" else F.col("vector")
+        sample = training_sample(usable.select(shaped.alias("vector")), codes, total, seed)
         _check_model_size(subspaces * codes * width)
 
         def fit(number: int) -> np.ndarray:
@@ -253,7 +281,7 @@ class PqModel:
         for i, book in enumerate(self.codebooks):
             part = queries[:, i * self.width:(i + 1) * self.width]
             if self.metric == "l2":
-                out[i, :len(book)] = -((book[:, None, :] - part[None, :, :]) ** 2).sum(axis=2)
+                out[i, :len(book)] = 2.0 * book @ part.T - (book ** 2).sum(axis=1)[:, None] - (part ** 2).sum(axis=1)
             else:
                 out[i, :len(book)] = book @ part.T
         return out
@@ -283,45 +311,64 @@ def search_pq(coded: DataFrame, queries: DataFrame, model: PqModel, k: int = 10,
     query_type, id_type = queries.schema["query_id"].dataType, slim.schema["id"].dataType
     width = k * refine if vectors is not None else k
 
+    def everything(block: QueryBlock):
+        every = np.arange(len(block))
+        return lambda batch: [(np.arange(batch.num_rows), every, None)]
+
     def search_block(block: QueryBlock) -> DataFrame:
-        shared = share(slim.sparkSession, (block.ids, block.vectors, model.codebooks, model.metric))
-        arrow_query, arrow_id = to_arrow_type(query_type), to_arrow_type(id_type)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, query_vectors, codebooks, metric = shared.value
-            quantiser, n = PqModel(codebooks, metric), len(query_ids)
-            top = TopK(n, width)
-            for batch in batches:
-                if not batch.num_rows or not n:
-                    continue
-                ids = sortable(batch.column(0))
-                raw = b"".join(batch.column(1).to_pylist())
-                codes = np.frombuffer(raw, np.uint8).reshape(batch.num_rows, -1)
-                step = max(1, min(1024, 4_000_000 // batch.num_rows))
-                for lo in range(0, n, step):
-                    tables = quantiser.tables(query_vectors[lo:lo + step])
-                    scores = np.zeros((batch.num_rows, tables.shape[2]), dtype=np.float32)
-                    for i in range(codes.shape[1]):
-                        scores += tables[i][codes[:, i]]
-                    scores = scores.T
-                    bar = top.floor[lo:lo + step].astype(np.float32)
-                    if batch.num_rows > width:
-                        cut = batch.num_rows - width
-                        bar = np.maximum(bar, np.partition(scores, cut, axis=1)[:, cut])
-                    q, r = np.nonzero(scores >= bar[:, None])
-                    top.add(q + lo, scores[q, r].astype(float), ids[r])
-            yield from top.batches(query_ids, arrow_query, arrow_id)
-
-        schema = f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, score double"
-        return rank_results(slim.mapInArrow(scan, schema), width)
+        return rank_results(_scan_codes(slim, block, model, width, query_type, id_type, everything), width)
 
     found = for_each_block(queries, search_block)
-    if vectors is None:
-        return found
+    return found if vectors is None else _refined(found, queries, vectors, model.metric, k)
+
+
+def _scan_codes(rows: DataFrame, block: QueryBlock, model: PqModel, k: int, query_type, id_type, plan) -> DataFrame:
+    """Per-task top-k by compressed score over ``rows(id, code, ...)``; ``plan`` as in ``scan_top_k``."""
+    shared = share(rows.sparkSession, (block, model.codebooks, model.metric))
+    arrow_query, arrow_id = to_arrow_type(query_type), to_arrow_type(id_type)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, codebooks, metric = shared.value
+        model_in_task, top, groups = PqModel(codebooks, metric), TopK(len(queries), k), plan(queries)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = sortable(batch.column(0))
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            for row_idx, query_idx, allowed in groups(batch):
+                _score_codes(model_in_task, top, ids, codes, queries.vectors, row_idx, query_idx, allowed)
+        yield from top.batches(queries.ids, arrow_query, arrow_id)
+
+    return rows.mapInArrow(scan, f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, score double")
+
+
+def _score_codes(model: PqModel, top: TopK, ids, codes, vectors, row_idx, query_idx, allowed) -> None:
+    if not len(row_idx):
+        return
+    step = max(1, min(1024, 4_000_000 // len(row_idx)))
+    for lo in range(0, len(query_idx), step):
+        block = query_idx[lo:lo + step]
+        tables = model.tables(vectors[block])
+        scores = np.zeros((len(row_idx), len(block)), dtype=np.float32)
+        for i in range(codes.shape[1]):
+            scores += tables[i][codes[row_idx, i]]
+        scores = scores.T
+        if allowed is not None:
+            scores = np.where(allowed(row_idx, block), scores, -np.inf)
+        bar = top.floor[block].astype(np.float32)
+        if len(row_idx) > top.k:
+            cut = len(row_idx) - top.k
+            bar = np.maximum(bar, np.partition(scores, cut, axis=1)[:, cut])
+        q, r = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+        top.add(block[q], scores[q, r].astype(float), ids[row_idx[r]])
+
+
+def _refined(found: DataFrame, queries: DataFrame, vectors: DataFrame, metric: str, k: int) -> DataFrame:
+    """Score the found candidates again with the full vectors and keep the best ``k``."""
     full = vectors.select("id", F.col("vector").alias("_row"))
     wanted = queries.select("query_id", F.col("vector").alias("_query"))
     pairs = full.join(small_side(found.select("query_id", "id"), "candidates"), "id").join(wanted, "query_id")
-    exact = pairs.select("query_id", "id", similarity(F.col("_query"), F.col("_row"), model.metric).alias("score"))
+    exact = pairs.select("query_id", "id", similarity(F.col("_query"), F.col("_row"), metric).alias("score"))
     return rank_results(exact, k)
 
 

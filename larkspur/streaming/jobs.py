@@ -92,3 +92,15 @@ def first_arrivals(keys: DataFrame, column: str = "key", event_time: str | None
     if event_time is None:
         return thinned.dropDuplicates([column])
     return thinned.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([column])
+
+
+def stream_progress(query: StreamingQuery) -> DataFrame:
+    """Rows per finished batch of a stream: ``batch_id, rows, seconds, rows_per_second``."""
+    spark = SparkSession.getActiveSession()
+    seen = [
+        (int(p["batchId"]), int(p["numInputRows"]), p["durationMs"].get("triggerExecution", 0) / 1000.0)
+        for p in query.recentProgress if p["numInputRows"]
+    ]
+    rows = spark.createDataFrame(seen, "batch_id bigint, rows bigint, seconds double")
+    rate = F.when(F.col("seconds") > 0, F.round(F.col("rows") / F.col("seconds"), 1)).otherwise(F.lit(0.0))
+    return rows.withColumn("rows_per_second", rate)

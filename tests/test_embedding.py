@@ -172,3 +172,9 @@ def test_an_embedder_is_made_once_per_task(spark):
     policy = EmbedPolicy(batch_size=10, max_batch=12)
     calls = embed_column(rows, "text", Counting(), policy=policy).select(F.col("vector")[0].alias("n")).distinct().count()
     assert calls >= 1
+
+
+def test_sql_function(spark):
+    e.register_sql_embedder(spark, "embed_text", "hashing")
+    row = spark.sql("SELECT embed_text('red fox') AS a, embed_text(' ') AS b").first()
+    assert row.a.success and len(row.a.vector) == 64 and not row.b.success

@@ -19,7 +19,7 @@ from larkspur.operators.sinks import Checkpoint, read_key_documents, write_metri
 from larkspur.plans import datasets
 from larkspur.plans.benchmark import embed_queries, run_benchmark, run_update_benchmark
 from larkspur.plans.ingest import Target, ingest_documents, ingest_images, retry_failures
-from larkspur.streaming.jobs import first_arrivals, ingest_stream, object_stream, point_stream, upsert_stream
+from larkspur.streaming.jobs import first_arrivals, ingest_stream, object_stream, point_stream, stream_progress, upsert_stream
 from tests.pictures import jpeg
 
 # Chunks
@@ -387,7 +387,8 @@ def test_stream_in_steps_equals_one_batch(spark, folder):
     stepwise, whole = CollectionStore(spark, folder + "/1"), CollectionStore(spark, folder + "/2")
     for store in (stepwise, whole):
         store.create("t", 1, "l2", 4)
-    upsert_stream(point_stream(spark, folder + "/in", turns.schema, 1), stepwise, "t", folder + "/check", "seq")
+    query = upsert_stream(point_stream(spark, folder + "/in", turns.schema, 1), stepwise, "t", folder + "/check", "seq")
+    assert [(r.batch_id, r.rows) for r in stream_progress(query).orderBy("batch_id").collect()] == [(0, 30), (1, 30), (2, 30)]
     whole.upsert("t", turns, "seq")
     rows = lambda s: {r.id: r.seq for r in s.read("t").collect()}
     assert rows(stepwise) == rows(whole)

@@ -263,6 +263,32 @@ def test_pq_refined_with_all_candidates_is_exact(spark, sample, folder):
     assert rough.groupBy("query_id").count().filter("count <> 8").count() == 0
 
 
+def test_codes_of_an_index(spark, sample, folder):
+    frame, data = sample
+    model = PqModel.train(frame, 64, subspaces=8, n_codes=32, metric="l2")
+    IvfIndex.build(frame, folder + "/ivf", n_lists=6, metric="l2", filter_columns=["species"], pq=model)
+    index = IvfIndex.open(spark, folder + "/ivf")
+    queries = as_queries(spark, data[:6] + 1)
+    assert found(index.search_codes(queries, 4, 6, refine=64), 6) == expected(data, data[:6] + 1, "l2", 4)
+    rough = index.search_codes(queries, 4, 6, refine=0)
+    assert rough.count() == 24
+    plan = rough._jdf.queryExecution().executedPlan().toString()
+    assert "vector" not in plan.split("ReadSchema: ")[1].split(">")[0]
+    extra = [(f"s{i % 5}",) for i in range(6)]
+    got = index.search_codes(as_queries(spark, data[:6], extra, ", species string"), 3, 6, refine=100)
+    assert found(got, 6) == expected(data, data[:6], "l2", 3, lambda q, i: i % 5 == q % 5)
+    plain = IvfIndex.build(frame, folder + "/plain", n_lists=2)
+    with pytest.raises(ValueError, match="quantiser"):
+        plain.search_codes(queries)
+
+
+def test_named_vectors(spark):
+    frame = spark.createDataFrame([(1, {"image": [1.0, 0.0], "text": [0.0, 1.0]}), (2, {"image": [0.0, 1.0]})],
+                                  "id bigint, vectors map<string,array<float>>")
+    assert search(frame, [0.0, 1.0], 1, layout=Layout(vector="vectors.image")).first().id == 2
+    assert [r.id for r in search(frame, [0.0, 1.0], 5, layout=Layout(vector="vectors.text")).collect()] == [1]
+
+
 @pytest.mark.parametrize("kwargs", [{"subspaces": 7}, {"n_codes": 300}, {"metric": "l1"}])
 def test_pq_refuses(sample, kwargs):
     with pytest.raises(ValueError):
