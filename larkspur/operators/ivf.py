@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from larkspur import files
-from larkspur.functions.vectors import l2_normalise, resolve_metric, similarity
-from larkspur.operators.scoring import QueryBlock, TopK, matrix, sortable
+from larkspur.functions.vectors import l2_normalise, resolve_metric
+from larkspur.operators.scoring import QueryBlock, TopK, matrix, pair_scores, sortable, without_spare_copies
 from larkspur.operators.search import (
     MAX_PUSHED_VALUES, Layout, QueryFilters, for_each_block, rank_results, scan_top_k, share,
 )
@@ -343,6 +343,8 @@ def _scan_codes(rows: DataFrame, block: QueryBlock, model: PqModel, k: int, quer
 
 
 def _score_codes(model: PqModel, top: TopK, ids, codes, vectors, row_idx, query_idx, allowed) -> None:
+    if top.crowded and allowed is None:
+        row_idx = without_spare_copies(codes, ids, row_idx, top.k)
     if not len(row_idx):
         return
     step = max(1, min(1024, 4_000_000 // len(row_idx)))
@@ -360,6 +362,7 @@ def _score_codes(model: PqModel, top: TopK, ids, codes, vectors, row_idx, query_
             cut = len(row_idx) - top.k
             bar = np.maximum(bar, np.partition(scores, cut, axis=1)[:, cut])
         q, r = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+        top.note_crowd(len(q), len(block))
         top.add(block[q], scores[q, r].astype(float), ids[row_idx[r]])
 
 
@@ -368,8 +371,13 @@ def _refined(found: DataFrame, queries: DataFrame, vectors: DataFrame, metric: s
     full = vectors.select("id", F.col("vector").alias("_row"))
     wanted = queries.select("query_id", F.col("vector").alias("_query"))
     pairs = full.join(small_side(found.select("query_id", "id"), "candidates"), "id").join(wanted, "query_id")
-    exact = pairs.select("query_id", "id", similarity(F.col("_query"), F.col("_row"), metric).alias("score"))
-    return rank_results(exact, k)
+
+    @F.arrow_udf("double")
+    def exact(query: pa.Array, row: pa.Array) -> pa.Array:
+        return pa.array(pair_scores(matrix(query), matrix(row), metric))
+
+    scored = pairs.select("query_id", "id", exact(F.col("_query").cast("array<double>"), F.col("_row")).alias("score"))
+    return rank_results(scored, k)
 
 
 class LshIndex:

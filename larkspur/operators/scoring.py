@@ -22,6 +22,8 @@ import pyarrow as pa
 _ESTIMATE_CELLS = 4_000_000
 _EXACT_CELLS = 8_000_000
 _FLOAT32_STEP = 6e-8
+# Candidates per query, as a multiple of k, from which a batch is searched for copies.
+_CROWD = 8
 
 
 @dataclass
@@ -58,6 +60,20 @@ def sortable(column: pa.Array) -> np.ndarray:
     return out.astype(str) if out.dtype == object else out
 
 
+def pair_scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """Exact scores of matching rows of two matrices, each worked out by itself in double."""
+    a, b = queries.astype(np.float64, copy=False), rows.astype(np.float64)
+    if metric == "l2":
+        return -np.sqrt(((a - b) ** 2).sum(axis=1))
+    if metric == "l1":
+        return -np.abs(a - b).sum(axis=1)
+    product = (a * b).sum(axis=1)
+    if metric == "ip":
+        return product
+    lengths = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+    return np.where(lengths > 0, product / np.where(lengths > 0, lengths, 1.0), 0.0)
+
+
 class Scorer:
     """Estimate and exact score of one metric; larger is better."""
 
@@ -110,17 +126,7 @@ class Scorer:
         step = max(1, _EXACT_CELLS // max(1, self.dim))
         for lo in range(0, len(row_idx), step):
             r, q = row_idx[lo:lo + step], query_idx[lo:lo + step]
-            a, b = self.rows[r].astype(np.float64), self.exact_queries[q]
-            if self.metric in ("ip", "cosine"):
-                s = (a * b).sum(axis=1)
-                if self.metric == "cosine":
-                    norms = self.row_norms[r] * self.query_norms[q]
-                    s = np.where(norms > 0, s / np.where(norms > 0, norms, 1.0), 0.0)
-            elif self.metric == "l2":
-                s = -np.sqrt(((a - b) ** 2).sum(axis=1))
-            else:
-                s = -np.abs(a - b).sum(axis=1)
-            out[lo:lo + step] = s
+            out[lo:lo + step] = pair_scores(self.exact_queries[q], self.rows[r], self.metric)
         return out
 
 
@@ -133,6 +139,11 @@ class TopK:
         self.score = np.empty(0)
         self.id: np.ndarray | None = None
         self.floor = np.full(n_queries, -np.inf)
+        self.crowded = False
+
+    def note_crowd(self, candidates: int, queries: int):
+        """Remember that a block had far more candidates than results: many rows tie."""
+        self.crowded = self.crowded or candidates > _CROWD * self.k * queries
 
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray):
         if len(query) == 0:
@@ -142,9 +153,7 @@ class TopK:
         ids = ids if self.id is None else np.concatenate([self.id, ids])
         order = np.lexsort((ids, -score, query))
         query, score, ids = query[order], score[order], ids[order]
-        first = np.r_[True, query[1:] != query[:-1]]
-        starts = np.flatnonzero(first)
-        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+        place = _places(query)
         keep = place < self.k
         self.query, self.score, self.id = query[keep], score[keep], ids[keep]
         last = place[keep] == self.k - 1
@@ -178,7 +187,14 @@ def score_rows(
     scorer: Scorer, top: TopK, ids: np.ndarray, row_idx: np.ndarray, query_idx: np.ndarray,
     allowed: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ):
-    """Offer some rows to some queries; ``allowed`` gives the mask of permitted pairs of a block."""
+    """Offer some rows to some queries; ``allowed`` gives the mask of permitted pairs of a block.
+
+    Copies of one vector tie, and all of them can be candidates. Once a block
+    was crowded, only the ``k`` smallest ids per distinct vector of a batch
+    are offered: no other copy can be among the best ``k``.
+    """
+    if top.crowded and allowed is None:
+        row_idx = without_spare_copies(scorer.rows, ids, row_idx, top.k)
     if len(row_idx) == 0 or len(query_idx) == 0:
         return
     step = max(1, _ESTIMATE_CELLS // len(row_idx))
@@ -187,9 +203,23 @@ def score_rows(
         est, err = scorer.estimate(row_idx, block)
         if allowed is not None:
             est = np.where(allowed(row_idx, block), est, -np.inf)
-        floor = scorer.scale(top.floor[block]) if scorer.metric != "l2" else np.where(
-            np.isinf(top.floor[block]), -np.inf, scorer.scale(top.floor[block]))
-        q, r = _candidates(est, err, floor, top.k)
+        floor = top.floor[block]
+        q, r = _candidates(est, err, np.where(np.isinf(floor), -np.inf, scorer.scale(floor)), top.k)
+        top.note_crowd(len(q), len(block))
         if len(q):
             rows, queries = row_idx[r], block[q]
             top.add(queries, scorer.exact(rows, queries), ids[rows])
+
+
+def without_spare_copies(rows: np.ndarray, ids: np.ndarray, row_idx: np.ndarray, k: int) -> np.ndarray:
+    """The rows that are among the ``k`` smallest ids of their vector."""
+    data = np.ascontiguousarray(rows[row_idx])
+    _, group = np.unique(data.view(np.dtype((np.void, data.shape[1] * data.itemsize))).ravel(), return_inverse=True)
+    order = np.lexsort((ids[row_idx], group))
+    return row_idx[np.sort(order[_places(group[order]) < k])]
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """Position of each element within its run of equal values."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    return np.arange(len(groups)) - np.repeat(starts, np.diff(np.r_[starts, len(groups)]))

@@ -211,13 +211,14 @@ def test_plans(spark, sample, folder):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(1, 6), st.integers(1, 40), st.integers(1, 7), st.sampled_from(METRICS), st.integers(0, 2 ** 31))
-def test_task_scorer_against_brute_force(dim, n, k, metric, seed):
-    """The scorer alone, over several batches of small whole numbers, so that ties are frequent."""
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 6), st.integers(1, 40), st.integers(1, 7), st.sampled_from(METRICS), st.integers(0, 2 ** 31), st.booleans())
+def test_task_scorer_against_brute_force(dim, n, k, metric, seed, crowded):
+    """The scorer alone, over several batches of small whole numbers, so that copies and ties are frequent."""
     rng = np.random.default_rng(seed)
     rows, queries = rng.integers(-2, 3, (n, dim)).astype(np.float32), rng.integers(-2, 3, (3, dim)).astype(float)
     scorer, top = Scorer(queries, metric), TopK(3, k)
+    top.crowded = crowded
     for part in np.array_split(np.arange(n), 3):
         if len(part):
             scorer.prepare(rows[part])
@@ -227,6 +228,21 @@ def test_task_scorer_against_brute_force(dim, n, k, metric, seed):
         got = top.score[top.query == q]
         want = np.sort(scores[q])[::-1][:k]
         assert np.allclose(got, want, atol=1e-9)
+        order = sorted(range(n), key=lambda i: (-round(scores[q, i], 9), i))[:k]
+        assert sorted(top.id[top.query == q]) == sorted(order)
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(30_000, 8)).astype(np.float32)
+    data[::3] = data[0]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id bigint, vector array<float>").repartition(4)
+    queries = data[[0, 1, 2]].astype(np.float64)
+    got = found(search_batch(frame, as_queries(spark, queries), 12), 3)
+    model = PqModel.train(frame.limit(2000), 8, subspaces=2, n_codes=16, metric="cosine")
+    rough = found(search_pq(pq_encode(frame, model).select("id", "code"), as_queries(spark, queries[:1]), model, 12), 1)
+    assert len(rough[0]) == 12
+    assert got[0] == list(range(0, 36, 3)) and got[1:] == expected(data.astype(np.float64), queries, "cosine", 12)[1:]
 
 
 def test_ivf_full_probe_is_exact(spark, sample, folder):
