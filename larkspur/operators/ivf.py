@@ -90,6 +90,7 @@ class IvfIndex:
                  pq: PqModel | None = None):
         self.spark, self.path, self.centroids = spark, path, centroids
         self.metric, self.filters, self.pq = metric, filters, pq
+        self._rows: DataFrame | None = None
 
     @property
     def n_lists(self) -> int:
@@ -151,7 +152,10 @@ class IvfIndex:
         return cls(spark, path, _load_matrix(spark, f"{path}/centroids"), meta["metric"], meta["filters"], pq)
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/lists")
+        """All rows; the files never change, so they are listed once."""
+        if self._rows is None:
+            self._rows = self.spark.read.parquet(f"{self.path}/lists")
+        return self._rows
 
     def probes(self, vectors: np.ndarray, nprobe: int) -> np.ndarray:
         points = _unit(vectors) if self.metric in ("cosine", "ip") else vectors
