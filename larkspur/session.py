@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from larkspur import files
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 SPLIT_BYTES = 128 * 1024 * 1024
 MAX_BROADCAST_ROWS = 1_000_000
@@ -56,8 +58,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A new path below the scratch folder."""
-    return f"{scratch_root(spark)}/larkspur/{purpose}-{uuid.uuid4().hex}"
+    """A new path below the scratch folder of this application."""
+    return f"{_application_scratch(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _application_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/larkspur/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application staged; call it once its results are written elsewhere."""
+    files.remove(spark, _application_scratch(spark))
 
 
 def spread(df: DataFrame) -> DataFrame:

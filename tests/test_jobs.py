@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from larkspur import schemas
+from larkspur import schemas, session
 from larkspur.operators import metrics, relational
 from larkspur.operators.chunking import chunk_list, chunk_spans, explode_chunks
 from larkspur.operators.collections import CollectionStore
@@ -421,3 +421,22 @@ def test_first_arrivals(spark, folder):
     stream.writeStream.format("memory").queryName("arrivals").trigger(availableNow=True).option(
         "checkpointLocation", folder + "/check").start().awaitTermination()
     assert sorted(r.key for r in spark.table("arrivals").collect()) == ["a", "b"]
+
+
+# Scratch folder
+
+
+def test_scratch_is_kept_by_application(spark, folder, monkeypatch):
+    configured = spark.conf.get(session.CHECKPOINT_KEY, None)
+    assert configured is None or session.scratch_root(spark) == configured.rstrip("/")
+    monkeypatch.setattr(session, "scratch_root", lambda spark: folder)
+    assert session.stage(spark.range(3), "numbers").count() == 3
+    assert os.listdir(folder + "/larkspur") == [spark.sparkContext.applicationId]
+    session.clear_scratch(spark)
+    assert os.listdir(folder + "/larkspur") == []
+
+
+def test_small_sides_are_counted(spark):
+    plan = lambda side: spark.range(5).join(side, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(session.small_side(spark.range(3), "side"))
+    assert "strategy=broadcast" not in plan(session.small_side(spark.range(3), "side", max_rows=2))
