@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: reading tables, staging steps and numbering rows."""
+"""Helpers shared by the operators: reading tables and numbering rows."""
 
 from __future__ import annotations
 
@@ -20,15 +20,16 @@ def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
 
     Rows are staged once with a row id. A chunk of consecutive ids is counted and numbered alone, and a running total
     over the small table of chunks gives where its numbers begin, so a value that holds most rows is spread over tasks.
+    A column called ``name`` is replaced.
     """
-    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = rows.withColumn("_chunk", F.expr(f"_row div {CHUNK_ROWS}"))
-    counts = rows.groupBy(by, "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(by).alias("_by"), F.col("_chunk").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    offsets = stage(offsets, "offsets")
-    local = F.row_number().over(Window.partitionBy(by, "_chunk").orderBy("_row")) - 1
-    joined = rows.withColumn("_local", local).join(
-        offsets, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_chunk") == F.col("_at")))
-    return joined.select(*df.columns, (F.col("_begin") + F.col("_local")).cast("bigint").alias(name))
+    rows = stage(df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns if c != name)).alias("row"), F.col(by).alias("by"),
+        F.monotonically_increasing_id().alias("at")), "numbered")
+    rows = rows.withColumn("chunk", F.expr(f"at div {CHUNK_ROWS}"))
+    counts = rows.groupBy("by", "chunk").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("by").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stage(counts.select("by", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")), "offsets")
+    local = F.row_number().over(Window.partitionBy("by", "chunk").orderBy("at")) - 1
+    placed = rows.withColumn("local", local).alias("r").join(
+        offsets.alias("o"), F.col("r.by").eqNullSafe(F.col("o.by")) & (F.col("r.chunk") == F.col("o.chunk")))
+    return placed.select("row.*", (F.col("begin") + F.col("local")).cast("bigint").alias(name))

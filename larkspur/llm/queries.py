@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.llm.inputs import table
 from larkspur.llm.ngram_join import ngram_join
+from larkspur.llm.packing import best_fit_packing, token_pieces
+from larkspur.llm.sharding import shard_rows
+from larkspur.llm.warc import read_archives, write_archives
+
+#: The end-of-document id and length of packed sequences.
+END_ID, CAPACITY = 2, 1024
+#: Shards of equal weight.
+SHARDS = 40
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    archives = write_archives(table(spark, sf_dir, "pages"))
+    records = read_archives(archives, with_payload=False)
+
+    def number(column: str):
+        return F.regexp_extract(column, "^urn:record:(-?[0-9]+)$", 1).try_cast("bigint")
+
+    return records.select(
+        number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest",
+        "record_type", number("refers_to").alias("refers_to"), "verified")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +36,29 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt to 40 shards by rendezvous hashing of their id."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    sharded = shard_rows(docs, "doc_id", [1.0] * SHARDS, content="text_crc32")
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into pieces of at most 1024 tokens and packed into sequences of 1024."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, CAPACITY, content="crc32")
+    packed = best_fit_packing(pieces, CAPACITY)
+    return packed.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {
+    "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
+    "op5_sharding": op5_sharding,
+    "op7_packing": op7_packing,
 }
 
 _SHINGLES = r"""
