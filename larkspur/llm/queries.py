@@ -9,6 +9,7 @@ from larkspur.llm.inputs import table
 from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import best_fit_packing, token_pieces
 from larkspur.llm.sharding import shard_rows
+from larkspur.llm.vector_neighbours import near_vectors
 from larkspur.llm.warc import read_archives, write_archives
 
 #: The end-of-document id and length of packed sequences.
@@ -54,11 +55,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op9_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of embeddings whose cosine is 0.9 or more."""
+    found = near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 QUERIES = {
     "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
     "op7_packing": op7_packing,
+    "op9_vector_neighbours": op9_vector_neighbours,
 }
 
 _SHINGLES = r"""
