@@ -9,6 +9,7 @@ from larkspur.llm.inputs import table
 from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import best_fit_packing, token_pieces
 from larkspur.llm.sharding import shard_rows
+from larkspur.llm.syncmers import anchors, digest, likeness, with_next
 from larkspur.llm.vector_neighbours import near_vectors
 from larkspur.llm.warc import read_archives, write_archives
 
@@ -61,12 +62,32 @@ def op9_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents, of their edited texts, and how alike those and the next document's are."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = F.char_length("text")
+    kept, taken = n - F.expr("char_length(text) div 3"), F.expr("char_length(text) div 3")
+    docs = with_next(docs, anchors=lambda text: anchors(text)["hash"])
+    edited = docs.select(
+        "id", n.cast("bigint").alias("n_chars"), "anchors", "next_anchors",
+        F.concat(F.left("text", kept), F.left("next_text", taken)).alias("edited"))
+    printed = edited.select(
+        "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "anchors", "next_anchors",
+        anchors(F.col("edited"))["hash"].alias("edited_anchors"))
+    return printed.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", digest(F.col("anchors")).alias("fingerprint"),
+        digest(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"))
+
+
 QUERIES = {
     "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
     "op7_packing": op7_packing,
     "op9_vector_neighbours": op9_vector_neighbours,
+    "op10_syncmers": op10_syncmers,
 }
 
 _SHINGLES = r"""
