@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from larkspur.session import ship, stage
 
+#: Narrow rows (ids, counts, labels) that one task writes.
+TASK_ROWS = 100_000
 #: Rows numbered together; each chunk is one row of the table of offsets.
 CHUNK_ROWS = 512
 
@@ -15,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stage_narrow(df: DataFrame, purpose: str, rows: int) -> DataFrame:
+    """``df`` staged by about one task for every ``TASK_ROWS`` of at most ``rows`` narrow rows."""
+    return stage(df.coalesce(max(1, -(-rows // TASK_ROWS))), purpose)
+
+
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     """``df`` with a gapless number from 0 within each value of ``by``; which row gets which number is left open.
 
