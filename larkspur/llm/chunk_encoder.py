@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
 
-#: Chunks remembered by a task; at that many the memory starts anew, which changes no result.
-REMEMBERED = 300_000
+#: Chunks remembered by a worker; more are encoded each time, which changes no result.
+REMEMBERED = 500_000
 #: A space before a visible character always begins a new token, so chunks cut there are encoded alone.
 _CUT = re.compile(r" (?=\S)")
+_MARKS = ".,;:!?"
 
 
 class _Odd(Exception):
@@ -17,20 +19,31 @@ class _Odd(Exception):
 
 
 class _Chunks(dict):
-    def __init__(self, tokenizer, prefix: str):
-        self.tokenizer, self.prefix = tokenizer, prefix
+    """Ids of ``prefix`` and a part, made when first asked for."""
+
+    def __init__(self, encoder: ChunkEncoder, prefix: str):
+        self.encoder, self.prefix = encoder, prefix
 
     def __missing__(self, part: str) -> bytes:
         if self.prefix and (not part or part[0].isspace()):
             raise _Odd
-        ids = self.tokenizer.encode(self.prefix + part, add_special_tokens=False).ids
-        found = np.asarray(ids, "<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(part) < 64:
+        found = self._made(part)
+        if len(self) < REMEMBERED and len(part) < 64:
             self[part] = found
         return found
 
+    def _made(self, part: str) -> bytes:
+        """A token ends between a letter and a mark, and on both sides of a line break between visible characters."""
+        if "\n" in part:
+            lines = part.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                plain = self.encoder.first
+                return self.encoder.line.join([self[lines[0]], *map(plain.__getitem__, lines[1:])])
+        core = part.rstrip(_MARKS)
+        if core and core != part and core[-1].isalpha():
+            return self[core] + self.encoder.first[part[len(core):]]
+        return self.encoder.direct(self.prefix + part)
+
 
 class ChunkEncoder:
     """``encode`` gives the ids of a text as little-endian 32-bit numbers, equal to encoding it at once."""
@@ -38,8 +51,12 @@ class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.first, self.rest = _Chunks(tokenizer, ""), _Chunks(tokenizer, " ")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.first, self.rest = _Chunks(self, ""), _Chunks(self, " ")
+        self.line = self.direct("\n")
+
+    def direct(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         parts = text.split(" ")
@@ -48,3 +65,9 @@ class ChunkEncoder:
         except _Odd:
             parts = _CUT.split(text)
             return b"".join([self.first[parts[0]], *map(self.rest.__getitem__, parts[1:])])
+
+
+@functools.lru_cache(maxsize=1)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """The encoder of a worker process: later tasks find the chunks of earlier ones."""
+    return ChunkEncoder(path)

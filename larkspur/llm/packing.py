@@ -9,7 +9,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from larkspur.llm.chunk_encoder import ChunkEncoder
+from larkspur.llm.chunk_encoder import chunk_encoder
 from larkspur.llm.inputs import numbered
 from larkspur.session import ship, stage
 
@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     as_ids = content == "ids"
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = chunk_encoder(tokenizer_path)
         for batch in batches:
             take, out = [], [[], [], [], []]
             for row, text in enumerate(batch.column(1)):
