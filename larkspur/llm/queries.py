@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.llm.inputs import table
+from larkspur.llm.language import fit_network, predict_language
 from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import best_fit_packing, token_pieces
 from larkspur.llm.sharding import shard_rows
 from larkspur.llm.syncmers import anchors, digest, likeness, with_next
+from larkspur.llm.toxicity import fit_chain, predict_categories
 from larkspur.llm.vector_neighbours import near_vectors
 from larkspur.llm.warc import read_archives, write_archives
 
@@ -17,6 +19,21 @@ from larkspur.llm.warc import read_archives, write_archives
 END_ID, CAPACITY = 2, 1024
 #: Shards of equal weight.
 SHARDS = 40
+#: Categories in the order of the chain, and the probability from which a document is toxic.
+CATEGORIES, TOXIC_FROM = ("low_quality", "toxic"), 0.3
+
+
+def scored_toxicity(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with the probabilities of the chain fitted on the labels table."""
+    labels = table(docs.sparkSession, sf_dir, "labels").select(
+        "doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return predict_categories(docs, fit_chain(docs, labels, CATEGORIES))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the categories for every document, and whether it is toxic."""
+    scored = scored_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
+    return scored.select("doc_id", *(f"p_{c}" for c in CATEGORIES), (F.col("p_toxic") >= TOXIC_FROM).alias("toxic"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +64,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of the labelled ones."""
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    network = fit_network(docs.where(~F.col("held_out")))
+    return predict_language(docs.select("doc_id", "held_out", "text"), network).drop("text")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into pieces of at most 1024 tokens and packed into sequences of 1024."""
     docs = table(spark, sf_dir, "documents")
@@ -82,9 +107,11 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op9_vector_neighbours": op9_vector_neighbours,
     "op10_syncmers": op10_syncmers,
