@@ -9,6 +9,7 @@ from larkspur.llm.inputs import table
 from larkspur.llm.language import fit_network, predict_language
 from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import best_fit_packing, token_pieces
+from larkspur.llm.secret_spans import ADDED, KINDS, find_secrets, fit_field, listed
 from larkspur.llm.sharding import shard_rows
 from larkspur.llm.syncmers import anchors, digest, likeness, with_next
 from larkspur.llm.toxicity import fit_chain, predict_categories
@@ -81,6 +82,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, fit_field(docs)).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"] != ADDED)
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = map(count, KINDS)
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op9_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of embeddings whose cosine is 0.9 or more."""
     found = near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
@@ -113,6 +128,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
+    "op8_secrets": op8_secrets,
     "op9_vector_neighbours": op9_vector_neighbours,
     "op10_syncmers": op10_syncmers,
 }
