@@ -9,6 +9,7 @@ from larkspur.llm.inputs import table
 from larkspur.llm.language import fit_network, predict_language
 from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import best_fit_packing, token_pieces
+from larkspur.llm.pieces import decode_pieces, encode_pieces
 from larkspur.llm.secret_spans import ADDED, KINDS, find_secrets, fit_field, listed
 from larkspur.llm.sharding import shard_rows
 from larkspur.llm.syncmers import anchors, digest, likeness, with_next
@@ -16,6 +17,8 @@ from larkspur.llm.toxicity import fit_chain, predict_categories
 from larkspur.llm.vector_neighbours import near_vectors
 from larkspur.llm.warc import read_archives, write_archives
 
+#: Probability that a merge is skipped, and the seed of its draws.
+DROPOUT, SEED = 0.1, 0
 #: The end-of-document id and length of packed sequences.
 END_ID, CAPACITY = 2, 1024
 #: Shards of equal weight.
@@ -37,6 +40,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *(f"p_{c}" for c in CATEGORIES), (F.col("p_toxic") >= TOXIC_FROM).alias("toxic"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge-dropout and decoded again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model, DROPOUT, SEED)
+    decoded = decode_pieces(encoded, model)
+    return decoded.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back."""
     archives = write_archives(table(spark, sf_dir, "pages"))
@@ -123,6 +136,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_pieces": op2_pieces,
     "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
