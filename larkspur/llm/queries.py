@@ -86,15 +86,19 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs.select("doc_id", "held_out", "text"), network).drop("text")
 
 
-def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents cut into pieces of at most 1024 tokens and packed into sequences of 1024."""
-    docs = table(spark, sf_dir, "documents")
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Pieces of at most 1024 tokens with their places in sequences of 1024."""
     pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, CAPACITY, content="crc32")
     packed = best_fit_packing(pieces, CAPACITY)
     return packed.select(
         F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into pieces of at most 1024 tokens and packed into sequences of 1024."""
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and digest of the base spans, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
