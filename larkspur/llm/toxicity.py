@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from larkspur.session import ship
 
 #: Labelled rows that the chain is fitted on, words that a category selects, folds, ridge.
-TRAINING_ROWS, WORDS, FOLDS, RIDGE = 12_000, 96, 5, 0.1
+TRAINING_ROWS, WORDS, FOLDS, RIDGE = 12_000, 160, 5, 0.1
 #: Labelled texts that share one of this many least shingle hashes count once.
 SIGNATURES = 4
 _WORD = re.compile(r"[^\W\d_]+")
