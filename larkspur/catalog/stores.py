@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.catalog.tables import embed_sql, label_queries, points, table
@@ -54,6 +56,56 @@ def refused_points(spark, sf_dir):
     return kept.unionByName(refused)
 
 
+def loaded_with_refused(spark, sf_dir):
+    """A load in which some rows are refused: what went in, and the rest by reason, none missing."""
+    store, rows = _store(spark), points(spark, sf_dir)
+    mixed = rows.withColumn("vector", F.when(F.col("species") == "1", F.slice("vector", 1, 7)).when(
+        F.col("species") != "2", F.col("vector"))).withColumn("id", F.when(F.col("species") != "3", F.col("id")))
+    report = store.load("vectors", mixed, 64, n_buckets=8)
+    refused = report.rejected.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("points"))
+    stored = store.read("vectors").agg(F.count(F.lit(1)).alias("points")).select(F.lit("stored").alias("outcome"), "points")
+    told = spark.range(1).select(F.lit("told").alias("outcome"), F.lit(report.written).cast("bigint").alias("points"))
+    return stored.unionByName(refused).unionByName(told)
+
+
+def narrower_ids(spark, sf_dir):
+    """Points stored under BIGINT ids, changed and deleted under INT ids: one row per id, with its whole vector."""
+    store, rows = _store(spark), points(spark, sf_dir)
+    store.load("vectors", rows, 64, n_buckets=8)
+    narrow = rows.withColumn("id", F.col("id").cast("int"))
+    store.upsert("vectors", narrow.filter("species = '2'").withColumn("species", F.lit("changed")))
+    store.delete("vectors", narrow.filter("species = '3'").select("id"))
+    whole = F.md5(F.array_join(F.transform("vector", lambda x: F.round(x * 1000).cast("bigint").cast("string")), ","))
+    return store.read("vectors").select("id", "species", whole.alias("vector_md5"))
+
+
+def two_streams_one_collection(spark, sf_dir):
+    """User turns and other turns as two streams of their own into one collection."""
+    store, turns = _store(spark), table(spark, sf_dir, "conversations")
+    store.create("turns", 2, "l2", n_buckets=8)
+    for of_user in (True, False):
+        stream = point_stream(spark, f"{sf_dir}/conversations*.parquet", turns.schema)
+        chosen = lambda batch, of_user=of_user: _turn_points(batch.filter((F.col("role") == "user") == of_user))
+        upsert_stream(stream, store, "turns", scratch_path(spark, "stream"), "turn", enrich=chosen)
+    return _turns_of(store, "turns")
+
+
+def ingested_wrong_dimension(spark, sf_dir):
+    """An embedder of 64 into collections of 32 and 64: what each run reports, stores and records."""
+    store, documents = _store(spark), _documents(spark, sf_dir).select("key", "text").filter("text RLIKE '\\\\S'")
+    store.create("narrow", 32, n_buckets=8)
+    store.create("wide", 64, n_buckets=8)
+    out = []
+    for name, targets, require in (("refused", ["narrow"], "any"), ("any", ["narrow", "wide"], "any"), ("all", ["narrow", "wide"], "all")):
+        checkpoint = Checkpoint(spark, scratch_path(spark, "checkpoint"))
+        report = ingest_documents(documents, "archive", "hashing", {t: Target(store, t) for t in targets}, checkpoint, require=require)
+        result = report.results.agg(F.count_if("success").alias("succeeded"), F.count_if(F.col("cause").isNotNull()).alias("refused"))
+        out.append(result.select(
+            F.lit(name).alias("run"), "succeeded", "refused", F.lit(checkpoint.keys("documents").count()).cast("bigint").alias("recorded"),
+            F.lit(store.count("narrow")).cast("bigint").alias("in_narrow"), F.lit(store.count("wide")).cast("bigint").alias("in_wide")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def deleted_points(spark, sf_dir):
     """One label deleted by id, with ids that do not exist."""
     store, rows = _store(spark), points(spark, sf_dir)
@@ -196,9 +248,10 @@ def streamed_turns(spark, sf_dir):
     store, turns = _store(spark), table(spark, sf_dir, "conversations")
     store.create("turns", 2, "l2", n_buckets=8)
     stream = point_stream(spark, f"{sf_dir}/conversations*.parquet", turns.schema)
-    upsert_stream(stream, store, "turns", scratch_path(spark, "stream"), "turn", enrich=_turn_points)
+    query = upsert_stream(stream, store, "turns", scratch_path(spark, "stream"), "turn", enrich=_turn_points)
     # The same batch again: already recorded in the collection, so nothing changes.
-    store.upsert("turns", _turn_points(turns).withColumn("role", F.lit("replay")), "turn", batch=("points", 0))
+    again = _turn_points(turns).withColumn("role", F.lit("replay"))
+    store.upsert("turns", again, "turn", batch=(f"points:{query.id}", 0))
     return _turns_of(store, "turns")
 
 
@@ -235,6 +288,10 @@ def streamed_event_keys(spark, sf_dir):
 QUERIES = {
     "upserted_turns": upserted_turns,
     "refused_points": refused_points,
+    "loaded_with_refused": loaded_with_refused,
+    "narrower_ids": narrower_ids,
+    "two_streams_one_collection": two_streams_one_collection,
+    "ingested_wrong_dimension": ingested_wrong_dimension,
     "deleted_points": deleted_points,
     "copied_collection": copied_collection,
     "described_collection": described_collection,
@@ -264,6 +321,19 @@ ORACLES = {
     "refused_points": """
 SELECT CASE label WHEN 1 THEN 'vector has 7 dimensions, expected 64' WHEN 2 THEN 'vector is null' ELSE 'stored' END AS outcome,
        count(*) AS points FROM embeddings GROUP BY 1""",
+    "loaded_with_refused": """
+SELECT CASE label WHEN 1 THEN 'vector has 7 dimensions, expected 64' WHEN 2 THEN 'vector is null' WHEN 3 THEN 'id is null'
+                  ELSE 'stored' END AS outcome, count(*) AS points FROM embeddings GROUP BY 1
+UNION ALL SELECT 'told', count(*) FROM embeddings WHERE label NOT IN (1, 2, 3)""",
+    "narrower_ids": """
+SELECT vec_id AS id, CASE label WHEN 2 THEN 'changed' ELSE label::VARCHAR END AS species,
+       md5(array_to_string(list_transform(embedding, lambda x: round((x * 1000::FLOAT)::DOUBLE)::BIGINT::VARCHAR), ',')) AS vector_md5
+FROM embeddings WHERE label <> 3""",
+    "two_streams_one_collection": _LAST_TURN.format(source="conversations", order="(role = 'user'), turn DESC"),
+    "ingested_wrong_dimension": f"""
+WITH n AS (SELECT count(*) AS n FROM documents WHERE NOT {_BLANK})
+SELECT 'refused' AS run, 0::BIGINT AS succeeded, n AS refused, 0::BIGINT AS recorded, 0::BIGINT AS in_narrow, 0::BIGINT AS in_wide FROM n
+UNION ALL SELECT 'any', n, 0, n, 0, n FROM n UNION ALL SELECT 'all', 0, n, 0, 0, n FROM n""",
     "deleted_points": "SELECT vec_id AS id, label::VARCHAR AS species FROM embeddings WHERE label <> 3",
     "copied_collection": """
 SELECT label::VARCHAR AS species, count(*) AS points, sum(vec_id)::BIGINT AS ids FROM embeddings GROUP BY 1""",

@@ -26,6 +26,13 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
 
 
+def changed(spark: SparkSession, path: str) -> dict[str, float]:
+    """Time of the last change, in seconds, of each direct entry of a folder; none when there is no folder."""
+    fs, target = _open(spark, path)
+    found = fs.listStatus(target) if fs.exists(target) else []
+    return {s.getPath().getName(): s.getModificationTime() / 1000 for s in found}
+
+
 def create(spark: SparkSession, path: str, text: str) -> None:
     """Write a new small file; fail if the name is taken."""
     fs, target = _open(spark, path)

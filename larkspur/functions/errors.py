@@ -20,6 +20,11 @@ PERMANENT_CODES = (
     "MalformedPolicy", "MalformedXML", "InvalidRequest", "InvalidPart", "InvalidPartOrder",
     "UnauthorizedAccess",
 )
+# Failures of the connection, which carry no code of the store.
+CONNECTION_ERRORS = (
+    "EndpointConnectionError", "ConnectionClosedError", "ReadTimeoutError", "ConnectTimeoutError", "ConnectionError",
+    "BotoCoreError", "HTTPClientError",
+)
 # HTTP statuses worth another attempt.
 RETRIABLE_STATUSES = ("500", "502", "503", "504")
 
@@ -35,9 +40,10 @@ def error_class(message: Column) -> Column:
 
 
 def is_retriable(code: Column, http_status: Column) -> Column:
-    """Whether a failed request may be sent again; unknown errors may not."""
+    """Whether a failed request may be sent again: failures of the connection may, unknown errors may not."""
     return (
-        F.when(code.isin(*PERMANENT_CODES), F.lit(False))
+        F.when(code.isin(*CONNECTION_ERRORS), F.lit(True))
+        .when(code.isin(*PERMANENT_CODES), F.lit(False))
         .when(code.isin(*THROTTLING_CODES), F.lit(True))
         .when(code.isin(*TRANSIENT_CODES), F.lit(True))
         .otherwise(F.coalesce(http_status.cast("string").isin(*RETRIABLE_STATUSES), F.lit(False)))

@@ -82,14 +82,14 @@ def image_error(content: Column, min_bytes: int = MIN_IMAGE_BYTES, max_bytes: in
 
 
 def _number(content: Column, offset: int, length: int, little: bool = False) -> Column:
-    """Unsigned number stored at a byte offset."""
+    """Unsigned number stored at a byte offset, null where the bytes end before."""
     piece = F.substring(content, offset + 1, length)
     if not little:
-        return F.when(F.length(piece) == length, F.conv(F.hex(piece), 16, 10).cast("int"))
-    total = F.lit(0)
+        return F.when(F.length(piece) == length, F.conv(F.hex(piece), 16, 10).cast("bigint"))
+    total = F.lit(0).cast("bigint")
     for i in range(length):
-        byte = F.conv(F.hex(F.substring(content, offset + 1 + i, 1)), 16, 10).cast("int")
-        total = total + byte * (1 << (8 * i))
+        byte = F.conv(F.hex(F.substring(content, offset + 1 + i, 1)), 16, 10).cast("bigint")
+        total = total + byte * F.lit(1 << (8 * i)).cast("bigint")
     return F.when(F.length(piece) == length, total)
 
 
@@ -152,7 +152,9 @@ def image_dimensions(content: Column) -> Column:
         .when((fmt == "webp") & extended, _number(content, 27, 3, little=True) + 1)
         .when(fmt == "jpeg", jpeg["height"])
     )
-    return F.struct(width.alias("width"), height.alias("height"))
+    sizes = {"width": width, "height": height}
+    # A damaged header can name a size that no image has.
+    return F.struct(*(F.when(v.between(0, 2**31 - 1), v.cast("int")).alias(n) for n, v in sizes.items()))
 
 
 def _fit_other_side(aspect: Column, max_size: int, wide: bool) -> Column:

@@ -10,6 +10,7 @@ publish, and the loser gets a ``ConflictError``.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from larkspur import files
 from larkspur.functions.vectors import resolve_metric
 from larkspur.operators.relational import latest_per_key, row_tiebreak
-from larkspur.session import MAX_BROADCAST_ROWS, stage
+from larkspur.session import stage
 
 BUCKET = "bucket"
 
@@ -62,6 +63,19 @@ def bucket_of(id_column: Column, n_buckets: int) -> Column:
     return F.pmod(F.xxhash64(id_column), F.lit(n_buckets)).cast("int")
 
 
+def fitted(value: Column, given: T.DataType, stored: T.DataType) -> Column:
+    """``value`` in the type the ids are stored in, null where it has no equal there.
+
+    The bucket of an id is a hash that differs between types, so ids are compared in one type only.
+    """
+    if given == stored:
+        return value
+    if isinstance(given, T.IntegralType) and isinstance(stored, T.IntegralType):
+        cast = value.try_cast(stored)
+        return F.when(cast.cast("decimal(38,0)") == value.cast("decimal(38,0)"), cast)
+    raise ValueError(f"ids are stored as {stored.simpleString()}, given as {given.simpleString()}")
+
+
 def reject_reason(vector: Column, dim: int) -> Column:
     return (
         F.when(vector.isNull(), F.lit("vector is null"))
@@ -198,42 +212,42 @@ class CollectionStore:
         rows.sortWithinPartitions(BUCKET, "id").write.mode("append").partitionBy(BUCKET).parquet(
             f"{self._home(name)}/data/{folder}")
 
-    def _replace_rows(self, name: str, folder: str, old: DataFrame, ids: DataFrame, n_ids: int,
-                      incoming: DataFrame | None, n_buckets: int) -> None:
+    def _replace_rows(self, name: str, folder: str, old: DataFrame, ids: DataFrame, incoming: DataFrame | None) -> None:
         """Write the old rows without the given ids, and the incoming rows, to a new folder.
 
-        A counted small set of ids is broadcast: old rows are then filtered
-        and rewritten where they are read, without a shuffle, and only the
-        incoming rows move. Otherwise old rows, incoming rows and ids meet in
-        one shuffle by bucket and a salt of the id, and the newest row per id
-        is kept inside that layout.
+        The ids come from a file, so Spark knows their bytes and broadcasts them if they are few: then old rows are
+        filtered and rewritten where they are read, and only the incoming rows move.
         """
-        if n_ids <= MAX_BROADCAST_ROWS:
-            self._write(name, folder, old.join(F.broadcast(ids), [BUCKET, "id"], "left_anti"))
-            if incoming is not None:
-                self._write(name, folder, incoming.hint("rebalance", BUCKET))
-            return
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), n_buckets)
-        salt = F.pmod(F.hash("id"), F.lit(-(-parts // n_buckets)))
-        fresh = ids if incoming is None else incoming
-        both = old.withColumn("_new", F.lit(False)).unionByName(
-            fresh.withColumn("_new", F.lit(True)), allowMissingColumns=True)
-        placed = both.withColumn("_salt", salt).repartition(parts, BUCKET, "_salt")
-        newest = Window.partitionBy(BUCKET, "_salt", "id").orderBy(F.desc("_new"))
-        kept = placed.withColumn("_n", F.row_number().over(newest)).filter("_n = 1")
-        if incoming is None:
-            kept = kept.filter("not _new")
-        self._write(name, folder, kept.drop("_new", "_salt", "_n"))
+        self._write(name, folder, old.join(ids, [BUCKET, "id"], "left_anti"))
+        if incoming is not None:
+            self._write(name, folder, incoming.hint("rebalance", BUCKET))
 
     def _buckets_in(self, name: str, folder: str) -> set[int]:
         entries = files.names(self.spark, f"{self._home(name)}/data/{folder}")
         return {int(e.split("=")[1]) for e in entries if e.startswith(f"{BUCKET}=")}
 
+    @staticmethod
+    def _id_type(manifest: Manifest) -> T.DataType | None:
+        if not manifest.schema:
+            return None
+        return T.StructType.fromJson(json.loads(manifest.schema))["id"].dataType
+
+    def _with_stored_ids(self, rows: DataFrame, manifest: Manifest) -> DataFrame:
+        """``rows`` with ids in the type of the collection; ``_given`` tells whether there was one."""
+        rows = rows.withColumn("_given", F.col("id").isNotNull())
+        stored = self._id_type(manifest)
+        return rows if stored is None else rows.withColumn("id", fitted(F.col("id"), rows.schema["id"].dataType, stored))
+
     def _checked(self, points: DataFrame, manifest: Manifest) -> DataFrame:
-        typed = points.withColumn("vector", F.col("vector").cast("array<float>"))
-        reason = F.when(F.col("id").isNull(), F.lit("id is null")).otherwise(
+        typed = self._with_stored_ids(points.withColumn("vector", F.col("vector").cast("array<float>")), manifest)
+        reason = F.when(~F.col("_given"), F.lit("id is null")).when(
+            F.col("id").isNull(), F.lit("id does not fit the type of the collection")).otherwise(
             reject_reason(F.col("vector"), manifest.dim))
-        return typed.withColumn("_reason", reason)
+        return typed.withColumn("_reason", reason).drop("_given")
+
+    @staticmethod
+    def _refused(checked: DataFrame) -> DataFrame:
+        return checked.filter("_reason is not null").select("id", F.col("_reason").alias("reason"))
 
     @staticmethod
     def _stored_schema(df: DataFrame) -> str:
@@ -241,8 +255,8 @@ class CollectionStore:
         return json.dumps(T.StructType([*fields, T.StructField(BUCKET, T.IntegerType())]).jsonValue())
 
     def load(self, name: str, points: DataFrame, dim: int, metric: str = "cosine", n_buckets: int = 64,
-             order_by: str | None = None, distinct_ids: bool = False) -> int:
-        """Bulk load into a new collection and return the number of points.
+             order_by: str | None = None, distinct_ids: bool = False) -> WriteReport:
+        """Bulk load into a new collection; the report tells how many rows went in and which were refused.
 
         The rebalance hint lets Spark split a large bucket over several tasks
         and join small ones. With ``distinct_ids`` the caller vouches that no
@@ -251,34 +265,42 @@ class CollectionStore:
         """
         manifest = self.create(name, dim, metric, n_buckets)
         if manifest.folders:
-            self.upsert(name, points, order_by)
-            return self.count(name)
-        rows = self._checked(points, manifest).filter("_reason is null").drop("_reason")
+            return self.upsert(name, points, order_by)
+        return self._fill(manifest, points, order_by, distinct_ids)
+
+    def _fill(self, manifest: Manifest, points: DataFrame, order_by: str | None, distinct_ids: bool) -> WriteReport:
+        """Publish a version that holds the given points only."""
+        fresh = replace(manifest, schema=None)
+        checked = self._checked(points, fresh)
+        rows = checked.filter("_reason is null").drop("_reason")
         if not distinct_ids:
             rows = collapse_duplicates(rows, order_by)
-        rows = rows.withColumn(BUCKET, bucket_of(F.col("id"), n_buckets))
+        rows = rows.withColumn(BUCKET, bucket_of(F.col("id"), manifest.n_buckets))
         version = manifest.version + 1
         folder = self._new_folder(version)
-        self._write(name, folder, rows.hint("rebalance", BUCKET))
-        folders = {str(b): folder for b in self._buckets_in(name, folder)}
-        self._publish(replace(manifest, version=version, folders=folders, written={folder: len(folders)},
-                              schema=self._stored_schema(rows)))
-        return self.count(name)
+        self._write(manifest.name, folder, rows.hint("rebalance", BUCKET))
+        folders = {str(b): folder for b in self._buckets_in(manifest.name, folder)}
+        done = self._publish(replace(manifest, version=version, folders=folders, written={folder: len(folders)},
+                                     schema=self._stored_schema(rows), index=None))
+        refused = self._refused(checked)
+        return WriteReport(version, self._read_buckets(done, None).count(), refused.count(), refused)
 
     def upsert(self, name: str, points: DataFrame, order_by: str | None = None,
                batch: tuple[str, int] | None = None, staged: bool = False) -> WriteReport:
         """Insert points or overwrite those with the same id.
 
         ``order_by`` decides between rows of one id inside the input. A batch
-        ``(stream, number)`` that was already applied is a no-op. The input is
-        read several times and therefore staged first, unless the caller says
-        that it already comes from stored files (``staged``).
+        ``(stream, number)`` that was already applied writes nothing, but still
+        reports what it refuses. The input is read several times and therefore
+        staged first, unless the caller says that it already comes from stored
+        files (``staged``).
         """
         manifest = self.manifest(name)
-        if batch and manifest.applied.get(batch[0], -1) >= batch[1]:
-            return WriteReport(manifest.version, 0, 0)
         checked = self._checked(points, manifest).withColumn(BUCKET, bucket_of(F.col("id"), manifest.n_buckets))
         rows = checked if staged else stage(checked, "upsert")
+        if batch and manifest.applied.get(batch[0], -1) >= batch[1]:
+            refused = self._refused(rows)
+            return WriteReport(manifest.version, 0, refused.count(), refused)
         counts = {
             (r[BUCKET], r.good): r["count"]
             for r in rows.groupBy(BUCKET, F.col("_reason").isNull().alias("good")).count().collect()
@@ -286,7 +308,7 @@ class CollectionStore:
         touched = {b for b, good in counts if good}
         written = sum(n for (_, good), n in counts.items() if good)
         refused = sum(n for (_, good), n in counts.items() if not good)
-        rejected = rows.filter("_reason is not null").select("id", F.col("_reason").alias("reason"))
+        rejected = self._refused(rows)
         applied = {**manifest.applied, **({batch[0]: batch[1]} if batch else {})}
         if not touched:
             if batch:
@@ -302,7 +324,7 @@ class CollectionStore:
         if old_buckets:
             old = self._read_buckets(manifest, old_buckets)
             schema = self._stored_schema(old.unionByName(incoming, allowMissingColumns=True))
-            self._replace_rows(name, folder, old, good.select(BUCKET, "id"), written, incoming, manifest.n_buckets)
+            self._replace_rows(name, folder, old, stage(good.select(BUCKET, "id"), "ids"), incoming)
         else:
             self._write(name, folder, incoming.hint("rebalance", BUCKET))
         folders = {**manifest.folders, **{str(b): folder for b in touched}}
@@ -313,16 +335,15 @@ class CollectionStore:
     def delete(self, name: str, ids: DataFrame) -> int:
         """Remove the points with the given ids (column ``id``); unknown ids are ignored."""
         manifest = self.manifest(name)
-        gone = stage(ids.select("id").filter("id is not null").withColumn(
-            BUCKET, bucket_of(F.col("id"), manifest.n_buckets)), "delete")
+        typed = self._with_stored_ids(ids.select("id"), manifest).drop("_given").filter("id is not null")
+        gone = stage(typed.withColumn(BUCKET, bucket_of(F.col("id"), manifest.n_buckets)), "delete")
         counts = {r[BUCKET]: r["count"] for r in gone.groupBy(BUCKET).count().collect()}
         touched = set(counts) & {int(b) for b in manifest.folders}
         if not touched:
             return manifest.version
         version = manifest.version + 1
         folder = self._new_folder(version)
-        self._replace_rows(name, folder, self._read_buckets(manifest, touched), gone, sum(counts.values()), None,
-                           manifest.n_buckets)
+        self._replace_rows(name, folder, self._read_buckets(manifest, touched), gone.select(BUCKET, "id"), None)
         left = self._buckets_in(name, folder)
         folders = {b: f for b, f in manifest.folders.items() if int(b) not in touched}
         folders.update({str(b): folder for b in left})
@@ -344,19 +365,28 @@ class CollectionStore:
         files.remove(self.spark, f"{self._home(name)}/index")
 
     def copy(self, name: str, target: CollectionStore, new_name: str | None = None) -> int:
-        """Copy the current version to another store, replacing a collection of that name."""
+        """Copy the current version to another store, replacing the rows of a collection of that name.
+
+        Readers of the target see its old rows until the new ones are all written. Ids are distinct already.
+        """
         manifest, new_name = self.manifest(name), new_name or name
-        if target.exists(new_name):
-            target.drop(new_name)
-        return target.load(new_name, self.read(name).drop(BUCKET), manifest.dim, manifest.metric, manifest.n_buckets)
+        fresh = target.create(new_name, manifest.dim, manifest.metric, manifest.n_buckets)
+        fresh = replace(fresh, dim=manifest.dim, metric=manifest.metric, n_buckets=manifest.n_buckets, applied={})
+        return target._fill(fresh, self.read(name).drop(BUCKET), None, True).written
 
-    def vacuum(self, name: str, keep: int = 2) -> list[str]:
-        """Remove data folders that none of the newest ``keep`` versions uses."""
+    def vacuum(self, name: str, keep: int = 2, older_than_hours: float = 24.0) -> list[str]:
+        """Remove data folders that none of the newest ``keep`` versions uses.
+
+        A folder that changed within ``older_than_hours`` may belong to a write that is not published yet and stays;
+        choose more than the longest write takes.
+        """
         recent = [int(n.split(".")[0]) for n in self._manifest_names(name)[:keep]]
         used: set[str] = set()
         for version in recent:
             used |= set(self.manifest(name, version).folders.values())
-        stale = [f for f in files.names(self.spark, f"{self._home(name)}/data") if f.startswith("folder=") and f not in used]
+        changed = files.changed(self.spark, f"{self._home(name)}/data")
+        limit = time.time() - older_than_hours * 3600
+        stale = [f for f, at in changed.items() if f.startswith("folder=") and f not in used and at <= limit]
         for folder in stale:
             files.remove(self.spark, f"{self._home(name)}/data/{folder}")
         return stale

@@ -54,6 +54,7 @@ class EmbedPolicy:
     calls_per_second: float | None = None
     breaker_failures: int | None = None
     breaker_recovery_s: float = 30.0
+    partitions: int | None = None  # of the input; rows of one partition share batches
     on_error: str = "capture"
 
     def __post_init__(self):
@@ -239,7 +240,7 @@ def embed_column(
     """
     factory = get_embedder(embedder)
     udf = _embed_struct(factory, policy, _task_interval(df.sparkSession, policy), _blank_text)
-    return _with_result(spread(df), udf(F.col(column)), out)
+    return _with_result(spread(df, policy.partitions), udf(F.col(column)), out)
 
 
 def embed_images(
@@ -249,7 +250,7 @@ def embed_images(
     """Add a vector for each image in a binary column; empty images are failed rows."""
     factory = get_embedder(embedder)
     udf = _embed_struct(factory, policy, _task_interval(df.sparkSession, policy), _empty_image)
-    return _with_result(spread(df), udf(F.col(column)), out)
+    return _with_result(spread(df, policy.partitions), udf(F.col(column)), out)
 
 
 def embed_image_text(
@@ -259,7 +260,7 @@ def embed_image_text(
     """Add a vector for each image with its text; both come from one row, so they always pair up."""
     factory = get_embedder(embedder)
     udf = _embed_pair_struct(factory, policy, _task_interval(df.sparkSession, policy))
-    return _with_result(spread(df), udf(F.col(image), F.col(text)), out)
+    return _with_result(spread(df, policy.partitions), udf(F.col(image), F.col(text)), out)
 
 
 _registry: dict[str, EmbedderFactory] = {}

@@ -26,22 +26,13 @@ from larkspur.operators.scoring import QueryBlock, TopK, matrix, pair_scores, so
 from larkspur.operators.search import (
     MAX_PUSHED_VALUES, Layout, QueryFilters, for_each_block, rank_results, scan_top_k, share,
 )
-from larkspur.session import small_side, stage
+from larkspur.session import stage
 
-MAX_TRAINING_ROWS = 10_000_000
 # Centroids and codebooks are held by every task.
 MAX_MODEL_BYTES = 256 * 1024 * 1024
 LIST = "ivf_list"
 
 
-def training_sample(rows: DataFrame, n_clusters: int, total: int, seed: int) -> DataFrame:
-    """A sample of at most ``MAX_TRAINING_ROWS`` vectors, 256 per cluster if there are that many."""
-    wanted = min(MAX_TRAINING_ROWS, max(1, 256 * n_clusters))
-    if total > wanted:
-        rows = rows.sample(withReplacement=False, fraction=wanted / total, seed=seed)
-    return stage(rows, "training")  # read many times over
-
-
 def train_centroids(vectors: DataFrame, column: str, n_clusters: int, seed: int, max_iter: int = 10) -> np.ndarray:
     """Centroids found by MLlib k-means; fewer than asked for when there are fewer distinct rows."""
     features = vectors.select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
@@ -115,8 +106,8 @@ class IvfIndex:
             raise ValueError("cannot index an empty collection")
         by_direction = metric in ("cosine", "ip")
         shaped = l2_normalise(F.col("vector")) if by_direction else F.col("vector")
-        sample = training_sample(usable.select(shaped.alias("vector")), n_lists, total, seed)
-        centroids = train_centroids(sample, "vector", min(n_lists, total), seed)
+        training = stage(usable.select(shaped.alias("vector")), "training")  # read many times over
+        centroids = train_centroids(training, "vector", min(n_lists, total), seed)
         _check_model_size(centroids.size)
 
         assigned = cls._assign(usable, centroids, by_direction)
@@ -247,11 +238,11 @@ class PqModel:
         total = usable.count()
         codes = max(2, min(n_codes, total))
         shaped = l2_normalise(F.col("vector")) if metric == "cosine" else F.col("vector")
-        sample = training_sample(usable.select(shaped.alias("vector")), codes, total, seed)
+        training = stage(usable.select(shaped.alias("vector")), "training")  # read many times over
         _check_model_size(subspaces * codes * width)
 
         def fit(number: int) -> np.ndarray:
-            part = sample.select(F.slice("vector", number * width + 1, width).alias("part"))
+            part = training.select(F.slice("vector", number * width + 1, width).alias("part"))
             return train_centroids(part, "part", codes, seed + number)
 
         with ThreadPoolExecutor(max_workers=min(8, subspaces)) as pool:
@@ -374,7 +365,7 @@ def _refined(found: DataFrame, queries: DataFrame, vectors: DataFrame, metric: s
     """Score the found candidates again with the full vectors and keep the best ``k``."""
     full = vectors.select("id", F.col("vector").alias("_row"))
     wanted = queries.select("query_id", F.col("vector").alias("_query"))
-    pairs = full.join(small_side(found.select("query_id", "id"), "candidates"), "id").join(wanted, "query_id")
+    pairs = full.join(stage(found.select("query_id", "id"), "candidates"), "id").join(wanted, "query_id")
 
     @F.arrow_udf("double")
     def exact(query: pa.Array, row: pa.Array) -> pa.Array:

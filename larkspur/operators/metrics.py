@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.errors import error_class
-from larkspur.session import small_side
+from larkspur.session import stage
 
 # The sketch is off by at most 1 / _ACCURACY of the rows; the band is wider than that.
 _ACCURACY = 10_000
@@ -53,9 +53,10 @@ def sink_rollup(status: DataFrame) -> DataFrame:
 
 
 def classify_errors(results: DataFrame, message: str = "error_message") -> DataFrame:
-    """Number of failures per error class."""
+    """Number of failures per error class, by what caused them where ``cause`` says so, else by the message."""
     failures = results.filter(~F.col("success"))
-    return failures.groupBy(error_class(F.col(message)).alias("error_class")).agg(F.count(F.lit(1)).alias("failures"))
+    said = F.coalesce("cause", message) if "cause" in results.columns else F.col(message)
+    return failures.groupBy(error_class(said).alias("error_class")).agg(F.count(F.lit(1)).alias("failures"))
 
 
 def exact_percentiles(rows: DataFrame, value: str, probabilities: list[float], by: list[str]) -> DataFrame:
@@ -73,7 +74,7 @@ def exact_percentiles(rows: DataFrame, value: str, probabilities: list[float], b
         F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", marks, _ACCURACY).alias("_marks"))
     small = F.col("_total") <= _SMALL_GROUP
-    limits = small_side(stats.select(*by, "_total", F.array(*[
+    limits = stage(stats.select(*by, "_total", F.array(*[
         F.struct(F.lit(float(p)).alias("p"),
                  F.when(small, F.col("_min")).otherwise(F.col("_marks")[2 * i]).alias("lo"),
                  F.when(small, F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]).alias("hi"))

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from larkspur.functions.predicates import all_of, in_box, in_dates, in_months, month_number, species_is
 from larkspur.functions.vectors import resolve_metric
 from larkspur.operators.scoring import QueryBlock, Scorer, TopK, matrix, score_rows, sortable
-from larkspur.session import scratch_path, small_side
+from larkspur.session import scratch_path, stage
 
 # A block of queries is held in memory by every task, so its size is checked;
 # more queries than this are searched block after block.
@@ -360,7 +360,7 @@ def with_payload(results: DataFrame, collection: DataFrame, columns: list[str],
     one scan without moving the collection, and the vectors are not read.
     """
     payload = collection.select(F.col(id_column).alias("id"), *[c for c in columns if c != id_column])
-    return payload.join(small_side(results, "results"), "id").select(*results.columns, *[c for c in columns if c != "id"])
+    return payload.join(stage(results, "results"), "id").select(*results.columns, *[c for c in columns if c != "id"])
 
 
 def result_page(results: DataFrame, page: int, size: int = 50, limit: int = 200) -> DataFrame:

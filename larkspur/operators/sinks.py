@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur import files, schemas
-from larkspur.session import MAX_BROADCAST_ROWS
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -33,12 +32,15 @@ def write_metrics(metrics: DataFrame, root: str, step: str) -> str:
 
 def write_sinks(
     batch: DataFrame, sinks: dict[str, Callable[[DataFrame], object]], batch_id: str = "0",
+    reports: dict[str, object] | None = None,
 ) -> DataFrame:
     """Write one staged batch to every sink and report each outcome as a row.
 
     The writes run side by side and do not affect each other; an error is
-    reported, never raised. An empty batch writes nothing and counts as a
-    success.
+    reported, never raised. A sink that refused rows (``rejected_rows`` of what
+    its writer returned) has not succeeded. What the writers returned is put
+    into ``reports``, by sink, where that is given. An empty batch writes
+    nothing and counts as a success.
     """
     spark, size = batch.sparkSession, batch.count()
 
@@ -47,10 +49,14 @@ def write_sinks(
         if size == 0:
             return batch_id, name, True, "", 0
         try:
-            write(batch)
-            return batch_id, name, True, "", size
+            report = write(batch)
         except Exception as error:
-            return batch_id, name, False, f"{type(error).__name__}: {str(error).splitlines()[0]}", size
+            lines = str(error).splitlines() or [""]
+            return batch_id, name, False, f"{type(error).__name__}: {lines[0]}".removesuffix(": "), size
+        if reports is not None:
+            reports[name] = report
+        refused = getattr(report, "rejected_rows", 0)
+        return batch_id, name, not refused, f"refused {refused} of {size} rows" if refused else "", size
 
     with ThreadPoolExecutor(max_workers=max(1, len(sinks))) as pool:
         rows = list(pool.map(attempt, sinks.items()))
@@ -82,10 +88,9 @@ class Checkpoint:
         return self._table().filter(F.col("collection") == collection).select("key").distinct()
 
     def pending(self, collection: str, objects: DataFrame, column: str = "key") -> DataFrame:
-        """Objects whose key is not recorded. A counted small record is broadcast, so that contents do not move."""
+        """Objects whose key is not recorded. Spark broadcasts a record of few bytes, so that contents do not move."""
         done = self._table().filter(F.col("collection") == collection).select(F.col("key").alias(column))
-        small = done.count() <= MAX_BROADCAST_ROWS
-        return objects.join(F.broadcast(done) if small else done, column, "left_anti")
+        return objects.join(done, column, "left_anti")
 
     def import_json(self, collection: str, path: str, run_id: str = "import") -> None:
         """Take over keys from JSON documents; a missing or damaged document counts as empty."""

@@ -11,11 +11,11 @@ from larkspur.operators.chunking import explode_chunks
 from larkspur.operators.collections import CollectionStore
 from larkspur.operators.embedding import IMAGE_POLICY, EmbedderFactory, EmbedPolicy, embed_images
 from larkspur.operators.relational import (
-    cycle_documents, enrich_embeddings, first_rows, image_dataset, image_points, photo_metadata,
-    running_total,
+    cycle_documents, first_rows, image_dataset, image_points, latest_per_key, photo_metadata, row_tiebreak, running_total,
+    valid_embeddings,
 )
 from larkspur.operators.sinks import write_dataset, write_documents
-from larkspur.session import spread, stage
+from larkspur.session import stage
 
 
 def build_image_dataset(
@@ -49,9 +49,12 @@ def build_collection(
     A photo with several observations keeps the one with the highest
     observation id.
     """
-    rows = enrich_embeddings(embeddings, photos, observations, taxa)
+    # One row per photo before the vectors come in, so that no vector is multiplied.
+    about = photo_metadata(photos, observations, taxa)
+    about = latest_per_key(about, ["photo_id"], [F.desc("observation_uuid"), row_tiebreak(about, ["photo_id"]).desc()])
+    rows = about.join(valid_embeddings(embeddings).select("photo_id", "embedding"), "photo_id")
     points = image_points(rows, "embedding", host)
-    return store.load(name, points, dim, metric, n_buckets, order_by="observation_uuid")
+    return store.load(name, points, dim, metric, n_buckets, order_by="observation_uuid").written
 
 
 def reembed_dataset(
@@ -79,7 +82,7 @@ def book_chunks(books: DataFrame, chunk_size: int = 500, compat: bool = False) -
 
     Only one row per book takes part in the numbering, not every chunk.
     """
-    cleaned = spread(books).select("book", clean_book_text(F.col("text")).alias("text"))
+    cleaned = books.select("book", clean_book_text(F.col("text")).alias("text"))
     chunks = stage(explode_chunks(cleaned, "text", chunk_size, compat), "chunks")
     sizes = chunks.groupBy("book").agg(F.count(F.lit(1)).alias("n"))
     offsets = running_total(sizes, "book", F.col("n"), "first").select("book", "first")

@@ -5,17 +5,17 @@ from __future__ import annotations
 import time
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur import schemas
 from larkspur.functions.errors import is_retriable
 from larkspur.functions.payload import object_uri, point_id
-from larkspur.operators.collections import CollectionStore
+from larkspur.operators.collections import CollectionStore, WriteReport
 from larkspur.operators.embedding import (
     IMAGE_POLICY, TEXT_POLICY, EmbedderFactory, EmbedPolicy, embed_column, embed_images,
 )
-from larkspur.operators.metrics import sink_rollup, summarize_run
+from larkspur.operators.metrics import summarize_run
 from larkspur.operators.sinks import Checkpoint, write_sinks
 from larkspur.session import stage
 from larkspur.sources.objects import check_images, decode_text
@@ -49,36 +49,55 @@ def text_points(embedded: DataFrame, bucket: str, id_mode: str = "deterministic"
 
 
 def _sink(target: Target, dim: int, batch: tuple[str, int] | None):
-    def write(points: DataFrame) -> None:
+    def write(points: DataFrame) -> WriteReport:
         target.store.create(target.collection, dim, n_buckets=target.n_buckets)
-        target.store.upsert(target.collection, points, batch=batch, staged=True)
+        return target.store.upsert(target.collection, points, batch=batch, staged=True)
 
     return write
 
 
+def _commonest_size(points: DataFrame) -> int | None:
+    """The vector size of a collection that does not exist yet; nothing where there is no point."""
+    sizes = points.groupBy(F.size("vector").alias("dim")).count()
+    first = sizes.orderBy(F.desc("count"), "dim").first()
+    return first and first["dim"]
+
+
 def _deliver(
     outcomes: DataFrame, points: DataFrame, targets: dict[str, Target], require: str, checkpoint: Checkpoint | None,
     name: str, run_id: str, started: float, batch: tuple[str, int] | None,
 ) -> IngestReport:
-    """Write points to the targets, then derive one result row per key and record the successes."""
+    """Write points to the targets, then derive one result row per key and record the successes.
+
+    A point counts as stored by a target whose write ended and did not refuse it.
+    """
     if require not in ("any", "all"):
         raise ValueError("require must be 'any' or 'all'")
-    first = points.select(F.size("vector").alias("dim")).limit(1).collect()
-    dim = first[0].dim if first else 1
-    sinks = {n: _sink(t, dim, batch) for n, t in targets.items()}
-    status = write_sinks(points, sinks if first else {n: lambda _: None for n in targets}, run_id)
-    verdict = sink_rollup(status).first()
-    accepted = verdict is None or (verdict.any_success if require == "any" else verdict.all_success)
-
-    embedded = F.col("success")
-    results = outcomes.select(
+    dim = _commonest_size(points)
+    reports: dict[str, WriteReport] = {}
+    sinks = {n: _sink(t, dim or 1, batch) for n, t in targets.items()}
+    status = write_sinks(points, sinks if dim else {n: lambda _: None for n in targets}, run_id, reports)
+    wrote = len(reports) if dim else len(targets)
+    needed = min(1, len(targets)) if require == "any" else len(targets)
+
+    refused = [r.rejected.select("id", F.lit(n).alias("sink"), "reason") for n, r in reports.items()
+               if isinstance(r, WriteReport) and r.rejected_rows]
+    results = outcomes.withColumn("_stored", F.lit(wrote)).withColumn("_reason", F.lit(None).cast("string"))
+    if refused:
+        every = reduce(DataFrame.unionByName, refused).groupBy("id").agg(
+            F.count_distinct("sink").alias("_lost"), F.min("reason").alias("_why"))
+        keys = points.select(F.col("s3_key").alias("key"), "id").join(every, "id").groupBy("key").agg(
+            F.max("_lost").alias("_lost"), F.min("_why").alias("_why"))
+        results = results.join(keys, "key", "left").withColumn(
+            "_stored", F.col("_stored") - F.coalesce("_lost", F.lit(0))).withColumn("_reason", F.col("_why"))
+    embedded, stored = F.col("success"), F.col("_stored") >= needed
+    results = results.select(
         "key",
-        (embedded & F.lit(accepted)).alias("success"),
-        F.when(~embedded, F.col("error_message"))
-        .when(~F.lit(accepted), F.lit(UPSERT_FAILED)).otherwise(F.lit("")).alias("error_message"),
-        "cause",
+        (embedded & stored).alias("success"),
+        F.when(~embedded, F.col("error_message")).when(~stored, F.lit(UPSERT_FAILED)).otherwise(F.lit("")).alias("error_message"),
+        F.coalesce("cause", F.when(embedded & ~stored, F.col("_reason"))).alias("cause"),
     )
-    if checkpoint is not None and accepted and first:
+    if checkpoint is not None and dim:
         checkpoint.append(name, results.filter("success"), run_id)
     summary = summarize_run(results, time.monotonic() - started)
     return IngestReport(results, status, summary)
@@ -157,7 +176,3 @@ def retry_failures(
     """Ingest again the objects whose failure is retriable."""
     again = retriable_keys(failures, F.col(code), F.col(http_status))
     return ingest_documents(objects.join(again, "key", "left_semi"), bucket, embedder, targets, **options)
-
-
-def empty_results(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schemas.PROCESSING_RESULT)

@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from larkspur import files
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-SPLIT_BYTES = 128 * 1024 * 1024
-MAX_BROADCAST_ROWS = 1_000_000
 
 _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -71,18 +69,9 @@ def clear_scratch(spark: SparkSession) -> None:
     files.remove(spark, _application_scratch(spark))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all slots for a costly per-row step on an input too small to fill them.
-
-    Inputs with fewer bytes than one scan split per slot are repartitioned;
-    larger ones already come in enough splits and are left alone.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(slots) if estimate < slots * SPLIT_BYTES else df
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` in so many partitions where a number is given, for a costly step on an input that comes in few splits."""
+    return df if partitions is None or df.isStreaming else df.repartition(partitions)
 
 
 def stage(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -99,12 +88,3 @@ def stage(df: DataFrame, purpose: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, purpose: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Stage ``df`` and mark it for broadcast if its counted rows are within the bound.
-
-    Meant for narrow rows such as ids and search results.
-    """
-    staged = stage(df, purpose)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged

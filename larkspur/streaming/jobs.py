@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from larkspur.operators.collections import CollectionStore
+from larkspur import files
+from larkspur.operators.collections import CollectionStore, WriteReport
 from larkspur.operators.embedding import EmbedderFactory
 from larkspur.plans.ingest import IngestReport, Target, ingest_documents
 
@@ -43,6 +45,11 @@ def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return query
 
 
+def _batch_key(spark: SparkSession, checkpoint: str, name: str) -> str:
+    """A name that only batches of this checkpoint's query have: another stream, or a new checkpoint, starts afresh."""
+    return f"{name}:{json.loads(files.read(spark, f'{checkpoint.rstrip('/')}/metadata'))['id']}"
+
+
 def ingest_stream(
     objects: DataFrame, bucket: str, embedder: str | EmbedderFactory, targets: dict[str, Target],
     checkpoint: str, stream_name: str = "ingest", wait: bool = True,
@@ -50,12 +57,14 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Ingest a stream of text objects batch by batch.
 
-    The stream's own checkpoint remembers the files already read; the batch
-    number is recorded in the collections, so a replayed batch changes nothing.
+    The stream's own checkpoint remembers the files already read; the query's id
+    and the batch number are recorded in the collections, so a replayed batch
+    changes nothing. ``on_report`` gets every batch's report, failed keys included.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        report = ingest_documents(batch, bucket, embedder, targets, batch=(stream_name, number), **options)
+        key = _batch_key(batch.sparkSession, checkpoint, stream_name)
+        report = ingest_documents(batch, bucket, embedder, targets, batch=(key, number), **options)
         if on_report:
             on_report(report, number)
 
@@ -65,11 +74,21 @@ def ingest_stream(
 def upsert_stream(
     points: DataFrame, store: CollectionStore, name: str, checkpoint: str, order_by: str | None = None,
     stream_name: str = "points", enrich: Callable[[DataFrame], DataFrame] | None = None, wait: bool = True,
+    on_report: Callable[[WriteReport, int], None] | None = None,
 ) -> StreamingQuery:
-    """Upsert a stream of points; ``enrich`` may join each batch to static tables first."""
+    """Upsert a stream of points; ``enrich`` may join each batch to static tables first.
+
+    ``on_report`` gets every batch's report. Without it a batch with refused rows stops the stream after its good rows
+    are stored, so that none is lost unseen.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        store.upsert(name, enrich(batch) if enrich else batch, order_by, batch=(stream_name, number))
+        key = _batch_key(batch.sparkSession, checkpoint, stream_name)
+        report = store.upsert(name, enrich(batch) if enrich else batch, order_by, batch=(key, number))
+        if on_report:
+            on_report(report, number)
+        elif report.rejected_rows:
+            raise ValueError(f"batch {number}: {report.rejected_rows} rows refused; pass on_report to receive them")
 
     return _run(points, each, checkpoint, wait)
 

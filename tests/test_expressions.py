@@ -164,14 +164,11 @@ def test_no_conditions_keep_everything(spark):
         predicates.month_number("January")
 
 
-@pytest.mark.parametrize("query, limit", [("", 5), ("  \n", 5), (None, 5), ("x", 0), ("x", 101)])
-def test_check_query_refuses(query, limit):
-    with pytest.raises(ValueError):
-        predicates.check_query(query, limit)
-
-
-def test_check_query_strips():
-    assert predicates.check_query("  red fox ", 100) == "red fox"
+def test_query_problems_are_rows(spark):
+    asked = [("", 5), ("  \n", 5), (None, 5), ("x", 0), ("x", 101), ("x", None), (" red fox ", 100), ("x", 1)]
+    frame = spark.createDataFrame(asked, "q string, n int")
+    found = [r[0] for r in frame.select(predicates.query_problem(F.col("q"), F.col("n"))).collect()]
+    assert found == ["the query has no text"] * 3 + ["the limit is not from 1 to 100"] * 3 + [None, None]
 
 
 def test_strip_matches_python(spark):

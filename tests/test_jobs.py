@@ -3,6 +3,7 @@
 import datetime
 import json
 import os
+import re
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larkspur import schemas, session
 from larkspur.operators import metrics, relational
-from larkspur.operators.chunking import chunk_list, chunk_spans, explode_chunks
+from larkspur.operators.chunking import SENTENCE_END, chunk_bounds, chunk_list, explode_chunks
 from larkspur.operators.collections import CollectionStore
 from larkspur.operators.embedding import EmbedPolicy
 from larkspur.operators.search import search, search_batch
@@ -28,12 +29,23 @@ from tests.pictures import jpeg
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB. !?\né", max_size=300), st.integers(1, 60), st.booleans())
 def test_spans_cover_the_text(text, size, compat):
-    spans = list(chunk_spans(text, size, compat))
+    bounds = chunk_bounds(text, size, compat)
+    spans = list(zip([0, *bounds], bounds))
     assert [s for s, _ in spans] == [0, *[e for _, e in spans[:-1]]][:len(spans)]
     assert "".join(text[s:e] for s, e in spans) == text
     assert all(0 < e - s <= size for s, e in spans)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aB.!? \nC", max_size=120), st.integers(1, 40), st.booleans())
+def test_breaks_are_the_first_sentence_ends_of_the_last_fifth(text, size, compat):
+    bounds = chunk_bounds(text, size, compat)
+    for low, got in zip([0, *bounds], bounds):
+        high = min(low + size, len(text))
+        found = re.compile(SENTENCE_END).search(text, max(low, high - size // 5), high) if high < len(text) else None
+        assert got == (high if found is None else found.end() if compat else found.start() + 1)
+
+
 def test_break_after_a_sentence():
     text = "a" * 90 + ". Next one goes on" + "b" * 50
     assert [c["text"] for c in chunk_list(text, 100, False)][0] == "a" * 90 + "."
@@ -392,7 +404,7 @@ def test_stream_in_steps_equals_one_batch(spark, folder):
     whole.upsert("t", turns, "seq")
     rows = lambda s: {r.id: r.seq for r in s.read("t").collect()}
     assert rows(stepwise) == rows(whole)
-    assert stepwise.manifest("t").applied == {"points": 2}
+    assert stepwise.manifest("t").applied == {f"points:{query.id}": 2}
     version = stepwise.manifest("t").version
     upsert_stream(point_stream(spark, folder + "/in", turns.schema, 1), stepwise, "t", folder + "/check", "seq")
     assert stepwise.manifest("t").version == version
@@ -436,7 +448,68 @@ def test_scratch_is_kept_by_application(spark, folder, monkeypatch):
     assert os.listdir(folder + "/larkspur") == []
 
 
-def test_small_sides_are_counted(spark):
-    plan = lambda side: spark.range(5).join(side, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan(session.small_side(spark.range(3), "side"))
-    assert "strategy=broadcast" not in plan(session.small_side(spark.range(3), "side", max_rows=2))
+# Nothing is lost unseen
+
+
+def two_sizes(texts):
+    """Vectors of two coordinates, or of three where the text says so."""
+    return [[1.0, float(len(t)), 0.5] if "odd" in t else [1.0, float(len(t))] for t in texts]
+
+
+def test_refused_points_become_failed_keys(spark, folder):
+    store = CollectionStore(spark, folder + "/store")
+    objects = spark.createDataFrame([("a", "one"), ("b", "an odd one"), ("c", "three")], "key string, text string")
+    checkpoint = Checkpoint(spark, folder + "/keys")
+    report = ingest_documents(objects, "lake", lambda: two_sizes, {"main": Target(store, "c", 2)}, checkpoint)
+    got = {r.key: (r.success, r.error_message, r.cause) for r in report.results.collect()}
+    assert got["a"] == got["c"] == (True, "", None)
+    assert got["b"] == (False, "Upsert failed", "vector has 3 dimensions, expected 2")
+    status = report.sinks.first()
+    assert not status.success and status.error == "refused 1 of 3 rows"
+    assert sorted(r.key for r in checkpoint.keys("documents").collect()) == ["a", "c"] and store.count("c") == 2
+
+
+def test_a_collection_of_another_size_stores_nothing(spark, folder):
+    store = CollectionStore(spark, folder + "/store")
+    store.create("c", 5)
+    store.create("d", 2)
+    objects = spark.createDataFrame([("a", "one"), ("b", "two")], "key string, text string")
+    checkpoint = Checkpoint(spark, folder + "/keys")
+    report = ingest_documents(objects, "lake", lambda: two_sizes, {"c": Target(store, "c")}, checkpoint)
+    assert {(r.success, r.error_message) for r in report.results.collect()} == {(False, "Upsert failed")}
+    assert store.count("c") == 0 and checkpoint.keys("documents").count() == 0
+    both = {"c": Target(store, "c"), "d": Target(store, "d")}
+    assert {r.success for r in ingest_documents(objects, "lake", lambda: two_sizes, both).results.collect()} == {True}
+    assert {r.success for r in ingest_documents(objects, "lake", lambda: two_sizes, both, require="all").results.collect()} == {False}
+
+
+def test_an_error_without_text_is_reported(spark):
+    def fail(batch):
+        raise ValueError()
+
+    row = write_sinks(spark.range(2), {"x": fail}).first()
+    assert (row.success, row.error) == (False, "ValueError")
+
+
+def point_files(spark, path, *ids, dim=2):
+    spark.createDataFrame([(i, [float(i)] * dim) for i in ids], "id bigint, vector array<float>").write.parquet(path)
+    return point_stream(spark, path, spark.read.parquet(path).schema)
+
+
+def test_two_streams_into_one_collection(spark, folder):
+    store = CollectionStore(spark, folder + "/store")
+    store.create("c", 2, n_buckets=2)
+    for name, ids in (("x", (1, 2, 3)), ("y", (4, 5, 6))):
+        upsert_stream(point_files(spark, f"{folder}/{name}", *ids), store, "c", f"{folder}/check-{name}")
+    assert sorted(r.id for r in store.read("c").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_a_stream_does_not_pass_over_refused_rows(spark, folder):
+    store = CollectionStore(spark, folder + "/store")
+    store.create("c", 2, n_buckets=2)
+    reports = []
+    upsert_stream(point_files(spark, f"{folder}/x", 1, dim=3), store, "c", f"{folder}/check-x",
+                  on_report=lambda report, number: reports.append(report.rejected_rows))
+    assert reports == [1]
+    with pytest.raises(Exception, match="refused"):
+        upsert_stream(point_files(spark, f"{folder}/y", 1, dim=3), store, "c", f"{folder}/check-y")
