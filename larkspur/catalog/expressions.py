@@ -107,6 +107,21 @@ def image_verdicts(spark, sf_dir):
         img.mime_type(F.col("format")).alias("mime"), img.lenient_mime_type(F.col("content")).alias("lenient_mime"))
 
 
+def damaged_headers(spark, sf_dir):
+    """PNG and lossless WebP headers whose sizes take all 32 bits: no image is so large, so the size is null."""
+    number = F.pmod(F.col("o_orderkey") * 2_654_435_761, F.lit(1 << 32))
+    digits = F.lpad(F.hex(number), 8, "0")
+    turned = F.concat(*(F.substring(digits, at, 2) for at in (7, 5, 3, 1)))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), digits, F.lit("00000010"))
+    webp = F.concat(F.lit("52494646FFFFFFFF574542505650384C000000002F"), turned)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(
+        F.struct(F.lit("png").alias("format"), F.unhex(png).alias("content")),
+        F.struct(F.lit("webp").alias("format"), F.unhex(webp).alias("content")))).alias("i"))
+    size = img.image_dimensions(F.col("i.content"))
+    return rows.select("o_orderkey", "i.format", size.alias("s")).select(
+        "o_orderkey", "format", F.col("s.width").cast("bigint").alias("width"), F.col("s.height").cast("bigint").alias("height"))
+
+
 def image_base64(spark, sf_dir):
     content = F.col("content")
     rows = _with_image(table(spark, sf_dir, "documents"))
@@ -278,6 +293,7 @@ QUERIES = {
     "text_points": text_points,
     "random_point_ids": random_point_ids,
     "image_verdicts": image_verdicts,
+    "damaged_headers": damaged_headers,
     "image_base64": image_base64,
     "image_sizes": image_sizes,
     "letterbox_boxes": letterbox_boxes,
@@ -340,6 +356,10 @@ SELECT doc_id, format, size_bytes, reason IS NULL AS success, reason,
        CASE WHEN reason IS NOT NULL THEN 'Image fetch/validation failed' END AS error_message,
        CASE WHEN format IS NULL THEN 'application/octet-stream' ELSE 'image/' || format END AS mime, lenient_mime
 FROM r""",
+    "damaged_headers": """
+WITH n AS (SELECT o_orderkey, (o_orderkey::HUGEINT * 2654435761 % 4294967296)::BIGINT AS n FROM orders)
+SELECT o_orderkey, 'png' AS format, CASE WHEN n < 2147483648 THEN n END AS width, 16::BIGINT AS height FROM n
+UNION ALL SELECT o_orderkey, 'webp', (n & 16383) + 1, ((n >> 14) & 16383) + 1 FROM n""",
     "image_base64": f"""
 WITH {_IMAGE_SQL}, m AS (SELECT doc_id, f, to_base64(content) AS b FROM images)
 SELECT doc_id, md5(b) AS plain_md5, length('data:' || {_LENIENT_SQL} || ';base64,' || b) AS url_length, NULL::VARCHAR AS error

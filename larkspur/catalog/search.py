@@ -8,6 +8,7 @@ from larkspur.catalog.tables import (
     LABEL_QUERIES, PLACED, PLACED_SQL, embed_sql, label_queries, mean_vectors, placed_vectors, points, score_sql,
     table, vectors,
 )
+from larkspur.functions.payload import FILTER_FIELDS, parse_filters
 from larkspur.functions.vectors import l2_normalise, norm, pad_ids, raw_similarity, score01, to_score
 from larkspur.operators.embedding import embed_column
 from larkspur.operators.ivf import IvfIndex, LshIndex, PqModel, pq_encode, search_pq
@@ -180,7 +181,26 @@ def search_text(spark, sf_dir):
     return _rounded(search_batch(embedded_documents(spark, sf_dir), queries, 10, "cosine"))
 
 
+_FORM = """to_json(named_struct(
+  'species', if(item_id % 3 = 0, cast(item_id % 10 as string), null),
+  'location', if(item_id % 2 = 0, named_struct('latitudeMin', '-60', 'latitudeMax', '60', 'longitudeMin', '9e1', 'longitudeMax', '30.0'), null),
+  'start_date', if(item_id % 4 = 0, '2024-03-01', null), 'end_date', if(item_id % 5 = 0, '2024-11-30', null),
+  'months', if(item_id % 3 = 1, array('May', 'Jun', 'Sep', 'Dec', 'Jan'), null)))"""
+
+
+def searched_forms(spark, sf_dir):
+    """Search forms end to end: text and JSON filters to vector and typed filters, a filtered search, its response."""
+    forms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.expr(_FORM).alias("form"))
+    asked = embed_column(forms, "text", "hashing").filter("success")
+    queries = stage(asked.select("query_id", "vector", parse_filters(F.col("form")).alias("f")).select("query_id", "vector", "f.*"), "queries")
+    collection = placed_vectors(spark, sf_dir)
+    found = with_payload(search_batch(collection, queries, 5, "cosine", PLACED), collection, ["label"], "vec_id")
+    fields = queries.select("query_id", *FILTER_FIELDS).withColumn("months", F.array_join("months", " "))
+    return _rounded(found, "label").join(fields, "query_id")
+
+
 QUERIES = {
+    "searched_forms": searched_forms,
     "search_exact": search_exact_cosine,
     "search_species": search_species,
     "search_box_dates": search_box_dates,
@@ -279,6 +299,23 @@ FROM events GROUP BY event_type""",
     "ivf_full_probe": _label_search("cosine", 10),
     "ivf_species": _label_search("cosine", 5, "label = query_id"),
     "ivf_pq": _label_search("cosine", 5, "label = query_id"),
+    "searched_forms": f"""
+WITH {PLACED_SQL}, b AS {embed_sql('benchmark', 'item_id', 'text')},
+f AS (SELECT item_id AS query_id, v AS q, CASE WHEN item_id % 3 = 0 THEN (item_id % 10)::VARCHAR ELSE '' END AS species,
+             CASE WHEN item_id % 2 = 0 THEN -60::DOUBLE END AS latitude_min, CASE WHEN item_id % 2 = 0 THEN 60::DOUBLE END AS latitude_max,
+             CASE WHEN item_id % 2 = 0 THEN 90::DOUBLE END AS longitude_min, CASE WHEN item_id % 2 = 0 THEN 30::DOUBLE END AS longitude_max,
+             CASE WHEN item_id % 4 = 0 THEN DATE '2024-03-01' END AS start_date,
+             CASE WHEN item_id % 5 = 0 THEN DATE '2024-11-30' END AS end_date,
+             CASE WHEN item_id % 3 = 1 THEN 'May Jun Sep Dec Jan' END AS months FROM b)
+SELECT query_id, rank, id, round(score, 6) AS score, label, species, latitude_min, latitude_max, longitude_min, longitude_max,
+       start_date, end_date, months
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+      FROM (SELECT f.*, vec_id AS id, label, {score_sql('cosine', 'v', 'q')} AS score FROM placed JOIN f
+            ON (species = '' OR label::VARCHAR = species)
+               AND (latitude_min IS NULL OR lat BETWEEN latitude_min AND latitude_max AND (lon >= longitude_min OR lon <= longitude_max))
+               AND (start_date IS NULL OR day >= start_date) AND (end_date IS NULL OR day <= end_date)
+               AND (months IS NULL OR month(day) IN (5, 6, 9, 12, 1))))
+WHERE rank <= 5""",
     "search_text": f"""
 WITH d AS {embed_sql('documents', 'doc_id', 'text')}, b AS {embed_sql('benchmark', 'item_id', 'text')}
 SELECT query_id, rank, id, round(score, 6) AS score FROM (
