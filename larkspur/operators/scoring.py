@@ -148,16 +148,23 @@ class TopK:
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray):
         if len(query) == 0:
             return
-        query = np.concatenate([self.query, query])
-        score = np.concatenate([self.score, score])
-        ids = ids if self.id is None else np.concatenate([self.id, ids])
+        # Only the rows held for the same queries are sorted again.
+        touched = np.zeros(len(self.floor), dtype=bool)
+        touched[query] = True
+        again = touched[self.query]
+        rest = (self.query[~again], self.score[~again], None if self.id is None else self.id[~again])
+        query = np.concatenate([self.query[again], query])
+        score = np.concatenate([self.score[again], score])
+        ids = ids if self.id is None else np.concatenate([self.id[again], ids])
         order = np.lexsort((ids, -score, query))
         query, score, ids = query[order], score[order], ids[order]
         place = _places(query)
         keep = place < self.k
-        self.query, self.score, self.id = query[keep], score[keep], ids[keep]
+        query, score, ids = query[keep], score[keep], ids[keep]
         last = place[keep] == self.k - 1
-        self.floor[self.query[last]] = self.score[last]
+        self.floor[query[last]] = score[last]
+        self.query, self.score = np.concatenate([rest[0], query]), np.concatenate([rest[1], score])
+        self.id = ids if rest[2] is None else np.concatenate([rest[2], ids])
 
     def batches(self, query_ids: np.ndarray, query_type: pa.DataType, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         if self.id is None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -88,36 +87,33 @@ def _query_columns(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *extra)
 
 
-def _fits(rows: int, table: pa.Table) -> bool:
-    return rows <= MAX_BLOCK_QUERIES and table.nbytes <= MAX_BLOCK_BYTES
+def _blocks(staged: DataFrame) -> int:
+    """How many blocks hold the queries, each of at most so many queries and so many bytes."""
+    n, width = staged.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    per_block = max(1, min(MAX_BLOCK_QUERIES, MAX_BLOCK_BYTES // (8 * width + 256)))
+    # Dealt by hash, blocks come out somewhat uneven.
+    return 1 if n <= per_block else 1 + 2 * n // per_block
 
 
 def for_each_block(queries: DataFrame, search_block) -> DataFrame:
     """Run ``search_block(QueryBlock)`` over all queries.
 
-    A set that fits the checked bound is one block and stays lazy. A larger
-    one is written to the scratch folder in parts of bounded size; each part
-    is searched in its own pass and its results are written, so neither the
-    driver nor a task holds more than one block.
+    The queries are evaluated once, into the scratch folder, so that an embedder that does not repeat itself is asked
+    once. Their number and width bound the blocks before any vector comes to the driver; each block is searched in its
+    own pass, and where there are several their results are written, so neither the driver nor a task holds more than
+    one block.
     """
     spark = queries.sparkSession
-    slim = _query_columns(queries)
-    head = slim.limit(MAX_BLOCK_QUERIES + 1).toArrow()
-    if _fits(head.num_rows, head):
-        return search_block(_block_of(head))
-
-    staged = scratch_path(spark, "queries")
-    bytes_per_query = max(1, head.nbytes // max(1, head.num_rows))
-    per_block = max(1, min(MAX_BLOCK_QUERIES, MAX_BLOCK_BYTES // bytes_per_query) // 2)
-    total = slim.count()
-    n_blocks = math.ceil(total / per_block)
+    staged = stage(_query_columns(queries), "queries")
+    n_blocks = _blocks(staged)
+    if n_blocks == 1:
+        return search_block(_block_of(staged.toArrow()))
     part = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")
-    slim.withColumn("block", part).repartition("block").write.partitionBy("block").parquet(staged)
-    stored = spark.read.parquet(staged)
+    stored = stage(staged.withColumn("block", part).repartition("block"), "blocks", ["block"])
     results = scratch_path(spark, "results")
     for number in range(n_blocks):
         table = stored.filter(F.col("block") == number).drop("block").toArrow()
-        if table.num_rows:
+        if table.num_rows or number == 0:
             with released_values():
                 search_block(_block_of(table)).write.mode("append").parquet(results)
     return spark.read.parquet(results)
