@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Chunks remembered by a worker; more are encoded each time, which changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: A space before a visible character always begins a new token, so chunks cut there are encoded alone.
 _CUT = re.compile(r" (?=\S)")
 _MARKS = ".,;:!?"

@@ -17,7 +17,7 @@ FILTERS, EMBEDDING = 8, 8
 #: Labelled rows of a language, and windows of a row, that the network is fitted on.
 ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 400, 3
 #: Windows held by a task at a time.
-BLOCK = 1024
+BLOCK = 256
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")

@@ -19,7 +19,7 @@ STEPS, RATE, RIDGE = 60, 0.15, 1e-3
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 #: Score of an inside token that follows none of its secret.
 _BROKEN = -12.0
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 
 # The base patterns and the least lengths of what they find.
 _ASSIGN = re.compile(
@@ -224,7 +224,7 @@ class _Tokens(dict):
 
     def __init__(self, field: Field, kinds: _Kinds):
         self.field, self.kinds = field, kinds
-        self.rows = np.zeros((1024, 9))
+        self.rows = np.zeros((1 << 16, 9))
 
     def __missing__(self, token: str) -> int:
         n = len(self)

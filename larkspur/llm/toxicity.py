@@ -17,6 +17,8 @@ from larkspur.session import ship
 TRAINING_ROWS, WORDS, FOLDS, RIDGE = 12_000, 160, 5, 0.1
 #: Labelled texts that share one of this many least shingle hashes count once.
 SIGNATURES = 4
+#: Words whose place a task remembers.
+REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), [*range(33, 48), *range(58, 65)], [10], range(128, 256)]
 _KINDS = np.zeros(256, np.int64)
@@ -185,7 +187,7 @@ class _Places(dict):
         self.selected = words
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = found = self.selected.get(_word_id(word), -1)
         return found
