@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.catalog.tables import (
@@ -143,25 +144,31 @@ def ivf_species(spark, sf_dir):
     return _rounded(index.search(queries, 5, index.n_lists, Layout(species="label")))
 
 
+def _label_means(spark, sf_dir) -> np.ndarray:
+    """One row for each label: centroids and codes that SQL can repeat."""
+    return np.array([r.vector for r in label_queries(spark, sf_dir).orderBy("query_id").collect()])
+
+
 def ivf_partial_probe(spark, sf_dir):
-    return _rounded(_index(spark, sf_dir).search(label_queries(spark, sf_dir), 10, 4))
+    """Three of the lists around the label means probed."""
+    index = IvfIndex.build(points(spark, sf_dir), scratch_path(spark, "ivf"), centroids=_label_means(spark, sf_dir))
+    return _rounded(index.search(label_queries(spark, sf_dir), 10, 3))
 
 
 def pq_refined(spark, sf_dir):
-    rows = points(spark, sf_dir)
-    model = PqModel.train(rows, dim=64, subspaces=8, n_codes=64, metric="cosine")
+    """Codes from the slices of the label means; forty candidates by compressed score, ten by the true one."""
+    rows, model = points(spark, sf_dir), PqModel.of_points(_label_means(spark, sf_dir), 8, "cosine")
     coded = stage(pq_encode(rows, model).select("id", "code"), "pq")
-    return _rounded(search_pq(coded, label_queries(spark, sf_dir), model, 10, 10, rows))
+    return _rounded(search_pq(coded, label_queries(spark, sf_dir), model, 10, 4, rows))
 
 
 def ivf_pq(spark, sf_dir):
-    """Inverted file with codes: all lists probed, every candidate scored again, so the result is exact."""
-    rows = points(spark, sf_dir)
-    model = PqModel.train(rows, dim=64, subspaces=8, n_codes=32, metric="cosine")
-    index = IvfIndex.build(rows, scratch_path(spark, "ivfpq"), 8, "cosine", filter_columns=["species"], pq=model)
+    """Inverted file with codes: three lists probed under a filter, four candidates for each result scored again."""
+    rows, means = points(spark, sf_dir), _label_means(spark, sf_dir)
+    index = IvfIndex.build(rows, scratch_path(spark, "ivfpq"), filter_columns=["species"], centroids=means,
+                           pq=PqModel.of_points(means, 8, "cosine"))
     queries = label_queries(spark, sf_dir).withColumn("species", F.col("query_id").cast("string"))
-    share = rows.groupBy("species").count().agg(F.max("count")).first()[0]
-    return _rounded(index.search_codes(queries, 5, index.n_lists, refine=-(-share // 5)))
+    return _rounded(index.search_codes(queries, 5, 3, refine=4))
 
 
 def lsh_candidates(spark, sf_dir):
@@ -254,6 +261,22 @@ QUALIFY rank <= {k}"""
 
 _BOX = "lat BETWEEN {0} AND {1} AND (lon >= {2} OR lon <= {3})"
 
+def _unit_sql(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v})))"
+
+
+# Rows with their list (nearest label mean) and their code (nearest slice of a unit label mean, in each of 8 slices).
+_CODED = f"""{LABEL_QUERIES},
+centres AS (SELECT query_id AS list, q AS c, {_unit_sql('q')} AS unit_c FROM label_queries),
+unit_rows AS (SELECT vec_id AS id, label, v, {_unit_sql('v')} AS w FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)),
+coded AS (SELECT id, label, v, arg_min(list, list_distance(w, c)) AS list,
+                 list_concat({', '.join(f"(arg_min(unit_c, list_distance(w[{8 * i + 1}:{8 * i + 8}], unit_c[{8 * i + 1}:{8 * i + 8}])))[{8 * i + 1}:{8 * i + 8}]" for i in range(8))}) AS decoded
+          FROM unit_rows, centres GROUP BY id, label, v),
+probes AS (SELECT query_id, list FROM (
+  SELECT query_id, list, row_number() OVER (PARTITION BY query_id ORDER BY list_distance({_unit_sql('q')}, c)) AS n
+  FROM label_queries, centres) WHERE n <= 3)"""
+_COMPRESSED = f"round(list_inner_product(decoded, {_unit_sql('q')}), 6)"
+
 ORACLES = {
     "search_exact": _mean_search("cosine", 10, "TRUE"),
     "search_species": _mean_search("cosine", 10, "label = 3"),
@@ -298,7 +321,30 @@ SELECT event_type, round(avg(value), 4) AS lat_ms_avg, round(quantile_cont(value
 FROM events GROUP BY event_type""",
     "ivf_full_probe": _label_search("cosine", 10),
     "ivf_species": _label_search("cosine", 5, "label = query_id"),
-    "ivf_pq": _label_search("cosine", 5, "label = query_id"),
+    "ivf_partial_probe": f"""
+WITH {_CODED}
+SELECT query_id, rank, id, round(score, 6) AS score FROM (
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT query_id, id, list_cosine_similarity(v, q) AS score
+        FROM coded JOIN probes USING (list) JOIN label_queries USING (query_id)))
+WHERE rank <= 10""",
+    "pq_refined": f"""
+WITH {_CODED}
+SELECT query_id, rank, id, round(score, 6) AS score FROM (
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT query_id, id, list_cosine_similarity(v, q) AS score FROM (
+          SELECT query_id, id, v, row_number() OVER (PARTITION BY query_id ORDER BY {_COMPRESSED} DESC, id) AS place
+          FROM coded, label_queries) JOIN label_queries USING (query_id) WHERE place <= 40))
+WHERE rank <= 10""",
+    "ivf_pq": f"""
+WITH {_CODED}
+SELECT query_id, rank, id, round(score, 6) AS score FROM (
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT query_id, id, list_cosine_similarity(v, q) AS score FROM (
+          SELECT query_id, id, v, row_number() OVER (PARTITION BY query_id ORDER BY {_COMPRESSED} DESC, id) AS place
+          FROM coded JOIN probes USING (list) JOIN label_queries USING (query_id) WHERE label = query_id)
+        JOIN label_queries USING (query_id) WHERE place <= 20))
+WHERE rank <= 5""",
     "searched_forms": f"""
 WITH {PLACED_SQL}, b AS {embed_sql('benchmark', 'item_id', 'text')},
 f AS (SELECT item_id AS query_id, v AS q, CASE WHEN item_id % 3 = 0 THEN (item_id % 10)::VARCHAR ELSE '' END AS species,

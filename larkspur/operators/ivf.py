@@ -90,9 +90,11 @@ class IvfIndex:
     @classmethod
     def build(cls, rows: DataFrame, path: str, n_lists: int = 64, metric: str = "cosine",
               id_column: str = "id", vector: str = "vector", filter_columns: list[str] | None = None,
-              seed: int = 42, pq: PqModel | None = None) -> IvfIndex:
+              seed: int = 42, pq: PqModel | None = None, centroids: np.ndarray | None = None) -> IvfIndex:
         """Train, assign every row to its list and write the lists below ``path``.
 
+        Given ``centroids``, one row for each list, are used as they are and nothing is trained.
+
         The rebalance hint splits a list that holds a large share of the rows
         over several tasks and files, by measured size. With a quantiser the
         rows carry their code as well, for ``search_codes``.
@@ -105,9 +107,10 @@ class IvfIndex:
         if total == 0:
             raise ValueError("cannot index an empty collection")
         by_direction = metric in ("cosine", "ip")
-        shaped = l2_normalise(F.col("vector")) if by_direction else F.col("vector")
-        training = stage(usable.select(shaped.alias("vector")), "training")  # read many times over
-        centroids = train_centroids(training, "vector", min(n_lists, total), seed)
+        if centroids is None:
+            shaped = l2_normalise(F.col("vector")) if by_direction else F.col("vector")
+            training = stage(usable.select(shaped.alias("vector")), "training")  # read many times over
+            centroids = train_centroids(training, "vector", min(n_lists, total), seed)
         _check_model_size(centroids.size)
 
         assigned = cls._assign(usable, centroids, by_direction)
@@ -225,7 +228,7 @@ class PqModel:
     @classmethod
     def train(cls, rows: DataFrame, dim: int, subspaces: int = 8, n_codes: int = 64, metric: str = "l2",
               vector: str = "vector", seed: int = 42) -> PqModel:
-        """Train one codebook per slice on a bounded sample; the fits run side by side."""
+        """Train one codebook per slice on all rows; the fits run side by side."""
         metric = resolve_metric(metric)
         if metric == "l1":
             raise ValueError("product quantisation supports ip, cosine and l2")
@@ -248,6 +251,12 @@ class PqModel:
         with ThreadPoolExecutor(max_workers=min(8, subspaces)) as pool:
             return cls(list(pool.map(fit, range(subspaces))), metric)
 
+    @classmethod
+    def of_points(cls, points: np.ndarray, subspaces: int, metric: str) -> PqModel:
+        """Codebooks made of the slices of given points, at most 256 of them."""
+        metric = resolve_metric(metric)
+        return cls(np.split(_unit(points) if metric == "cosine" else points, subspaces, axis=1), metric)
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Store the codebooks, stacked, with the number of codes of each."""
         _save_matrix(spark, np.concatenate(self.codebooks), f"{path}/codes")
