@@ -172,7 +172,8 @@ def ivf_pq(spark, sf_dir):
 
 
 def lsh_candidates(spark, sf_dir):
-    index = LshIndex.build(points(spark, sf_dir), "cosine", bucket_length=0.5, tables=8)
+    """Five tables of five signs: the best of the rows that share a bucket with the query."""
+    index = LshIndex.build(points(spark, sf_dir), scratch_path(spark, "lsh"), "cosine")
     return _rounded(index.search(label_queries(spark, sf_dir), 10))
 
 
@@ -327,6 +328,20 @@ SELECT query_id, rank, id, round(score, 6) AS score FROM (
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
   FROM (SELECT query_id, id, list_cosine_similarity(v, q) AS score
         FROM coded JOIN probes USING (list) JOIN label_queries USING (query_id)))
+WHERE rank <= 10""",
+    "lsh_candidates": f"""
+WITH {LABEL_QUERIES},
+planes AS (SELECT t, b, list(('0x' || substr(md5('42:' || t || ':' || b || ':' || i), 1, 8))::BIGINT / 4294967296 - 0.5 ORDER BY i) AS p
+           FROM range(5) x(t), range(5) y(b), range(64) z(i) GROUP BY t, b),
+points AS (SELECT 'row' AS kind, vec_id AS n, embedding::DOUBLE[] AS v FROM embeddings
+           UNION ALL SELECT 'query', query_id, q FROM label_queries),
+hashed AS (SELECT kind, n, v, t, string_agg(CASE WHEN list_inner_product(v, p) >= 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS bucket
+           FROM points, planes GROUP BY kind, n, v, t),
+pairs AS (SELECT DISTINCT q.n AS query_id, r.n AS id, q.v AS q, r.v AS v FROM hashed q JOIN hashed r
+          ON r.kind = 'row' AND q.kind = 'query' AND q.t = r.t AND q.bucket = r.bucket)
+SELECT query_id, rank, id, round(score, 6) AS score FROM (
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT query_id, id, list_cosine_similarity(v, q) AS score FROM pairs))
 WHERE rank <= 10""",
     "pq_refined": f"""
 WITH {_CODED}

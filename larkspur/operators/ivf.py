@@ -1,22 +1,20 @@
 """Approximate search: inverted file, product quantisation and hashing.
 
 The inverted file stores the collection partitioned by nearest centroid, so a
-probe is Parquet partition pruning. The training set is a bounded sample; the
-index itself holds every row.
+probe is Parquet partition pruning. Training and index take every row.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -24,7 +22,7 @@ from larkspur import files
 from larkspur.functions.vectors import l2_normalise, resolve_metric
 from larkspur.operators.scoring import QueryBlock, TopK, matrix, pair_scores, sortable, without_spare_copies
 from larkspur.operators.search import (
-    MAX_PUSHED_VALUES, Layout, QueryFilters, for_each_block, rank_results, scan_top_k, share,
+    Layout, QueryFilters, for_each_block, rank_results, scan_top_k, share,
 )
 from larkspur.session import stage
 
@@ -384,76 +382,82 @@ def _refined(found: DataFrame, queries: DataFrame, vectors: DataFrame, metric: s
     return rank_results(scored, k)
 
 
+def _plane(seed: int, table: int, bit: int, dim: int) -> np.ndarray:
+    """A fixed random direction: every coordinate comes from the md5 of its numbers, so anyone can repeat it."""
+    names = (f"{seed}:{table}:{bit}:{i}" for i in range(dim))
+    return np.array([int(hashlib.md5(n.encode()).hexdigest()[:8], 16) / 2**32 - 0.5 for n in names])
+
+
 class LshIndex:
-    """Random projection hashing: a query is compared with the rows that share a bucket with it."""
+    """Random projection hashing: a query is compared with the rows that share a bucket with it.
+
+    A table hashes a vector to the signs of ``bits`` projections. Every row is stored once for each table, partitioned
+    by table and bucket, so a search reads only the buckets that some query falls into.
+    """
 
-    def __init__(self, model: BucketedRandomProjectionLSHModel, hashed: DataFrame, metric: str):
-        self.model, self.hashed, self.metric = model, hashed, metric
+    def __init__(self, spark: SparkSession, path: str, metric: str, tables: int, bits: int, seed: int):
+        self.spark, self.path, self.metric = spark, path, metric
+        self.tables, self.bits, self.seed = tables, bits, seed
+        self.stored = spark.read.parquet(path)
 
     @classmethod
-    def build(cls, rows: DataFrame, metric: str = "cosine", bucket_length: float = 1.0, tables: int = 8,
+    def build(cls, rows: DataFrame, path: str, metric: str = "cosine", tables: int = 5, bits: int = 5,
               id_column: str = "id", vector: str = "vector", seed: int = 42) -> LshIndex:
+        """Hash every row and write it to its buckets below ``path``; large buckets are split by measured size."""
         metric = resolve_metric(metric)
-        shaped = rows.filter(F.col(vector).isNotNull()).select(
+        usable = rows.filter(F.col(vector).isNotNull()).select(
             F.col(id_column).alias("id"), F.col(vector).alias("vector"))
-        lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", seed=seed,
-                                          bucketLength=bucket_length, numHashTables=tables)
-        featured = cls._features(shaped, metric)
-        model = lsh.fit(featured)
-        return cls(model, stage(cls._hash(model, featured), "lsh"), metric)
 
-    @staticmethod
-    def _features(rows: DataFrame, metric: str) -> DataFrame:
-        source = l2_normalise(F.col("vector")) if metric == "cosine" else F.col("vector")
-        return rows.withColumn("features", array_to_vector(source.cast("array<double>")))
+        @F.arrow_udf("array<int>")
+        def hashed(vectors: pa.Array) -> pa.Array:
+            points = matrix(vectors).astype(np.float64)
+            numbers = _buckets(points, tables, bits, seed)
+            offsets = pa.array(np.arange(len(numbers) + 1, dtype=np.int32) * tables)
+            return pa.ListArray.from_arrays(offsets, pa.array(numbers.ravel()))
 
-    @staticmethod
-    def _hash(model: BucketedRandomProjectionLSHModel, featured: DataFrame) -> DataFrame:
-        hashed = model.transform(featured)
-        numbers = F.transform("hashes", lambda h: vector_to_array(h)[0].cast("bigint"))
-        return hashed.withColumn("buckets", numbers).drop("features", "hashes")
+        copies = usable.withColumn("buckets", hashed("vector")).select("*", F.posexplode("buckets").alias("t", "b"))
+        placed = copies.withColumn(LIST, F.col("t") * (1 << bits) + F.col("b")).drop("t", "b")
+        placed.hint("rebalance", LIST).sortWithinPartitions(LIST, "id").write.partitionBy(LIST).parquet(path)
+        return cls(rows.sparkSession, path, metric, tables, bits, seed)
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """Best ``k`` of the rows that share at least one bucket with the query, by exact score.
 
-        Buckets are compared as a mask inside the scan; candidate pairs are
-        never rows, so a crowded bucket costs no more than a full scan.
+        A row that shares several buckets is scored in the first of these tables only. Candidate pairs are never rows,
+        so a crowded bucket costs no more than reading it.
         """
-        query_type = queries.schema["query_id"].dataType
-        id_type = self.hashed.schema["id"].dataType
-        metric = self.metric
-        shaped = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-        hashed_queries = self._hash(self.model, self._features(shaped, metric))
-        carried = hashed_queries.select(
-            "query_id", F.concat("vector", F.transform("buckets", lambda b: b.cast("double"))).alias("vector"))
-        n_tables = self.model.getNumHashTables()
-
-        def search_block(both: QueryBlock) -> DataFrame:
-            split = both.vectors.shape[1] - n_tables
-            query_buckets = both.vectors[:, split:].astype(np.int64)
-            block = QueryBlock(both.ids, both.vectors[:, :split])
-            rows = self.hashed.select("id", "vector", "buckets")
-            used = [sorted(set(query_buckets[:, t].tolist())) for t in range(n_tables)]
-            if sum(map(len, used)) <= MAX_PUSHED_VALUES:
-                shares = [F.col("buckets")[t].isin(values) for t, values in enumerate(used)]
-                rows = rows.filter(reduce(lambda a, b: a | b, shares))
+        query_type, id_type = queries.schema["query_id"].dataType, self.stored.schema["id"].dataType
+        tables, bits, seed = self.tables, self.bits, self.seed
 
-            def plan(queries_in_task: QueryBlock):
-                every = np.arange(len(queries_in_task))
+        def search_block(block: QueryBlock) -> DataFrame:
+            asked = _buckets(block.vectors.astype(np.float64), tables, bits, seed) if len(block) else np.zeros((0, tables), int)
+            lists = asked + (np.arange(tables) << bits)
+            rows = self.stored.filter(F.col(LIST).isin(np.unique(lists).tolist())).select("id", "vector", LIST, "buckets")
 
+            def plan(queries_in_task: QueryBlock):
                 def groups(batch: pa.RecordBatch):
-                    buckets = matrix(batch.column(2))
+                    numbers = batch.column(2).to_numpy(zero_copy_only=False)
+                    own = matrix(batch.column(3)).astype(np.int64)
+                    for number in np.unique(numbers).tolist():
+                        table = number >> bits
 
-                    def allowed(r: np.ndarray, q: np.ndarray) -> np.ndarray:
-                        hit = np.zeros((len(q), len(r)), dtype=bool)
-                        for t in range(n_tables):
-                            hit |= query_buckets[q, t][:, None] == buckets[r, t][None, :]
-                        return hit
+                        def first_shared(r: np.ndarray, q: np.ndarray, table=table) -> np.ndarray:
+                            before = np.zeros((len(q), len(r)), dtype=bool)
+                            for t in range(table):
+                                before |= asked[q, t][:, None] == own[r, t][None, :]
+                            return ~before
 
-                    return [(np.arange(batch.num_rows), every, allowed)]
+                        yield np.flatnonzero(numbers == number), np.flatnonzero(lists[:, table] == number), first_shared
 
                 return groups
 
-            return rank_results(scan_top_k(rows, block, k, metric, query_type, id_type, plan), k)
+            return rank_results(scan_top_k(rows, block, k, self.metric, query_type, id_type, plan), k)
+
+        return for_each_block(queries, search_block)
+
 
-        return for_each_block(carried, search_block)
+def _buckets(points: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
+    """Bucket of every point in every table."""
+    planes = np.stack([_plane(seed, t, b, points.shape[1]) for t in range(tables) for b in range(bits)], axis=1)
+    signs = (points @ planes >= 0).reshape(len(points), tables, bits)
+    return (signs << np.arange(bits - 1, -1, -1)).sum(axis=2).astype(np.int32)

@@ -311,9 +311,9 @@ def test_pq_refuses(sample, kwargs):
         PqModel.train(sample[0], 64, **kwargs)
 
 
-def test_lsh_finds_itself_and_only_exact_scores(spark, sample):
+def test_lsh_finds_itself_and_only_exact_scores(spark, sample, folder):
     frame, data = sample
-    index = LshIndex.build(frame, "cosine", bucket_length=0.2, tables=6)
+    index = LshIndex.build(frame, folder + "/lsh", "cosine", tables=3, bits=3)
     rows = index.search(as_queries(spark, data[:10]), 3).collect()
     scores = brute(data, data[:10], "cosine")
     assert {r.query_id for r in rows if r.rank == 1 and scores[r.query_id, r.id] > 0.999} == set(range(10))
