@@ -349,9 +349,9 @@ FROM u""",
 WITH {_IMAGE_SQL},
 m AS (SELECT doc_id, f, octet_length(content) AS n FROM images),
 v AS (SELECT doc_id, n AS size_bytes, {_FORMAT_SQL} AS format, {_LENIENT_SQL} AS lenient_mime FROM m),
-r AS (SELECT *, CASE WHEN size_bytes < 300 THEN 'Image too small: ' || size_bytes || ' bytes (min: 300)'
-                     WHEN size_bytes > 9000 THEN 'Image too large: ' || size_bytes || ' bytes (max: 9000)'
-                     WHEN format IS NULL THEN 'Unsupported or unrecognized image format' END AS reason FROM v)
+r AS (SELECT *, CASE WHEN size_bytes < 300 THEN 'only ' || size_bytes || ' bytes, at least 300 wanted'
+                     WHEN size_bytes > 9000 THEN size_bytes || ' bytes, at most 9000 allowed'
+                     WHEN format IS NULL THEN 'not a known image format' END AS reason FROM v)
 SELECT doc_id, format, size_bytes, reason IS NULL AS success, reason,
        CASE WHEN reason IS NOT NULL THEN 'Image fetch/validation failed' END AS error_message,
        CASE WHEN format IS NULL THEN 'application/octet-stream' ELSE 'image/' || format END AS mime, lenient_mime

@@ -364,9 +364,9 @@ SELECT concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS id, s3_k
 FROM u JOIN v ON v.doc_id = u.doc_id""",
     "ingested_images": """
 WITH p AS (SELECT starts_with(url, 'https') AS success, octet_length(encode(html)) AS n FROM pages),
-c AS (SELECT success, CASE WHEN NOT success AND n + 1 < 100 THEN 'Image too small: ' || (n + 1) || ' bytes (min: 100)'
-                           WHEN success AND n + 4 < 100 THEN 'Image too small: ' || (n + 4) || ' bytes (min: 100)'
-                           WHEN NOT success THEN 'Unsupported or unrecognized image format' ELSE '' END AS cause FROM p)
+c AS (SELECT success, CASE WHEN NOT success AND n + 1 < 100 THEN 'only ' || (n + 1) || ' bytes, at least 100 wanted'
+                           WHEN success AND n + 4 < 100 THEN 'only ' || (n + 4) || ' bytes, at least 100 wanted'
+                           WHEN NOT success THEN 'not a known image format' ELSE '' END AS cause FROM p)
 SELECT cause = '' AS success, cause, count(*) AS rows, (SELECT count(*) FROM c WHERE cause = '') AS points FROM c GROUP BY cause""",
     "retried_documents": f"""
 SELECT 'inputs/doc-' || doc_id || '.txt' AS s3_key, length(text)::DOUBLE AS length FROM documents

@@ -75,9 +75,9 @@ def image_error(content: Column, min_bytes: int = MIN_IMAGE_BYTES, max_bytes: in
     size = F.length(content)
     text = size.cast("string")
     return (
-        F.when(size < min_bytes, F.concat(F.lit("Image too small: "), text, F.lit(f" bytes (min: {min_bytes})")))
-        .when(size > max_bytes, F.concat(F.lit("Image too large: "), text, F.lit(f" bytes (max: {max_bytes})")))
-        .when(detect_image_format(content).isNull(), F.lit("Unsupported or unrecognized image format"))
+        F.when(size < min_bytes, F.concat(F.lit("only "), text, F.lit(f" bytes, at least {min_bytes} wanted")))
+        .when(size > max_bytes, F.concat(text, F.lit(f" bytes, at most {max_bytes} allowed")))
+        .when(detect_image_format(content).isNull(), F.lit("not a known image format"))
     )
 
 

@@ -114,8 +114,7 @@ def read_image_objects(
     too_large = (
         files.filter(F.col("length") > max_bytes)
         .select("path", "modificationTime", "length", "key", F.col("length").alias("size_bytes"),
-                F.concat(F.lit("Image too large: "), F.col("length").cast("string"),
-                         F.lit(f" bytes (max: {max_bytes})")).alias("reason"),
+                F.concat(F.col("length").cast("string"), F.lit(f" bytes, at most {max_bytes} allowed")).alias("reason"),
                 F.lit(False).alias("success"), F.lit(IMAGE_FETCH_FAILED).alias("error_message"))
     )
     return checked.unionByName(too_large, allowMissingColumns=True)

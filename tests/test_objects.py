@@ -48,9 +48,9 @@ def test_image_objects(spark, folder):
     rows = {r.key: r for r in objects.read_image_objects(spark, folder, "i/", max_bytes=2000, with_dimensions=True).collect()}
     assert set(rows) == {"i/good.png", "i/tiny.gif", "i/huge.jpg", "i/odd.webp"}
     assert (rows["i/good.png"].width, rows["i/good.png"].height, rows["i/good.png"].format) == (30, 20, "png")
-    assert rows["i/tiny.gif"].reason == "Image too small: 6 bytes (min: 100)"
-    assert rows["i/huge.jpg"].reason.startswith("Image too large: ")
-    assert rows["i/odd.webp"].reason == "Unsupported or unrecognized image format"
+    assert rows["i/tiny.gif"].reason == "only 6 bytes, at least 100 wanted"
+    assert rows["i/huge.jpg"].reason.endswith(" allowed")
+    assert rows["i/odd.webp"].reason == "not a known image format"
     assert all(r.error_message == objects.IMAGE_FETCH_FAILED for k, r in rows.items() if k != "i/good.png")
 
 
