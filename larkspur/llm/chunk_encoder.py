@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Chunks remembered by a worker; more are encoded each time, which changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 450_000
 #: A space before a visible character always begins a new token, so chunks cut there are encoded alone.
 _CUT = re.compile(r" (?=\S)")
 _MARKS = ".,;:!?"
@@ -19,7 +19,11 @@ class _Odd(Exception):
 
 
 class _Chunks(dict):
-    """Ids of ``prefix`` and a part, made when first asked for."""
+    """Ids of ``prefix`` and a part, made when first asked for.
+
+    A token ends between a letter and a mark, and on both sides of a line break between visible characters, so parts are
+    taken apart there and only words are remembered.
+    """
 
     def __init__(self, encoder: ChunkEncoder, prefix: str):
         self.encoder, self.prefix = encoder, prefix
@@ -27,13 +31,6 @@ class _Chunks(dict):
     def __missing__(self, part: str) -> bytes:
         if self.prefix and (not part or part[0].isspace()):
             raise _Odd
-        found = self._made(part)
-        if len(self) < REMEMBERED and len(part) < 64:
-            self[part] = found
-        return found
-
-    def _made(self, part: str) -> bytes:
-        """A token ends between a letter and a mark, and on both sides of a line break between visible characters."""
         if "\n" in part:
             lines = part.split("\n")
             if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
@@ -42,7 +39,10 @@ class _Chunks(dict):
         core = part.rstrip(_MARKS)
         if core and core != part and core[-1].isalpha():
             return self[core] + self.encoder.first[part[len(core):]]
-        return self.encoder.direct(self.prefix + part)
+        found = self.encoder.direct(self.prefix + part)
+        if len(self) < REMEMBERED and len(part) < 64:
+            self[part] = found
+        return found
 
 
 class ChunkEncoder:
