@@ -1,5 +1,10 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import DataFrame
 
@@ -18,6 +23,19 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+@pytest.mark.parametrize("without", [("larkspur/llm", "tests/llm"), ("larkspur/llm", "tests/llm", "corpus_pipeline.py")])
+def test_optional_parts_may_be_missing(folder, without):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    gone = [os.path.join(root, p) for p in without]
+    skip = lambda at, names: [n for n in names if n in (".git", "__pycache__") or os.path.join(at, n) in gone]
+    shutil.copytree(root, f"{folder}/copy", ignore=skip)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(*sorted(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=f"{folder}/copy", capture_output=True, text=True, check=True,
+                          env=os.environ | {"PYTHONPATH": f"{folder}/copy"})
+    found = done.stdout.split()
+    assert "search_species" in found and "pipeline" not in found and not any(n.startswith("op") for n in found)
+
+
 def test_entry(spark):
     frame = entry(spark)
     assert isinstance(frame, DataFrame) and frame.count() == 10
