@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from larkspur.session import ship, stage
 
@@ -40,3 +44,29 @@ def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     placed = rows.withColumn("local", local).alias("r").join(
         offsets.alias("o"), F.col("r.by").eqNullSafe(F.col("o.by")) & (F.col("r.chunk") == F.col("o.chunk")))
     return placed.select("row.*", (F.col("begin") + F.col("local")).cast("bigint").alias(name))
+
+
+def columns_of(df: DataFrame) -> list:
+    """The columns of ``df`` by name, whatever characters a name holds."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def with_computed(df: DataFrame, fields: list[StructField], factory: Callable[[list[str]], Callable]) -> DataFrame:
+    """``df`` and the columns ``fields``, which replace columns of these names.
+
+    ``factory`` gets the names of the columns kept and returns, once for each task, a function from an Arrow batch of them
+    to the arrays of ``fields``. Columns travel by position, so their names may hold any characters.
+    """
+    ship(df.sparkSession)
+    added = {f.name for f in fields}
+    names = [c for c in df.columns if c not in added]
+    kept = df.select([c for c, name in zip(columns_of(df), df.columns) if name not in added])
+    plain = [f"c{i}" for i in range(len(names) + len(fields))]
+
+    def run(batches):
+        compute = factory(names)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], plain)
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(plain, [*kept.schema.fields, *fields])])
+    return kept.toDF(*plain[:len(names)]).mapInArrow(run, schema).toDF(*names, *(f.name for f in fields))

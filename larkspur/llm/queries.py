@@ -9,6 +9,7 @@ from larkspur.llm.inputs import table
 from larkspur.llm.language import fit_network, predict_language
 from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import best_fit_packing, token_pieces
+from larkspur.llm.periodic_runs import find_runs
 from larkspur.llm.pieces import decode_pieces, encode_pieces
 from larkspur.llm.secret_spans import ADDED, KINDS, find_secrets, fit_field, listed
 from larkspur.llm.sharding import shard_rows
@@ -138,6 +139,32 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"))
 
 
+def periodic_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where the words of one document in ten repeat from some place on."""
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"), F.expr(
+        r"CASE WHEN crc32(CAST(doc_id AS STRING)) % 10 = 0 THEN regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0) END").alias("w"))
+    rows = rows.selectExpr("doc_id", "text", "w", "size(w) AS n", "h div 10 AS g").selectExpr(
+        "*", "CASE WHEN n > 0 THEN CAST(g % n AS INT) END AS a").selectExpr(
+        "*", "CAST(1 + (n - a) div (3 + g % 8) AS INT) AS p")
+    repeated = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), CAST((n - a + p - 1) div p AS INT))), 1, n - a)")
+    made = F.concat_ws(" ", F.expr("slice(w, 1, a)"), repeated)
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodic words in every document, and its text without repetitions."""
+    docs = periodic_documents(table(spark, sf_dir, "documents"))
+    found = find_runs(docs).select("doc_id", "runs", "collapsed", F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("longest"), r["start"].alias("start"), r["period"].alias("period")))).alias("best"))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    length = -F.col("best.longest")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * -best.longest div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(line, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_pieces": op2_pieces,
@@ -149,6 +176,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_vector_neighbours": op9_vector_neighbours,
     "op10_syncmers": op10_syncmers,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _SHINGLES = r"""
