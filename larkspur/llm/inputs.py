@@ -12,6 +12,8 @@ from larkspur.session import ship, stage
 
 #: Narrow rows (ids, counts, labels) that one task writes.
 TASK_ROWS = 100_000
+#: Bytes of files that one task reads.
+TASK_BYTES = 256 << 20
 #: Rows numbered together; each chunk is one row of the table of offsets.
 CHUNK_ROWS = 512
 
@@ -70,3 +72,10 @@ def with_computed(df: DataFrame, fields: list[StructField], factory: Callable[[l
 
     schema = StructType([StructField(n, f.dataType) for n, f in zip(plain, [*kept.schema.fields, *fields])])
     return kept.toDF(*plain[:len(names)]).mapInArrow(run, schema).toDF(*names, *(f.name for f in fields))
+
+
+def spread_files(files: DataFrame) -> DataFrame:
+    """``files``, which have a column ``bytes``, dealt so that all cores have some and a task about ``TASK_BYTES``."""
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(max(1, min(n, 2 * cores), -(-size // TASK_BYTES)))

@@ -14,6 +14,7 @@ from larkspur.llm.pieces import decode_pieces, encode_pieces
 from larkspur.llm.secret_spans import ADDED, KINDS, find_secrets, fit_field, listed
 from larkspur.llm.sharding import shard_rows
 from larkspur.llm.syncmers import anchors, digest, likeness, with_next
+from larkspur.llm.token_files import read_documents, write_token_files
 from larkspur.llm.toxicity import fit_chain, predict_categories
 from larkspur.llm.vector_neighbours import near_vectors
 from larkspur.llm.warc import read_archives, write_archives
@@ -139,6 +140,14 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written to files of directly addressable codes and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    read = read_documents(files, docs.schema["doc_id"].dataType.simpleString(), content="crc32")
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
+
+
 def periodic_documents(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``, where the words of one document in ten repeat from some place on."""
     rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"), F.expr(
@@ -176,6 +185,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_vector_neighbours": op9_vector_neighbours,
     "op10_syncmers": op10_syncmers,
+    "op12_token_files": op12_token_files,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

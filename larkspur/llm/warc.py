@@ -63,7 +63,8 @@ def revisit_record(record_id: str, uri: str | None, refers_to: str, length: int,
         ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Type", "application/http; msgtype=response")], block)
 
 
-def _open_folder(folder: str):
+def open_folder(folder: str):
+    """The file system and the path on it of an address."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(folder)
@@ -110,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_column: str =
     known = known.withColumn("first", F.when(again, F.col("first"))).withColumn("member", F.when(~again | again.isNull(), F.col("member")))
 
     def write(batches):
-        system, root = _open_folder(folder)
+        system, root = open_folder(folder)
         system.create_dir(root, recursive=True)
         done, out, path, n, size = [], None, None, 0, 0
 
@@ -270,7 +271,7 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, name = _open_folder(path)
+                system, name = open_folder(path)
                 held, size = [], 0
                 with system.open_input_stream(name, compression=None) as stream:
                     for record in read_records(stream, with_payload):
