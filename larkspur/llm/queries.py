@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from larkspur.llm.conversation_repair import repair_conversations
 from larkspur.llm.inputs import table
 from larkspur.llm.language import fit_network, predict_language
 from larkspur.llm.ngram_join import ngram_join
@@ -140,6 +141,27 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"))
 
 
+def damaged_conversations(turns: DataFrame) -> DataFrame:
+    """Rows of conversations with faults put in by a checksum of conversation and turn; ``present`` is false for those dropped."""
+    def filled(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    rows = turns.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"),
+                        (F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn"))) % 20).alias("damage"))
+    text = F.when(F.col("damage") == 1, F.lit("")).when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, F.lit("user")).otherwise(F.col("role"))
+    times = F.when(F.col("damage") == 3, F.expr("array(0, 1)")).otherwise(F.expr("array(0)"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("damage") != 0).alias("present"),
+                       F.explode(times).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations and their cheapest repair."""
+    damaged = damaged_conversations(table(spark, sf_dir, "conversations"))
+    found = repair_conversations(damaged, present_column="present").conversations()
+    return found.withColumnsRenamed({"conv": "conv_id", "sha256": "repaired_sha256"})
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written to files of directly addressable codes and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -185,6 +207,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_vector_neighbours": op9_vector_neighbours,
     "op10_syncmers": op10_syncmers,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_token_files": op12_token_files,
     "op13_periodic_runs": op13_periodic_runs,
 }
