@@ -231,9 +231,94 @@ reach AS (
   UNION
   SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other)"""
 
+# Backwards over the rows of a conversation for costs, then forwards along the least edit of a cheapest way.
+_REPAIR = r"""WITH RECURSIVE
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS damage
+  FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM summed, range(CASE damage WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS c,
+         regexp_extract_all(text, '[^\x20\x09-\x0D]') AS held
+  FROM damaged),
+judged AS (
+  SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN len(held) = 0 THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(held[-1], '[.!?]') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+rows AS (
+  SELECT conv_id, i, n, c, role, text, fault IN ('blank', 'duplicate') AS goes,
+         CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra
+  FROM judged),
+base AS (
+  SELECT conv_id, max(n) + 1 AS i, 0::BIGINT AS c0, 6::BIGINT AS c1, 3::BIGINT AS c2, 0::BIGINT AS c3 FROM rows GROUP BY conv_id),
+back AS (
+  SELECT * FROM base
+  UNION ALL
+  SELECT conv_id, i, least(b0, 3 + least(b2, 3 + b3)), least(b1, 3 + least(b2, 3 + b3)), least(b2, 3 + b3), least(b3, 3 + b2)
+  FROM (
+    SELECT r.conv_id, r.i,
+      least(4 + c0, CASE WHEN NOT goes THEN extra + least(3 + c2, CASE c WHEN 's' THEN c1 WHEN 'u' THEN c2 ELSE 3 + c2 END) END) AS b0,
+      least(4 + c1, CASE WHEN NOT goes THEN extra + least(3 + c2, CASE c WHEN 'u' THEN c2 ELSE 3 + c2 END) END) AS b1,
+      least(4 + c2, CASE WHEN NOT goes THEN extra + least(3 + c3, CASE c WHEN 'a' THEN c3 ELSE 3 + c3 END) END) AS b2,
+      least(4 + c3, CASE WHEN NOT goes THEN extra + least(3 + c2, CASE c WHEN 'u' THEN c2 ELSE 3 + c2 END) END) AS b3
+    FROM back JOIN rows r ON r.conv_id IS NOT DISTINCT FROM back.conv_id AND r.i = back.i - 1)),
+nodes AS (
+  SELECT b.conv_id, b.i, s, CASE s WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END AS cost,
+         CASE s WHEN 2 THEN 3 ELSE 2 END AS due, CASE s WHEN 2 THEN c3 ELSE c2 END AS due_cost
+  FROM back b, range(4) t(s)),
+arcs AS (
+  SELECT x.conv_id, x.i, x.s, x.due, x.cost, r.role, r.text,
+         CASE WHEN r.i IS NULL THEN CASE WHEN x.s IN (1, 2) THEN 'I' END
+              WHEN x.cost = 4 + (SELECT y.cost FROM nodes y WHERE y.conv_id IS NOT DISTINCT FROM x.conv_id AND y.i = x.i + 1 AND y.s = x.s) THEN 'D'
+              WHEN x.cost = 3 + x.due_cost THEN 'I'
+              WHEN (CASE r.c WHEN 's' THEN x.s = 0 WHEN 'u' THEN x.s <> 2 WHEN 'a' THEN x.s = 2 ELSE false END) AND NOT r.goes
+                   AND x.cost = r.extra + (SELECT y.cost FROM nodes y WHERE y.conv_id IS NOT DISTINCT FROM x.conv_id AND y.i = x.i + 1
+                                           AND y.s = CASE r.c WHEN 's' THEN 1 ELSE x.due END) THEN 'K'
+              ELSE 'R' END AS edit
+  FROM nodes x LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.i = x.i),
+walk AS (
+  SELECT DISTINCT conv_id, 1::BIGINT AS i, 0::BIGINT AS s, '' AS audit, []::VARCHAR[] AS body, false AS done FROM base
+  UNION ALL
+  SELECT w.conv_id, w.i + CASE WHEN a.edit IN ('D', 'K', 'R') THEN 1 ELSE 0 END,
+         CASE WHEN a.edit = 'D' OR a.edit IS NULL THEN w.s WHEN a.edit = 'K' AND left(a.role, 1) = 's' THEN 1 ELSE a.due END,
+         w.audit || coalesce(a.edit, ''),
+         CASE WHEN a.edit = 'K' THEN list_append(w.body, a.role || ':' || a.text)
+              WHEN a.edit IN ('I', 'R') THEN list_append(w.body, CASE a.due WHEN 2 THEN 'user:' ELSE 'assistant:' END
+                                                         || CASE a.edit WHEN 'R' THEN a.text ELSE '' END)
+              ELSE w.body END,
+         a.edit IS NULL
+  FROM walk w JOIN arcs a ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND a.i = w.i AND a.s = w.s
+  WHERE NOT w.done),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(n.cost, 0)::BIGINT AS cost,
+       coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.body, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+     LEFT JOIN counted f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+     LEFT JOIN nodes n ON n.conv_id IS NOT DISTINCT FROM o.conv_id AND n.i = 1 AND n.s = 0
+     LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.done"""
+
 ORACLES = {
     "op4_ngram_join": "WITH RECURSIVE" + _SHINGLES.format(docs="documents") + """
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id)
      JOIN (SELECT id, min(other) AS component FROM reach GROUP BY id) c ON c.id = d.doc_id""",
+    "op11_conversation_repair": _REPAIR,
 }

@@ -162,7 +162,7 @@ def test_one_conversation_over_many_tasks(spark):
     found = by(small)
     assert found == by(large) and len(found) == 52
     assert small.pieces.where("conv = 1").count() > 100
-    assert found[77][1:7] == (0, 0, 399, 0, 399, 399 * 4 + 3) and found[77][7] == "D" * 399 + "KI"
+    assert found[77][1:7] == (0, 0, 399, 0, 399, 399 * 4 + 3) and found[77][7] == "K" + "D" * 399 + "I"
     body = small.turns().where("conv = 1").orderBy("place").collect()
     assert hashlib.sha256("\n".join(f"{r['role']}:{r['text']}" for r in body).encode()).hexdigest() == found[1][8]
 
