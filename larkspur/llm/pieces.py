@@ -6,35 +6,39 @@ import functools
 import hashlib
 import heapq
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
-from larkspur.session import ship
+from larkspur.llm.inputs import with_computed
 
-#: Segmentations of a word that alternate in a text.
-VARIANTS = 4
-#: Words remembered for each variant; more are segmented each time, which changes no result.
-REMEMBERED = 100_000
-#: Parts of words remembered for each variant.
-REMEMBERED_PARTS = 300_000
+#: Words whose merging without a skip is remembered; others are merged each time, which changes no result.
+REMEMBERED = 150_000
+#: Words remembered together with the candidates skipped in them.
+REMEMBERED_SKIPS = 400_000
+#: Candidates of a word whose draws are made for all words of a text at once; those after them are drawn one by one.
+DRAWN = 16
 _BLANK = "▁"
 _WORD = re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+")
 _MASK = (1 << 64) - 1
+_SHORT, _NO_PIECE = 48, float("inf")
+_PLACE, _ORDER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 class Vocabulary:
-    """Pieces of a BPE model: scores of merges, ids, bytes, and which neighbouring characters can ever merge."""
+    """Pieces of a BPE model: scores of merges (the least comes first), ids and bytes."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids, self.scores, self.bytes_of = {}, {}, []
+        self.coded = {}
         self.byte_ids = [0] * 256
-        pairs = set()
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -44,121 +48,166 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.bytes_of.append(b"")
             else:
-                self.ids[piece], self.scores[piece] = i, model.get_score(i)
+                self.ids[piece], self.scores[piece] = i, -model.get_score(i)
+                self.coded[piece] = _id(i)
                 self.bytes_of.append(piece.replace(_BLANK, " ").encode())
-                pairs.update(zip(piece, piece[1:]))
-        self.pairs = frozenset(pairs)
-
-    def cores(self, word: str) -> list[str]:
-        """The parts of a word between which no merge is possible."""
-        out, at = [], 0
-        for i in range(1, len(word)):
-            if (word[i - 1], word[i]) not in self.pairs:
-                out.append(word[at:i])
-                at = i
-        return [*out, word[at:]]
 
     def symbols(self, parts: list[str]) -> bytes:
         """Ids of final parts; a character that is no piece becomes its bytes."""
-        ids = []
-        for part in parts:
-            found = self.ids.get(part)
-            ids += [found] if found is not None else [self.byte_ids[b] for b in part.encode()]
-        return np.asarray(ids, "<i4").tobytes()
+        coded = self.coded
+        try:
+            return b"".join([coded[p] for p in parts])
+        except KeyError:
+            return b"".join([coded.get(p) or b"".join([_id(self.byte_ids[b]) for b in p.encode()]) for p in parts])
 
 
-def merged(core: str, scores: dict[str, float], dropout: float, key: bytes) -> list[str]:
-    """The parts that agenda merging leaves of ``core``.
+def _id(number: int) -> bytes:
+    return number.to_bytes(4, "little")
 
-    The agenda holds the pairs of neighbours that form a piece, best score first, then leftmost. A pair that comes up is
-    skipped when the hash of ``key``, the core and the pair's place falls below ``dropout``; it can only come back as
-    part of a longer pair. The same key always gives the same parts.
+
+def draws(key: int, first: int, n: int, limit: int) -> np.ndarray:
+    """For ``n`` words from place ``first`` on, bit ``k`` set where the word's ``k``-th candidate is skipped.
+
+    Four candidates share a hash of the key, the place and their number; a candidate is skipped where its 16 bits of the
+    hash are below ``limit``.
     """
-    n = len(core)
+    places = np.arange(first, first + n, dtype=np.uint64)[:, None] * np.uint64(_PLACE)
+    z = places + np.arange(DRAWN // 4, dtype=np.uint64) * np.uint64(_ORDER) + np.uint64(key)
+    z = (z ^ (z >> np.uint64(31))) * np.uint64(_MIX[0])
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(_MIX[1])
+    z ^= z >> np.uint64(32)
+    return np.packbits(z.view(np.uint16) < limit, axis=1, bitorder="little").view(np.uint16).ravel()
+
+
+def drawn(key: int, place: int, k: int, limit: int) -> bool:
+    """Whether the ``k``-th candidate of the word at ``place`` is skipped."""
+    z = (place * _PLACE + (k >> 2) * _ORDER + key) & _MASK
+    z = (z ^ (z >> 31)) * _MIX[0] & _MASK
+    z = (z ^ (z >> 29)) * _MIX[1] & _MASK
+    return ((z ^ (z >> 32)) >> 16 * (k & 3)) & 0xFFFF < limit
+
+
+def merged(word: str, scores: dict[str, float], skips: Callable[[int], bool] | None = None) -> tuple[list[str], int]:
+    """The parts that agenda merging leaves of ``word``, and how many candidates came up.
+
+    The agenda holds the pairs of neighbours that form a piece, best score first, then leftmost. Each that comes up while
+    both its parts still stand is a candidate, numbered from 0; where ``skips`` says so it is passed over and only comes
+    back as part of a longer pair.
+    """
+    n, up = len(word), 0
+    if n <= _SHORT:
+        # The agenda of a few pairs is the list of their scores itself.
+        parts, get = list(word), scores.get
+        agenda = [get(word[i:i + 2], _NO_PIECE) for i in range(n - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == _NO_PIECE:
+                break
+            at = agenda.index(best)
+            up += 1
+            if skips is not None and skips(up - 1):
+                agenda[at] = _NO_PIECE
+                continue
+            made = parts[at] = parts[at] + parts.pop(at + 1)
+            del agenda[at]
+            if at < len(agenda):
+                agenda[at] = get(made + parts[at + 1], _NO_PIECE)
+            if at:
+                agenda[at - 1] = get(parts[at - 1] + made, _NO_PIECE)
+        return parts, up
     ends = list(range(1, n + 1))  # where the part that begins here ends; 0 once it is merged into another
     begins = list(range(-1, n - 1))  # where the part before begins
-    agenda: list[tuple[float, int, int, int]] = []
-
-    def offer(left: int, middle: int) -> None:
-        end = ends[middle]
-        score = scores.get(core[left:end])
-        if score is not None:
-            heapq.heappush(agenda, (-score, left, middle, end))
-
-    for i in range(n - 1):
-        offer(i, i + 1)
-    limit, seed = int(dropout * (1 << 64)), 0
-    if limit and agenda:
-        seed = int.from_bytes(hashlib.blake2b(core.encode(), key=key, digest_size=8).digest(), "little")
+    agenda = [(score, i, i + 1, i + 2) for i in range(n - 1) if (score := scores.get(word[i:i + 2])) is not None]
+    heapq.heapify(agenda)
     while agenda:
         _, left, middle, end = heapq.heappop(agenda)
         if ends[left] != middle or ends[middle] != end:
             continue
-        if limit:
-            draw = (seed ^ (left * 0x9E3779B97F4A7C15 + end * 0xC2B2AE3D27D4EB4F)) & _MASK
-            draw = (draw ^ (draw >> 31)) * 0xBF58476D1CE4E5B9 & _MASK
-            if (draw ^ (draw >> 29)) * 0x94D049BB133111EB & _MASK < limit:
-                continue
+        up += 1
+        if skips is not None and skips(up - 1):
+            continue
         ends[left], ends[middle] = end, 0
         if end < n:
             begins[end] = left
-            offer(left, end)
-        if begins[left] >= 0:
-            offer(begins[left], left)
-    return [core[i:ends[i]] for i in range(n) if ends[i]]
-
-
-class _Words(dict):
-    """Ids of a word in one variant."""
-
-    def __init__(self, vocabulary: Vocabulary, dropout: float, key: bytes):
-        self.vocabulary, self.dropout, self.key, self.known = vocabulary, dropout, key, {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = b"".join(map(self._core, self.vocabulary.cores(word)))
-        if len(self) < REMEMBERED and len(word) < 64:
-            self[word] = found
-        return found
-
-    def _core(self, core: str) -> bytes:
-        found = self.known.get(core)
-        if found is None:
-            found = self.vocabulary.symbols(merged(core, self.vocabulary.scores, self.dropout, self.key))
-            if len(self.known) < REMEMBERED_PARTS and len(core) < 64:
-                self.known[core] = found
-        return found
+            after = ends[end]
+            score = scores.get(word[left:after])
+            if score is not None:
+                heapq.heappush(agenda, (score, left, end, after))
+        before = begins[left]
+        if before >= 0:
+            score = scores.get(word[before:end])
+            if score is not None:
+                heapq.heappush(agenda, (score, before, left, end))
+    return [word[i:ends[i]] for i in range(n) if ends[i]], up
 
 
 class PieceEncoder:
-    """Ids of whole texts. Without dropout they are those of the model's own processor."""
+    """Ids of whole texts. Without dropout they are those of the model's own processor.
+
+    With it every word of every text has its own draws. What they do to a word depends only on the bits of the candidates
+    that come up, so the ids of a word are remembered with those bits; a word of which more come up is merged each time.
+    """
 
     def __init__(self, path: str, dropout: float, seed: int):
         self.vocabulary = Vocabulary(path)
-        self.seed = seed
-        n = VARIANTS if dropout else 1
-        self.variants = [_Words(self.vocabulary, dropout, b"%d:%d" % (seed, v)) for v in range(n)]
+        self.seed, self.limit = seed, round(dropout * 65536)
+        self.plain: dict[str, tuple[bytes, int, int]] = {}
+        self.skipped: dict[tuple[str, int], bytes | None] = {}
         self.literal = np.asarray([self.vocabulary.byte_ids[b] for b in _BLANK.encode()], "<i4").tobytes()
 
+    def key_of(self, key: str) -> int:
+        """What the draws of a row's text are made from, besides place and candidate."""
+        return int.from_bytes(hashlib.blake2b(f"{self.seed}:{key}".encode(), digest_size=8).digest(), "little")
+
     def encode(self, text: str, key: str = "") -> bytes:
-        """Little-endian 32-bit ids. ``key`` chooses which variant the first word takes; the others follow in turn."""
+        """Little-endian 32-bit ids. ``key`` tells the text from others in the draws."""
         if not text:
             return b""
-        first = hashlib.blake2b(f"{self.seed}:{key}".encode(), digest_size=2).digest()[0]
         # The mark for blanks itself is spelled in bytes, so it decodes as what it is.
-        parts = (" " + text).split(_BLANK)
-        return self.literal.join(self._plain(p, first) for p in parts)
-
-    def _plain(self, text: str, first: int) -> bytes:
-        words = _WORD.findall(text.replace(" ", _BLANK))
-        n = len(self.variants)
-        if n == 1:
-            return b"".join(map(self.variants[0].__getitem__, words))
-        out = [b""] * len(words)
-        for v, known in enumerate(self.variants):
-            at = (v - first) % n
-            out[at::n] = map(known.__getitem__, words[at::n])
+        out, place, number = [], 0, self.key_of(key) if self.limit else 0
+        for part in (" " + text).split(_BLANK):
+            words = _WORD.findall(part.replace(" ", _BLANK))
+            out.append(self._words(words, number, place))
+            place += len(words)
+        return self.literal.join(out)
+
+    def _words(self, words: list[str], key: int, first: int) -> bytes:
+        plain, skipped = self.plain, self.skipped
+        if not self.limit:
+            return b"".join([(plain.get(w) or self._plain(w))[0] for w in words])
+        out, masks = [], draws(key, first, len(words), self.limit).tolist()
+        full = len(plain) >= REMEMBERED
+        for at, (word, mask) in enumerate(zip(words, masks), first):
+            known = plain.get(word)
+            if known is None:
+                if full:
+                    out.append(self._skipped(word, mask, 0, key, at))
+                    continue
+                known = self._plain(word)
+            ids, low, wide = known
+            if mask & low or low > wide:
+                found = skipped.get((word, mask & wide))
+                ids = found if found is not None else self._skipped(word, mask, wide, key, at)
+            out.append(ids)
         return b"".join(out)
 
+    def _plain(self, word: str) -> tuple[bytes, int, int]:
+        """Ids without a skip, the bits of the candidates that come up then, and those by which skips are remembered."""
+        parts, up = merged(word, self.vocabulary.scores)
+        made = self.vocabulary.symbols(parts), (1 << up) - 1, (1 << min(up + 2, DRAWN)) - 1
+        if len(self.plain) < REMEMBERED and len(word) < 64:
+            self.plain[word] = made
+        return made
+
+    def _skipped(self, word: str, mask: int, wide: int, key: int, place: int) -> bytes:
+        limit = self.limit
+        parts, up = merged(word, self.vocabulary.scores,
+                           (lambda k: mask >> k & 1 if k < DRAWN else drawn(key, place, k, limit)) if mask or len(word) > DRAWN else None)
+        ids = self.vocabulary.symbols(parts)
+        if 0 < up <= wide.bit_length() and len(self.skipped) < REMEMBERED_SKIPS:
+            self.skipped[word, mask & wide] = ids
+        return ids
+
 
 @functools.lru_cache(maxsize=2)
 def piece_encoder(path: str, dropout: float, seed: int) -> PieceEncoder:
@@ -180,43 +229,42 @@ def encode_pieces(docs: DataFrame, model_path: str, dropout: float = 0.1, seed:
                   text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """``docs`` with ``ids_column``, an array of piece ids of the whole text; null for a null text, empty for an empty one.
 
-    With ``dropout`` each candidate merge is skipped with that probability, drawn from ``seed``, the word, the place in
-    it and one of ``VARIANTS`` variants, which alternate from word to word and begin at one that the row's id decides.
-    So a word has several segmentations, another seed gives others, and a task that runs again gives the same. A column
-    called ``ids_column`` is replaced, other columns are passed on.
+    With ``dropout`` (in steps of 1 / 65 536) each candidate merge is skipped with that probability, drawn by a hash of
+    ``seed``, the row's id, the place of the word in the text and the number of the candidate in the word. So every
+    occurrence of a word is segmented anew, another seed gives other pieces, and a task that runs again the same ones.
+    Rows of one id and text have the same pieces. A column called ``ids_column`` is replaced, other columns are passed on.
     """
     if not 0 <= dropout < 1:
         raise ValueError("dropout must be at least 0 and below 1")
-    ship(docs.sparkSession)
-    kept = docs.drop(ids_column)
-    place, key = kept.columns.index(text_column), kept.columns.index(id_column)
 
-    def run(batches):
+    def factory(names):
+        place, key = names.index(text_column), names.index(id_column)
         encoder = piece_encoder(model_path, dropout, seed)
-        for batch in batches:
+
+        def compute(batch):
             keys = batch.column(key).cast(pa.string()).to_pylist()
             found = [None if t is None else encoder.encode(t, k or "") for t, k in zip(batch.column(place).to_pylist(), keys)]
             sizes = [len(f or b"") // 4 for f in found]
             values = pa.array(np.frombuffer(b"".join(f or b"" for f in found), "<i4"))
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            empty = pa.array([f is None for f in found])
-            ids = pa.ListArray.from_arrays(offsets, values, mask=empty)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_column])
+            return [pa.ListArray.from_arrays(offsets, values, mask=pa.array([f is None for f in found]))]
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(ids_column, ArrayType(IntegerType()))]))
+        return compute
+
+    return with_computed(docs, [StructField(ids_column, ArrayType(IntegerType()))], factory)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
     """``encoded`` with ``text_column``: the text of the ids, null for null. A column of that name is replaced."""
-    ship(encoded.sparkSession)
-    kept = encoded.drop(text_column)
-    place = kept.columns.index(ids_column)
 
-    def run(batches):
-        bytes_of = _vocabulary(model_path).bytes_of
-        for batch in batches:
+    def factory(names):
+        place, bytes_of = names.index(ids_column), _vocabulary(model_path).bytes_of
+
+        def compute(batch):
             ids = batch.column(place)
             texts = [None if not x.is_valid else decode_ids(x.values.to_numpy(zero_copy_only=False), bytes_of) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_column])
+            return [pa.array(texts, pa.string())]
+
+        return compute
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(text_column, StringType())]))
+    return with_computed(encoded, [StructField(text_column, StringType())], factory)

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -45,12 +47,68 @@ def test_varied_and_repeatable():
     assert len(a.encode(text)) > len(plain.encode(text))
 
 
-def test_skipped_share_of_merges():
-    """Of the candidates that come up, about the given share is skipped: with two characters there is one."""
-    vocabulary = P.Vocabulary(PATH)
-    pairs = [p for p in vocabulary.scores if len(p) == 2][:600]
-    kept = sum(len(P.merged(p, vocabulary.scores, 0.25, b"key")) == 1 for p in pairs)
-    assert abs(kept / len(pairs) - 0.75) < 0.06
+def slowly(encoder, text, key):
+    """Pieces by looking through all pairs of neighbours for each candidate, with draws of their own."""
+    vocabulary, mask, out, place = encoder.vocabulary, (1 << 64) - 1, [], 0
+    row = int.from_bytes(hashlib.blake2b(f"{encoder.seed}:{key}".encode(), digest_size=8).digest(), "little")
+
+    def skips(place, k):
+        z = (row + place * 0x9E3779B97F4A7C15 + k // 4 * 0xC2B2AE3D27D4EB4F) & mask
+        z = (z ^ z >> 31) * 0xBF58476D1CE4E5B9 & mask
+        z = (z ^ z >> 29) * 0x94D049BB133111EB & mask
+        return (z ^ z >> 32) >> 16 * (k % 4) & 65535 < encoder.limit
+
+    for n, part in enumerate((" " + text).split("▁") if text else []):
+        out += [vocabulary.byte_ids[b] for b in "▁".encode()] if n else []
+        for word in re.findall("▁*[^▁]+|▁+", part.replace(" ", "▁")):
+            parts, gone, k = list(word), set(), 0
+            while True:
+                starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+                pairs = [(vocabulary.scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in vocabulary.scores
+                         and (starts[i], len(a), len(b)) not in gone]
+                if not pairs:
+                    break
+                i = min(pairs)[1]
+                if skips(place, k):
+                    gone.add((starts[i], len(parts[i]), len(parts[i + 1])))
+                else:
+                    parts[i:i + 2] = [parts[i] + parts[i + 1]]
+                k += 1
+            place += 1
+            for p in parts:
+                out += [vocabulary.ids[p]] if p in vocabulary.ids else [vocabulary.byte_ids[b] for b in p.encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 0.95])
+def test_equals_a_plain_agenda(dropout):
+    encoder = P.PieceEncoder(PATH, dropout, 5)
+    long = ["internationalization understandingly " * 9, "antidisestablishmentarianism" * 3, "a▁b ▁", "▁"]
+    for k, text in enumerate([*texts(400), *long, *long]):
+        assert ids(encoder, text, str(k)).tolist() == slowly(encoder, text, str(k)), text
+
+
+def test_what_is_remembered_changes_nothing(monkeypatch):
+    text = "understanding segmentation of international considerations and a supercalifragilisticexpialidocious word " * 40
+    kept = [P.PieceEncoder(PATH, 0.2, 1).encode(text, str(k)) for k in range(5)]
+    monkeypatch.setattr(P, "REMEMBERED", 0)
+    monkeypatch.setattr(P, "REMEMBERED_SKIPS", 0)
+    assert kept == [P.PieceEncoder(PATH, 0.2, 1).encode(text, str(k)) for k in range(5)]
+
+
+def test_every_occurrence_is_drawn():
+    encoder = P.PieceEncoder(PATH, 0.1, 0)
+    found = {encoder.encode("international considerations", str(k)) for k in range(5000)}
+    assert len(found) > 25
+    # Also within one text.
+    assert len({encoder.encode("considerations " * k, "x")[-16:] for k in range(1, 400)}) > 10
+
+
+def test_skipped_share_of_candidates():
+    masks = P.draws(12345, 0, 20_000, round(0.1 * 65536))
+    shares = [(masks >> k & 1).mean() for k in range(P.DRAWN)]
+    assert max(abs(x - 0.1) for x in shares) < 0.01
+    assert all(P.drawn(12345, place, k, 6554) == masks[place] >> k & 1 for place in range(50) for k in range(P.DRAWN))
 
 
 def test_query(spark, folder):
