@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
+from larkspur.llm.inputs import with_computed
 from larkspur.session import ship
 
 WINDOW = 256
@@ -16,15 +15,21 @@ WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 8, 8
 #: Labelled rows of a language, and windows of a row, that the network is fitted on.
 ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 400, 3
+#: Most languages that the network knows: the most frequent ones.
+LANGUAGES = 256
 #: Windows held by a task at a time.
 BLOCK = 256
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter: digits, other numbers, marks and signs are none."""
+    return any(map(str.isalpha, text))
+
+
 def windows_of(data: bytes) -> np.ndarray:
     """The whole text as rows of ``WINDOW`` bytes, A-Z folded to lower case, the last filled up with zeros."""
     n = max(1, -(-len(data) // WINDOW))
@@ -121,14 +126,16 @@ class ByteNetwork:
 
 
 def _sample(labelled: DataFrame, per_language: int) -> list:
-    """Rows of at most some ``per_language`` texts of each language, chosen by hash: language and windows."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Rows of at most ``per_language`` texts of each language, chosen by a hash of id and text: language and windows."""
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return []
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.where(draw < F.element_at(share, F.col("lang"))).orderBy(F.xxhash64("text")).limit(
-        2 * per_language * len(counts))
+    # Somewhat more than is wanted pass the draw, so that few rows meet to be counted.
+    enough = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, (1.5 * per_language + 50) / r["n"]))))
+    draw = F.xxhash64("id", "text")
+    drawn = labelled.where(F.pmod(draw, F.lit(1 << 30)) / float(1 << 30) < F.element_at(enough, F.col("lang")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "id", "text"))
+    chosen = drawn.withColumn("rank", rank).where(F.col("rank") <= per_language)
 
     def run(batches):
         for batch in batches:
@@ -147,14 +154,17 @@ def _sample(labelled: DataFrame, per_language: int) -> list:
     return chosen.select("lang", "text").mapInArrow(run, "lang string, window binary").collect()
 
 
-def fit_network(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang",
+def fit_network(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id",
                 per_language: int = ROWS_PER_LANGUAGE) -> ByteNetwork:
-    """A network fitted on some ``per_language`` texts of each value of ``lang_column``; rows without either are left out.
+    """A network fitted on at most ``per_language`` texts of each of the ``LANGUAGES`` most frequent values of ``lang_column``.
 
-    With no labelled row the network knows no language.
+    The id only takes part in the draw of these rows, so copies of a text under several ids are drawn one by one and do
+    not crowd out others. Rows without a language, text or letter are left out; with none left the network knows no
+    language.
     """
     ship(labelled.sparkSession)
-    rows = labelled.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
+    rows = labelled.select(F.col(f"`{lang_column}`").cast("string").alias("lang"), F.col(f"`{text_column}`").cast("string").alias("text"),
+                           F.col(f"`{id_column}`").cast("string").alias("id"))
     rows = _sample(rows.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'"), per_language)
     languages = sorted({r["lang"] for r in rows})
     network = ByteNetwork(languages)
@@ -172,15 +182,13 @@ def predict_language(docs: DataFrame, network: ByteNetwork, text_column: str = "
     the network knows no language, is ``und`` with score 0. Columns of the result's names are replaced; other columns
     are passed on as they are.
     """
-    ship(docs.sparkSession)
-    kept = docs.drop("lang_pred", "score")
-    place = kept.columns.index(text_column)
     tables_of, languages = network.tables, network.languages
 
-    def run(batches):
-        tables = tables_of()
-        for batch in batches:
-            texts = [None if t is None or not _LETTER.search(t) or not languages else t.encode()
+    def factory(names):
+        place, tables = names.index(text_column), tables_of()
+
+        def compute(batch):
+            texts = [None if t is None or not has_letter(t) or not languages else t.encode()
                      for t in batch.column(place).cast(pa.string()).to_pylist()]
             totals = np.zeros((len(texts), max(1, len(languages))))
             held, owner, sizes = [], [], []
@@ -204,10 +212,9 @@ def predict_language(docs: DataFrame, network: ByteNetwork, text_column: str = "
             best = totals.argmax(axis=1)
             size = np.array([len(t or b"") for t in texts])
             score = totals[np.arange(len(texts)), best] / np.maximum(size, 1)
-            names = [UNKNOWN if t is None else languages[b] for t, b in zip(texts, best)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(np.clip(score, 0.0, 1.0), pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"])
+            found = [UNKNOWN if t is None else languages[b] for t, b in zip(texts, best)]
+            return [pa.array(found, pa.string()), pa.array(np.clip(score, 0.0, 1.0), pa.float64())]
+
+        return compute
 
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return with_computed(docs, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], factory)

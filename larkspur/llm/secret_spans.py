@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from larkspur.llm.inputs import columns_of, with_computed
 from larkspur.session import ship
 
 #: Expected number of texts whose windows the field is fitted on, and most windows.
@@ -375,24 +376,28 @@ def find_secrets(docs: DataFrame, field: Field | None, text_column: str = "text"
     outside them, in the whole text; a null text counts as empty and stays null. Overlapping spans are replaced as one.
     A column ``spans`` of the input is replaced, other columns are passed on.
     """
-    ship(docs.sparkSession)
-    kept = docs.drop("spans")
-    place = kept.columns.index(text_column)
+    arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    source, added = text_column, [StructField("spans", SPANS)]
+    if redact is not None:
+        # The text before stands under a name of its own while the new one is made.
+        source = next(n for n in (f"text before {i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+        added.append(StructField(text_column, StringType()))
 
-    def run(batches):
-        finder = SpanFinder(field)
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+    def factory(names):
+        place, finder = names.index(source), SpanFinder(field)
+
+        def compute(batch):
             texts = batch.column(place).to_pylist()
             found = [finder.spans(t or "") for t in texts]
-            columns = list(batch.columns)
+            out = [pa.array([[{"kind": k, "start": s, "end": e} for s, k, e in f] for f in found], arrow)]
             if redact is not None:
-                changed = [t if not f else _redacted(t, f, redact) for t, f in zip(texts, found)]
-                columns[place] = pa.array(changed, pa.string())
-            spans = pa.array([[{"kind": k, "start": s, "end": e} for s, k, e in f] for f in found], kind)
-            yield pa.RecordBatch.from_arrays([*columns, spans], [*batch.schema.names, "spans"])
+                out.append(pa.array([t if not f else _redacted(t, f, redact) for t, f in zip(texts, found)], pa.string()))
+            return out
+
+        return compute
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("spans", SPANS)]))
+    found = with_computed(docs.withColumnRenamed(text_column, source), added, factory)
+    return found.select(columns_of(docs.drop("spans")) + ["spans"])
 
 
 def _redacted(text: str, spans: list[tuple[int, str, int]], mark: str) -> str:

@@ -9,8 +9,9 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
+from larkspur.llm.inputs import with_computed
 from larkspur.session import ship
 
 #: Labelled rows that the chain is fitted on, words that a category selects, folds, ridge.
@@ -85,38 +86,44 @@ class Chain:
         flat = np.concatenate(words) if words else np.empty(0, np.int64)
         ids, column = np.unique(flat, return_inverse=True)
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        chosen = [_selected(column, owner, labels[:, c], len(ids)) for c in range(labels.shape[1])]
-        every = np.unique(np.concatenate(chosen)) if chosen else np.empty(0, np.int64)
-        self.words = {int(ids[j]): k for k, j in enumerate(every)}
+        # The texts that a model learns from: all but one fold each, then all. Its words come from these alone.
+        parts = [folds != fold for fold in range(FOLDS)] + [np.ones(len(words), bool)]
+        chosen = [[_selected(column, owner, np.where(part, labels[:, c], np.nan), len(ids)) for part in parts]
+                  for c in range(labels.shape[1])]
+        every = np.unique(np.concatenate([x for own in chosen for x in own])) if chosen else np.empty(0, np.int64)
         place = np.full(len(ids), -1)
         place[every] = np.arange(len(every))
-        present = np.zeros((len(words), len(every)))
+        present = np.zeros((len(words), len(every)), np.uint8)
         known = place[column] >= 0
         present[owner[known], place[column[known]]] = 1
+        kept = np.unique(np.concatenate([own[-1] for own in chosen])) if chosen else np.empty(0, np.int64)
+        self.words = {int(ids[j]): k for k, j in enumerate(kept)}
         self.mean, self.spread = shapes.mean(axis=0), shapes.std(axis=0) + 1e-6
         earlier = np.empty((len(words), 0))
         for c in range(labels.shape[1]):
-            self.columns.append(place[chosen[c]])
-            x, y = self._features(c, present, shapes, earlier), labels[:, c]
+            y = labels[:, c]
             has = ~np.isnan(y)
             out_of_fold = np.empty(len(y))
             for fold in range(FOLDS):
-                out = folds == fold
-                fit = has & ~out if (has & ~out).any() else has
+                out, fit = folds == fold, has & parts[fold]
+                words_used, fit = (chosen[c][fold], fit) if fit.any() else (chosen[c][-1], has)
+                x = self._features(present[:, place[words_used]], shapes, earlier)
                 out_of_fold[out] = _sigmoid(x[out] @ fit_linear(x[fit], y[fit]))
+            x = self._features(present[:, place[chosen[c][-1]]], shapes, earlier)
             self.weights.append(fit_linear(x[has], y[has]))
+            self.columns.append(np.searchsorted(kept, chosen[c][-1]))
             # Later models learn from what this one says of texts it has not seen.
             earlier = np.column_stack([earlier, out_of_fold])
 
-    def _features(self, c, present, shapes, earlier):
+    def _features(self, present, shapes, earlier):
         scaled = (shapes - self.mean) / self.spread
-        return np.column_stack([present[:, self.columns[c]], scaled, earlier, np.ones(len(shapes))])
+        return np.column_stack([present, scaled, earlier, np.ones(len(shapes))])
 
     def predict(self, present: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         """A column of probabilities for each category."""
         earlier = np.empty((len(shapes), 0))
         for c, w in enumerate(self.weights):
-            earlier = np.column_stack([earlier, _sigmoid(self._features(c, present, shapes, earlier) @ w)])
+            earlier = np.column_stack([earlier, _sigmoid(self._features(present[:, self.columns[c]], shapes, earlier) @ w)])
         return earlier
 
 
@@ -137,8 +144,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_
     """A chain fitted on at most ``rows`` labelled texts, chosen by a hash of the id.
 
     ``labels`` has the id and a 0/1 column for each category, in the order of the chain; a null is a label not known.
-    An id with several rows counts as labelled where any of them is. Copies and near copies of a text count once, so
-    that a crowd of them does not make its own words telling. With no labelled text every probability is 0.
+    An id with several rows counts as labelled where any of them is; of its texts the one with the least hash is taken.
+    Copies and near copies of a text count once, so that a crowd of them does not make its own words telling. A model
+    selects at most ``WORDS`` words. With no labelled text every probability is 0.
     """
     ship(docs.sparkSession)
     known = labels.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(
@@ -162,7 +170,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_
                  pa.array(out[2], pa.list_(pa.int64())), *batch.columns[2:]], ["id", "words", "shape", "signatures", *marks])
 
     schema = "id string, words binary, shape array<double>, signatures array<bigint>, " + ", ".join(f"{m} double" for m in marks)
-    found = texts.where("_text IS NOT NULL").select("_text", "_id", *marks).mapInArrow(run, schema).collect()
+    found = texts.where("_text IS NOT NULL").select("_text", "_id", *marks).mapInArrow(run, schema)
+    # One row for each of the ids above, however often an id is repeated.
+    own = [c for c in found.columns if c != "id"]
+    found = found.groupBy("id").agg(F.min_by(F.struct(*own), F.xxhash64("words", "shape")).alias("r")).select("id", "r.*").collect()
     found.sort(key=lambda r: (zlib.crc32(r["id"].encode()), r["id"], bytes(r["words"])))
     seen: set = set()
     kept = []
@@ -198,14 +209,12 @@ def predict_categories(docs: DataFrame, chain: Chain, text_column: str = "text")
 
     A null text counts as empty. Columns of the result's names are replaced, other columns are passed on.
     """
-    ship(docs.sparkSession)
     names = [f"p_{c}" for c in chain.categories]
-    kept = docs.drop(*names)
-    place = kept.columns.index(text_column)
 
-    def run(batches):
-        places = _Places(chain.words)
-        for batch in batches:
+    def factory(kept):
+        place, places = kept.index(text_column), _Places(chain.words)
+
+        def compute(batch):
             texts = [t or "" for t in batch.column(place).cast(pa.string()).to_pylist()]
             p = np.zeros((len(texts), len(names)))
             if chain.weights and texts:
@@ -218,9 +227,8 @@ def predict_categories(docs: DataFrame, chain: Chain, text_column: str = "text")
                     present[i, list(found)] = 1
                     shapes.append(shape_of(text, words, len(distinct)))
                 p = chain.predict(present, np.array(shapes))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(p[:, c], pa.float64()) for c in range(len(names)))],
-                [*batch.schema.names, *names])
+            return [pa.array(p[:, c], pa.float64()) for c in range(len(names))]
+
+        return compute
 
-    schema = StructType([*kept.schema.fields, *(StructField(n, DoubleType()) for n in names)])
-    return kept.mapInArrow(run, schema)
+    return with_computed(docs, [StructField(n, DoubleType()) for n in names], factory)

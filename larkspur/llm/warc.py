@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from larkspur.llm.inputs import spread_files
 from larkspur.session import scratch_path, ship, stage
 
 #: An archive is closed at this size.
@@ -177,15 +178,20 @@ class _Bytes:
             if part:
                 return part
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
-        """Bytes before ``mark``, which is passed over."""
-        while mark not in self.held:
-            part = self.more()
-            if not part or len(self.held) > limit:
+    def line(self) -> bytes:
+        """Bytes before the next line end, which is passed over."""
+        parts, part = [], self.held or self.more()
+        while b"\n" not in part:
+            if not part:
                 raise ValueError("a header has no end")
-            self.held += part
-        found, self.held = self.held.split(mark, 1)
-        return found
+            parts.append(part)
+            part = self.more()
+        last, self.held = part.split(b"\n", 1)
+        return b"".join([*parts, last]).removesuffix(b"\r")
+
+    def lines(self) -> list[bytes]:
+        """Lines before an empty one, which is passed over."""
+        return list(iter(self.line, b""))
 
     def take(self, n: int) -> Iterator[bytes]:
         """Exactly ``n`` bytes, in parts."""
@@ -206,9 +212,8 @@ class _Bytes:
         return out
 
 
-def _fields(header: bytes) -> dict[str, str]:
-    lines = header.decode("utf-8", "replace").split("\r\n")
-    pairs = (line.partition(":") for line in lines[1:])
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    pairs = (line.decode("utf-8", "replace").partition(":") for line in lines[1:])
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
@@ -220,7 +225,7 @@ def read_records(stream, with_payload: bool) -> Iterator[dict]:
     """
     source = _Bytes(stream)
     while source.begin():
-        header = _fields(source.until(b"\r\n\r\n"))
+        header = _fields(source.lines())
         length = int(header["content-length"])
         block, payload, kept, seen, http = hashlib.sha1(), hashlib.sha1(), [], 0, b""
         is_http = header.get("content-type", "").startswith("application/http")
@@ -243,7 +248,7 @@ def read_records(stream, with_payload: bool) -> Iterator[dict]:
         revisit = header.get("warc-type") == "revisit"
         stated = header.get("warc-payload-digest")
         good = header.get("warc-block-digest") in (None, "sha1:" + base64.b32encode(block.digest()).decode())
-        declared = int(_fields(http).get("content-length", seen)) if is_http else seen
+        declared = int(_fields(http.split(b"\r\n")).get("content-length", seen)) if is_http else seen
         good = good and (not seen if revisit else stated in (None, name) and declared == seen)
         yield {
             "offset": source.offset, "record_id": header.get("warc-record-id", "").strip("<>"),
@@ -263,10 +268,13 @@ _SPARK = ("path string, offset bigint, record_id string, record_type string, uri
 
 
 def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of the archives in column ``path``, each archive read in sequence by one task (see ``read_records``)."""
+    """Records of the archives in column ``path``, each archive read in sequence by one task (see ``read_records``).
+
+    A task reads several archives, by their ``bytes`` where that column is there. A null path is left out.
+    """
     ship(paths.sparkSession)
-    names = paths.select("path").where("path IS NOT NULL")
-    spread = names.repartition(max(1, names.count()))
+    size = F.col("bytes") if "bytes" in paths.columns else F.lit(ARCHIVE_BYTES)
+    spread = spread_files(paths.where("path IS NOT NULL").select("path", size.alias("bytes")))
 
     def run(batches):
         for batch in batches:

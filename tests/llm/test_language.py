@@ -1,8 +1,12 @@
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from larkspur.llm import language as L
+from larkspur.llm.language import WINDOWS_PER_ROW, _sample, fit_network, predict_language
 from larkspur.llm.queries import op6_language
 from tests.llm.cases import LONG, documents, tables, with_clashes
 
@@ -38,6 +42,22 @@ def test_cases(spark):
     assert L.predict_language(documents(spark, []), network).count() == 0
 
 
+def test_what_is_no_letter(spark):
+    texts = ["½ ² ¼", "①②③", "Ⅷ", "१२३", "२ ½!", "_ - ³", "़ ̈", "ª", "ʰ", "漢", "1a"]
+    network = fit_network(documents(spark, [(k, "some words of a text") for k in range(9)]).withColumn("lang", F.lit("en")))
+    found = {r["doc_id"]: r["lang_pred"] for r in predict_language(documents(spark, list(enumerate(texts))), network).collect()}
+    letters = [any(unicodedata.category(c).startswith("L") for c in t) for t in texts]
+    assert [found[k] != "und" for k in range(len(texts))] == letters and not all(letters[:7])
+
+
+def test_a_repeated_text_does_not_crowd_out_others(spark):
+    same = [(k, "the same words again and again", "en") for k in range(3000)]
+    rest = [(3000 + k, f"{a} autre texte numéro {a}", lang) for k, (a, lang) in enumerate((f"w{i}", l) for i in range(60) for l in ("fr", "de"))]
+    rows = spark.createDataFrame(same + rest, "doc_id bigint, text string, lang string")
+    found = _sample(rows.selectExpr("lang", "text", "CAST(doc_id AS STRING) AS id"), 50)
+    assert Counter(r["lang"] for r in found) == {"en": 50 * WINDOWS_PER_ROW, "fr": 50 * WINDOWS_PER_ROW, "de": 50 * WINDOWS_PER_ROW}
+
+
 def test_nothing_to_learn_from(spark):
     network = L.fit_network(documents(spark))
     assert {r["lang_pred"] for r in L.predict_language(documents(spark), network).collect()} == {"und"}

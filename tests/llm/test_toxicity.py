@@ -72,6 +72,30 @@ def test_near_copies_count_once(spark):
     assert row["p_rude"] < 0.5
 
 
+def test_one_row_of_a_repeated_id(spark, monkeypatch):
+    rows = [(1, f"word{k % 50} plain text {k}") for k in range(5000)]
+    rows += [(k, " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(8))) for k in range(2, 9)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 9)], "doc_id bigint, toxic int")
+    taken = []
+    monkeypatch.setattr(T.Chain, "fit", lambda self, words, *rest: taken.append(len(words)))
+    T.fit_chain(documents(spark, rows), labels, ["toxic"], rows=8)
+    assert taken == [8]
+
+
+def test_words_come_from_the_other_folds(monkeypatch):
+    """A word that tells all in one fold alone is not chosen by the model that judges this fold."""
+    rng = np.random.default_rng(0)
+    folds = np.arange(300) % T.FOLDS
+    labels = rng.integers(0, 2, (300, 1)).astype(float)
+    words = [np.array([1000 + k % 7] + ([5] if f == 2 and y[0] else [])) for k, (f, y) in enumerate(zip(folds, labels))]
+    chosen, real = [], T._selected
+    monkeypatch.setattr(T, "WORDS", 1)
+    monkeypatch.setattr(T, "_selected", lambda *a: (chosen.append(real(*a).tolist()), real(*a))[1])
+    T.Chain(["c"]).fit([np.unique(w) for w in words], rng.random((300, 2)), labels, folds)
+    # Word 5 is the first of all.
+    assert [c == [0] for c in chosen] == [True, True, False, True, True, True]
+
+
 def test_linear_model():
     rng = np.random.default_rng(1)
     x = np.column_stack([rng.normal(size=(2000, 2)), np.ones(2000)])

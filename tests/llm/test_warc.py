@@ -56,6 +56,12 @@ def test_round_trip_of_payloads(spark, monkeypatch):
         assert gzip.decompress(body[r["offset"]:][:len(body)]).startswith(b"WARC/1.0\r\n")
 
 
+def test_long_addresses(spark):
+    long = [(1, "http://a/" + "x" * 3_000_000, "one"), (2, "http://b/" + "y" * 70_000, "one"), (3, "http://c", "two")]
+    records = W.read_archives(W.write_archives(pages(spark, long)).select("path")).collect()
+    assert sorted(r["uri"] for r in records) == sorted(u for _, u, _ in long) and all(r["verified"] for r in records)
+
+
 def test_small_payloads_are_all_responses(spark):
     records = W.read_archives(W.write_archives(pages(spark), revisit_from=12)).collect()
     assert {r["record_type"] for r in records if r["payload_length"] < 12} == {"response"}
