@@ -16,15 +16,15 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 from larkspur.llm.inputs import with_computed
 
 #: Words whose merging without a skip is remembered; others are merged each time, which changes no result.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Words remembered together with the candidates skipped in them.
-REMEMBERED_SKIPS = 400_000
+REMEMBERED_SKIPS = 600_000
 #: Candidates of a word whose draws are made for all words of a text at once; those after them are drawn one by one.
 DRAWN = 16
 _BLANK = "▁"
 _WORD = re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+")
 _MASK = (1 << 64) - 1
-_SHORT, _NO_PIECE = 48, float("inf")
+_SHORT, _NO_PIECE, _SEEN = 48, float("inf"), (1 << 22) - 1
 _PLACE, _ORDER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -87,25 +87,26 @@ def drawn(key: int, place: int, k: int, limit: int) -> bool:
     return ((z ^ (z >> 32)) >> 16 * (k & 3)) & 0xFFFF < limit
 
 
-def merged(word: str, scores: dict[str, float], skips: Callable[[int], bool] | None = None) -> tuple[list[str], int]:
+def merged(word: str, scores: dict[str, float], mask: int = 0, more: Callable[[int], bool] | None = None) -> tuple[list[str], int]:
     """The parts that agenda merging leaves of ``word``, and how many candidates came up.
 
     The agenda holds the pairs of neighbours that form a piece, best score first, then leftmost. Each that comes up while
-    both its parts still stand is a candidate, numbered from 0; where ``skips`` says so it is passed over and only comes
-    back as part of a longer pair.
+    both its parts still stand is a candidate, numbered from 0; where its bit of ``mask`` is set, or from ``DRAWN`` on
+    ``more`` says so, it is passed over and only comes back as part of a longer pair.
     """
     n, up = len(word), 0
     if n <= _SHORT:
         # The agenda of a few pairs is the list of their scores itself.
         parts, get = list(word), scores.get
-        agenda = [get(word[i:i + 2], _NO_PIECE) for i in range(n - 1)]
+        agenda = [get(a + b, _NO_PIECE) for a, b in zip(word, word[1:])]
         while agenda:
             best = min(agenda)
             if best == _NO_PIECE:
                 break
             at = agenda.index(best)
+            skip = mask >> up & 1 if up < DRAWN or more is None else more(up)
             up += 1
-            if skips is not None and skips(up - 1):
+            if skip:
                 agenda[at] = _NO_PIECE
                 continue
             made = parts[at] = parts[at] + parts.pop(at + 1)
@@ -123,8 +124,9 @@ def merged(word: str, scores: dict[str, float], skips: Callable[[int], bool] | N
         _, left, middle, end = heapq.heappop(agenda)
         if ends[left] != middle or ends[middle] != end:
             continue
+        skip = mask >> up & 1 if up < DRAWN or more is None else more(up)
         up += 1
-        if skips is not None and skips(up - 1):
+        if skip:
             continue
         ends[left], ends[middle] = end, 0
         if end < n:
@@ -152,7 +154,9 @@ class PieceEncoder:
         self.vocabulary = Vocabulary(path)
         self.seed, self.limit = seed, round(dropout * 65536)
         self.plain: dict[str, tuple[bytes, int, int]] = {}
-        self.skipped: dict[tuple[str, int], bytes | None] = {}
+        self.skipped: dict[tuple[str, int], bytes] = {}
+        # Most words occur once; a word is remembered when its place here was met before.
+        self.seen = bytearray(_SEEN + 1)
         self.literal = np.asarray([self.vocabulary.byte_ids[b] for b in _BLANK.encode()], "<i4").tobytes()
 
     def key_of(self, key: str) -> int:
@@ -172,23 +176,28 @@ class PieceEncoder:
         return self.literal.join(out)
 
     def _words(self, words: list[str], key: int, first: int) -> bytes:
-        plain, skipped = self.plain, self.skipped
+        plain, skipped = self.plain.get, self.skipped.get
         if not self.limit:
-            return b"".join([(plain.get(w) or self._plain(w))[0] for w in words])
+            return b"".join([(plain(w) or self._plain(w))[0] for w in words])
         out, masks = [], draws(key, first, len(words), self.limit).tolist()
-        full = len(plain) >= REMEMBERED
+        room, seen = REMEMBERED - len(self.plain), self.seen
         for at, (word, mask) in enumerate(zip(words, masks), first):
-            known = plain.get(word)
+            known = plain(word)
             if known is None:
-                if full:
+                # A word of up to DRAWN + 1 characters has at most DRAWN merges.
+                place = hash(word) & _SEEN
+                if len(word) > DRAWN + 1 or room <= 0 or not seen[place]:
+                    seen[place] = 1
                     out.append(self._skipped(word, mask, 0, key, at))
                     continue
+                room -= 1
                 known = self._plain(word)
             ids, low, wide = known
-            if mask & low or low > wide:
-                found = skipped.get((word, mask & wide))
-                ids = found if found is not None else self._skipped(word, mask, wide, key, at)
-            out.append(ids)
+            if mask & low:
+                found = skipped((word, mask & wide))
+                out.append(self._skipped(word, mask, wide, key, at) if found is None else found)
+            else:
+                out.append(ids)
         return b"".join(out)
 
     def _plain(self, word: str) -> tuple[bytes, int, int]:
@@ -201,8 +210,7 @@ class PieceEncoder:
 
     def _skipped(self, word: str, mask: int, wide: int, key: int, place: int) -> bytes:
         limit = self.limit
-        parts, up = merged(word, self.vocabulary.scores,
-                           (lambda k: mask >> k & 1 if k < DRAWN else drawn(key, place, k, limit)) if mask or len(word) > DRAWN else None)
+        parts, up = merged(word, self.vocabulary.scores, mask, lambda k: drawn(key, place, k, limit))
         ids = self.vocabulary.symbols(parts)
         if 0 < up <= wide.bit_length() and len(self.skipped) < REMEMBERED_SKIPS:
             self.skipped[word, mask & wide] = ids
