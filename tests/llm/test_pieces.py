@@ -88,12 +88,15 @@ def test_equals_a_plain_agenda(dropout):
         assert ids(encoder, text, str(k)).tolist() == slowly(encoder, text, str(k)), text
 
 
-def test_what_is_remembered_changes_nothing(monkeypatch):
-    text = "understanding segmentation of international considerations and a supercalifragilisticexpialidocious word " * 40
-    kept = [P.PieceEncoder(PATH, 0.2, 1).encode(text, str(k)) for k in range(5)]
-    monkeypatch.setattr(P, "REMEMBERED", 0)
-    monkeypatch.setattr(P, "REMEMBERED_SKIPS", 0)
-    assert kept == [P.PieceEncoder(PATH, 0.2, 1).encode(text, str(k)) for k in range(5)]
+def test_blocks_change_nothing(monkeypatch):
+    many = [*texts(300), "understanding ▁ of international considerations " * 40, "", " ", "x" * 30]
+    keys = [str(k) for k in range(len(many))]
+    encoder = P.PieceEncoder(PATH, 0.2, 1)
+    kept = [x.tolist() for x in encoder.encode_all(many, keys)]
+    assert kept == [ids(encoder, t, k).tolist() for t, k in zip(many, keys)]
+    monkeypatch.setattr(P, "BLOCK_WORDS", 7)
+    monkeypatch.setattr(P, "BLOCK_CHARS", 50)
+    assert kept == [x.tolist() for x in encoder.encode_all(many, keys)]
 
 
 def test_every_occurrence_is_drawn():
@@ -105,7 +108,7 @@ def test_every_occurrence_is_drawn():
 
 
 def test_skipped_share_of_candidates():
-    masks = P.draws(12345, 0, 20_000, round(0.1 * 65536))
+    masks = P.draws(np.full(20_000, 12345, np.uint64), np.arange(20_000), round(0.1 * 65536))
     shares = [(masks >> k & 1).mean() for k in range(P.DRAWN)]
     assert max(abs(x - 0.1) for x in shares) < 0.01
     assert all(P.drawn(12345, place, k, 6554) == masks[place] >> k & 1 for place in range(50) for k in range(P.DRAWN))
