@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.catalog.search import ORACLES as _SEARCH
-from larkspur.catalog.tables import LABEL_QUERIES, PLACED_SQL, label_queries, points, score_sql, table
+from larkspur.catalog.tables import LABEL_QUERIES, PLACED_SQL, label_queries, points, score_sql, table, vector_md5, vector_md5_sql
 from larkspur.operators.collections import CollectionStore
 from larkspur.operators.metrics import classify_errors, progress, sink_rollup, summarize_run
 from larkspur.operators.relational import (
@@ -17,7 +17,7 @@ from larkspur.operators.relational import (
     photo_observers, photo_observations, unprocessed, valid_embeddings, with_taxa,
 )
 from larkspur.operators.search import search_batch
-from larkspur.plans.benchmark import run_benchmark, run_update_benchmark
+from larkspur.plans.benchmark import run_benchmark
 from larkspur.plans.datasets import build_collection, build_image_dataset, reembed_dataset
 from larkspur.session import scratch_path
 from larkspur.streaming.jobs import point_stream, upsert_stream
@@ -92,19 +92,17 @@ def observed_photos(spark, sf_dir):
 def enriched_embeddings(spark, sf_dir):
     rows = enrich_embeddings(embeddings(spark, sf_dir), photos(spark, sf_dir), observations(spark, sf_dir),
                              taxa(spark, sf_dir))
-    return rows.select("photo_id", "observation_uuid", "extension", "taxon", "observed_on",
-                       F.size("embedding").cast("bigint").alias("dim"))
+    return rows.select("photo_id", "observation_uuid", "extension", "taxon", "observed_on", vector_md5("embedding").alias("vector_md5"))
 
 
 def attached_embeddings(spark, sf_dir):
-    """Parts as photos; every vector comes twice and the later version wins."""
+    """Parts as photos; every vector comes twice, and the later version, turned round, wins."""
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("int").alias("photo_id"), F.array(F.col("p_size").cast("float")).alias("embedding"))
     old = embeddings(spark, sf_dir).withColumn("version", F.lit(1))
-    new = old.withColumn("version", F.lit(2)).withColumn("embedding", F.slice("embedding", 1, 3))
+    new = old.withColumn("version", F.lit(2)).withColumn("embedding", F.transform("embedding", lambda x: -x))
     merged = attach_embeddings(parts, old.unionByName(new), F.col("version"))
-    first = F.try_element_at("embedding", F.lit(1)).cast("double")
-    return merged.select("photo_id", F.size("embedding").cast("bigint").alias("dim"), F.round(first, 6).alias("first"))
+    return merged.select("photo_id", F.size("embedding").cast("bigint").alias("dim"), vector_md5("embedding").alias("vector_md5"))
 
 
 def valid_embedding_counts(spark, sf_dir):
@@ -127,8 +125,7 @@ def photo_collection(spark, sf_dir):
     store = CollectionStore(spark, scratch_path(spark, "store"))
     build_collection(store, "photos", embeddings(spark, sf_dir), photos(spark, sf_dir), observations(spark, sf_dir),
                      taxa(spark, sf_dir), HOST, 64, n_buckets=8)
-    return store.read("photos").select("id", "observation_uuid", "file_name",
-                                       F.size("vector").cast("bigint").alias("dim"))
+    return store.read("photos").select("id", "observation_uuid", "file_name", vector_md5("vector").alias("vector_md5"))
 
 
 def streamed_photos(spark, sf_dir):
@@ -143,7 +140,7 @@ def streamed_photos(spark, sf_dir):
 
     stream = point_stream(spark, f"{sf_dir}/embeddings*.parquet", source.schema)
     upsert_stream(stream, store, "photos", scratch_path(spark, "stream"), "observation_uuid", enrich=with_metadata)
-    return store.read("photos").select("id", "observation_uuid", "file_name", F.size("vector").cast("bigint").alias("dim"))
+    return store.read("photos").select("id", "observation_uuid", "file_name", vector_md5("vector").alias("vector_md5"))
 
 
 def photo_search_response(spark, sf_dir):
@@ -236,17 +233,6 @@ def benchmark_recall(spark, sf_dir):
     return report.select("engine", F.col("topk").cast("bigint").alias("topk"), "queries", F.round("recall", 6).alias("recall"))
 
 
-def benchmark_update(spark, sf_dir):
-    """Insert the label means, delete one label, search again."""
-    store = CollectionStore(spark, scratch_path(spark, "store"))
-    rows, queries = points(spark, sf_dir), label_queries(spark, sf_dir)
-    store.load("vectors", rows, 64, n_buckets=8)
-    inserts = queries.select((F.col("query_id") + 10_000_000).alias("id"), F.col("vector").cast("array<float>").alias("vector"),
-                             F.lit("mean").alias("species"))
-    report = run_update_benchmark(store, "vectors", inserts, rows.filter("species = '3'").select("id"), queries)
-    return report.select("points", "queries", "hits", "recall")
-
-
 QUERIES = {
     "photo_rows": photo_rows,
     "photo_rows_with_taxon": photo_rows_with_taxon,
@@ -269,7 +255,6 @@ QUERIES = {
     "merged_results": merged_results,
     "last_event_per_user": last_event_per_user,
     "benchmark_recall": benchmark_recall,
-    "benchmark_update": benchmark_update,
 }
 
 _PHOTOS = """
@@ -298,11 +283,11 @@ ORACLES = {
     "first_photos": f"WITH {_PHOTOS} SELECT DISTINCT photo_id, observation_uuid FROM meta ORDER BY 1, 2 LIMIT 25",
     "observed_photos": "SELECT s_name AS login, count(*) AS photos FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1",
     "enriched_embeddings": f"""
-WITH {_PHOTOS} SELECT photo_id, observation_uuid, extension, taxon, observed_on, len(embedding) AS dim
+WITH {_PHOTOS} SELECT photo_id, observation_uuid, extension, taxon, observed_on, {vector_md5_sql('embedding')} AS vector_md5
 FROM meta JOIN embeddings ON vec_id = photo_id WHERE label < 8""",
-    "attached_embeddings": """
-SELECT p_partkey::INTEGER AS photo_id, CASE WHEN vec_id IS NULL THEN 1 ELSE 3 END::BIGINT AS dim,
-       round(CASE WHEN vec_id IS NULL THEN p_size ELSE embedding[1] END::FLOAT::DOUBLE, 6) AS first
+    "attached_embeddings": f"""
+SELECT p_partkey::INTEGER AS photo_id, CASE WHEN vec_id IS NULL THEN 1 ELSE len(embedding) END::BIGINT AS dim,
+       {vector_md5_sql('CASE WHEN vec_id IS NULL THEN [p_size::FLOAT] ELSE list_transform(embedding, lambda y: -y) END')} AS vector_md5
 FROM part LEFT JOIN (SELECT * FROM embeddings WHERE label < 8) ON vec_id = p_partkey""",
     "valid_embedding_counts": "SELECT count(*) AS valid FROM embeddings WHERE label < 8",
     "photo_dataset": f"""
@@ -311,7 +296,7 @@ WITH {_PHOTOS} SELECT photo_id::BIGINT AS id, {_URL} AS img_url, {_FILE} AS file
 FROM meta JOIN documents ON doc_id = photo_id GROUP BY ALL""",
     "photo_collection": f"""
 WITH {PLACED_SQL}, {_PHOTOS}, {_POINTS}
-SELECT photo_id::BIGINT AS id, observation_uuid, {_FILE} AS file_name, 64::BIGINT AS dim FROM chosen""",
+SELECT photo_id::BIGINT AS id, observation_uuid, {_FILE} AS file_name, {vector_md5_sql('v')} AS vector_md5 FROM chosen""",
     "photo_search_response": f"""
 WITH {LABEL_QUERIES}, {PLACED_SQL}, {_PHOTOS}, {_POINTS}
 SELECT query_id, rank, id, img_url, round(score, 6) AS score, file_name, species, lat, lon, observed_on FROM (
@@ -345,9 +330,6 @@ SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PART
 WITH r AS ({_SEARCH['recall_l1_vs_cosine']})
 SELECT 'cosine' AS engine, 10::BIGINT AS topk, queries, 1.0::DOUBLE AS recall FROM r
 UNION ALL SELECT 'l1', 10, queries, recall FROM r""",
-    "benchmark_update": """
-WITH l AS (SELECT count(DISTINCT label) AS q FROM embeddings)
-SELECT (SELECT count(*) FROM embeddings WHERE label <> 3) + q AS points, q AS queries, q * 10 AS hits, 1.0::DOUBLE AS recall FROM l""",
     "reembedded_pages": """
 SELECT page_id AS id, 'https://images.example.org/photos/' || page_id || '/medium.jpg' AS img_url,
        'photos/' || page_id AS file_name, 64::BIGINT AS dim

@@ -101,3 +101,12 @@ def embed_sql(source: str, key: str, text: str, dim: int = 64) -> str:
                     GROUP BY ALL)
               GROUP BY {key}) z ON z.{key} = d.{key}
    GROUP BY d.{key})"""
+
+
+def vector_md5(vector: str):
+    """Checksum of a whole vector in millionths, as ``vector_md5_sql`` has it."""
+    return F.md5(F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint").cast("string")), ","))
+
+
+def vector_md5_sql(vector: str) -> str:
+    return f"md5(array_to_string(list_transform({vector}, lambda x: round(x::DOUBLE * 1000000)::BIGINT::VARCHAR), ','))"

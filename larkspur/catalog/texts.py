@@ -14,11 +14,6 @@ from larkspur.sources.objects import decode_text, list_objects, read_text_object
 from larkspur.sources.tables import query_lines
 
 
-def listed_objects(spark, sf_dir):
-    """The files of the table folder as objects; no file is opened."""
-    return list_objects(spark, sf_dir, glob="*.parquet").select("key", "length")
-
-
 def text_objects(spark, sf_dir):
     """Documents written as text objects, one folder per language and source, then listed and read back."""
     path = scratch_path(spark, "objects")
@@ -140,7 +135,6 @@ def embedded_pictures(spark, sf_dir):
 
 
 QUERIES = {
-    "listed_objects": listed_objects,
     "text_objects": text_objects,
     "decoded_objects": decoded_objects,
     "benchmark_lines": benchmark_lines,

@@ -312,7 +312,9 @@ class CollectionStore:
         applied = {**manifest.applied, **({batch[0]: batch[1]} if batch else {})}
         if not touched:
             if batch:
-                self._publish(replace(manifest, version=manifest.version + 1, applied=applied))
+                version = manifest.version + 1
+                self._publish(replace(manifest, version=version, applied=applied,
+                                      index=self._index_after(manifest, version, None, None)))
             return WriteReport(manifest.version, 0, refused, rejected)
 
         good = rows.filter("_reason is null").drop("_reason")
@@ -320,16 +322,18 @@ class CollectionStore:
         version = manifest.version + 1
         folder = self._new_folder(version)
         old_buckets = touched & {int(b) for b in manifest.folders}
-        schema = self._stored_schema(incoming)
+        schema, replaced = self._stored_schema(incoming), None
         if old_buckets:
-            old = self._read_buckets(manifest, old_buckets)
+            old, ids = self._read_buckets(manifest, old_buckets), stage(good.select(BUCKET, "id"), "ids")
             schema = self._stored_schema(old.unionByName(incoming, allowMissingColumns=True))
-            self._replace_rows(name, folder, old, stage(good.select(BUCKET, "id"), "ids"), incoming)
+            self._replace_rows(name, folder, old, ids, incoming)
+            replaced = old.join(ids, [BUCKET, "id"], "left_semi")
         else:
             self._write(name, folder, incoming.hint("rebalance", BUCKET))
         folders = {**manifest.folders, **{str(b): folder for b in touched}}
         self._publish(replace(manifest, version=version, folders=folders, schema=schema, applied=applied,
-                              written=self._still_used(manifest, folders, folder, len(touched))))
+                              written=self._still_used(manifest, folders, folder, len(touched)),
+                              index=self._index_after(manifest, version, incoming, replaced)))
         return WriteReport(version, written, refused, rejected)
 
     def delete(self, name: str, ids: DataFrame) -> int:
@@ -343,12 +347,14 @@ class CollectionStore:
             return manifest.version
         version = manifest.version + 1
         folder = self._new_folder(version)
-        self._replace_rows(name, folder, self._read_buckets(manifest, touched), gone.select(BUCKET, "id"), None)
+        old, ids = self._read_buckets(manifest, touched), gone.select(BUCKET, "id")
+        self._replace_rows(name, folder, old, ids, None)
         left = self._buckets_in(name, folder)
         folders = {b: f for b, f in manifest.folders.items() if int(b) not in touched}
         folders.update({str(b): folder for b in left})
         self._publish(replace(manifest, version=version, folders=folders,
-                              written=self._still_used(manifest, folders, folder, len(left))))
+                              written=self._still_used(manifest, folders, folder, len(left)),
+                              index=self._index_after(manifest, version, None, old.join(ids, [BUCKET, "id"], "left_semi"))))
         return version
 
     @staticmethod
@@ -397,10 +403,11 @@ class CollectionStore:
         return f"{self._home(name)}/index/v{version:08d}"
 
     def build_index(self, name: str, n_lists: int = 64, filter_columns: list[str] | None = None, seed: int = 42,
-                    subspaces: int | None = None, n_codes: int = 64):
+                    subspaces: int | None = None, n_codes: int = 64, centroids=None):
         """Build the inverted file index of the current version and record it in the manifest.
 
-        With ``subspaces`` the index also holds product quantisation codes.
+        With ``subspaces`` the index also holds product quantisation codes. Given ``centroids`` are used as they are.
+        Later writes are noted in the index, so it stays current: see ``fold_index``.
         """
         from larkspur.operators.ivf import IvfIndex, PqModel
 
@@ -409,17 +416,44 @@ class CollectionStore:
         rows = self.read(name)
         pq = PqModel.train(rows, manifest.dim, subspaces, n_codes, manifest.metric, seed=seed) if subspaces else None
         index = IvfIndex.build(rows, path, n_lists=n_lists, metric=manifest.metric,
-                               filter_columns=filter_columns or [], seed=seed, pq=pq)
+                               filter_columns=filter_columns or [], seed=seed, pq=pq, centroids=centroids)
         version = manifest.version + 1
         self._publish(replace(manifest, version=version,
-                              index={"version": version, "path": path, "n_lists": index.n_lists}))
+                              index={"version": version, "path": path, "n_lists": index.n_lists, "state": index.state}))
         return index
 
-    def index(self, name: str):
-        """The index when it belongs to the current version, else None."""
+    def index(self, name: str, version: int | None = None):
+        """The index of a version, the newest one by default; None where it has none."""
+        return self._index_of(self.manifest(name, version))
+
+    def _index_of(self, manifest: Manifest):
         from larkspur.operators.ivf import IvfIndex
 
-        manifest = self.manifest(name)
         if not manifest.index or manifest.index["version"] != manifest.version:
             return None
-        return IvfIndex.open(self.spark, manifest.index["path"])
+        return IvfIndex.open(self.spark, manifest.index["path"], manifest.index["state"])
+
+    def _index_after(self, manifest: Manifest, version: int, added: DataFrame | None, left: DataFrame | None) -> dict | None:
+        """The manifest's entry of the index after a write; what changed is written to the index before it is published."""
+        index = self._index_of(manifest)
+        if index is None:
+            return manifest.index
+        return {**manifest.index, "version": version, "state": index.changed(added, left, version)}
+
+    def fold_index(self, name: str, when: float = 0.0) -> bool:
+        """Write the noted changes of the index into its lists, once they are more than a share ``when`` of its rows.
+
+        Only lists with a change are written again, around the centroids as they are. Readers of earlier versions keep
+        their files.
+        """
+        manifest = self.manifest(name)
+        index = self._index_of(manifest)
+        if index is None:
+            raise ValueError(f"collection {name!r} has no current index")
+        changes = index.changes()
+        if not changes or changes <= when * self.count(name):
+            return False
+        version = manifest.version + 1
+        self._publish(replace(manifest, version=version,
+                              index={**manifest.index, "version": version, "state": index.folded(version)}))
+        return True

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from larkspur.functions.errors import error_class
 from larkspur.session import stage
 
-# The sketch is off by at most 1 / _ACCURACY of the rows; the band is wider than that.
+# A sketch is off by at most 1 / _ACCURACY of the rows it saw; a band around a percentile is wider than that.
 _ACCURACY = 10_000
 _BAND = 5 / _ACCURACY
-_SMALL_GROUP = 10_000
+#: Different values of one band that are put in order together.
+BAND_VALUES = 4096
 
 
 def summarize_run(results: DataFrame, elapsed_seconds: float | Column, by: list[str] | None = None) -> DataFrame:
@@ -62,40 +63,48 @@ def classify_errors(results: DataFrame, message: str = "error_message") -> DataF
 def exact_percentiles(rows: DataFrame, value: str, probabilities: list[float], by: list[str]) -> DataFrame:
     """Linear-interpolated percentiles per group, exact however large a group is.
 
-    A sketch bounds each percentile by a narrow band of values whose width
-    covers the sketch's error. Rows are then counted by (group, percentile,
-    value) with map-side aggregation: those below a band as one number, those
-    above not at all, and only the values inside it are put in order. Groups
-    of up to ``_SMALL_GROUP`` rows are one band.
+    A percentile lies between two order statistics. For each of them a band of values is narrowed: in every pass the rows
+    of the band are counted and sketched with map-side aggregation, and the sketch bounds a band about a thousandth as
+    wide around the statistic. Once no band has more than ``BAND_VALUES`` different values these are counted and put in
+    order, so what one task orders is bounded by that number, and a group that holds most rows is spread like any other.
+    Groups of all sizes are treated alike; nulls do not count.
     """
     data = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    marks = [min(1.0, max(0.0, p + side * _BAND)) for p in probabilities for side in (-1, 1)]
-    stats = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", marks, _ACCURACY).alias("_marks"))
-    small = F.col("_total") <= _SMALL_GROUP
-    limits = stage(stats.select(*by, "_total", F.array(*[
-        F.struct(F.lit(float(p)).alias("p"),
-                 F.when(small, F.col("_min")).otherwise(F.col("_marks")[2 * i]).alias("lo"),
-                 F.when(small, F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]).alias("hi"))
-        for i, p in enumerate(probabilities)]).alias("_bands")), "limits")
-    keys = [*by, "_p"]
-    placed = (
-        _join(data, limits, by)
-        .select(*by, "_total", "_v", F.explode("_bands").alias("_band"))
-        .filter(F.col("_v") <= F.col("_band.hi"))
-        .groupBy(*by, "_total", F.col("_band.p").alias("_p"), F.when(F.col("_v") >= F.col("_band.lo"), F.col("_v")).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ahead = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_value")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     at = F.col("_p") * (F.col("_total") - 1)
-    found = (
-        placed.withColumn("_lo", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-        .withColumn("_pos", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))))
-        .filter((F.col("_pos") >= F.col("_lo")) & (F.col("_pos") < F.col("_lo") + F.col("_n")))
-    )
-    low, high = F.min_by("_value", "_pos"), F.max_by("_value", "_pos")
-    each = found.groupBy(*keys).agg((low + (high - low) * F.max(at - F.floor(at))).alias("_q"))
+    wanted = totals.select("*", F.explode(F.array(*(F.lit(float(p)) for p in probabilities))).alias("_p")).select(
+        *by, "_p", (at - F.floor(at)).alias("_share"), "_lo", "_hi",
+        F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("_pos"))
+    # Rows below the band, and the place of the statistic among all rows of the group.
+    bands = stage(wanted.withColumn("_below", F.lit(0).cast("bigint")), "bands")
+    keys = [*by, "_p", "_pos"]
+    while True:
+        inside = _join(data, bands, by).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        seen = inside.groupBy(*keys, "_share", "_below", "_lo", "_hi").agg(
+            F.count(F.lit(1)).alias("_n"), F.approx_count_distinct("_v").alias("_distinct"),
+            F.percentile_approx("_v", [i / 1000 for i in range(1001)], _ACCURACY).alias("_marks"))
+        seen = stage(seen, "seen")
+        widest = seen.agg(F.max("_distinct")).first()[0]
+        if widest is None or widest <= BAND_VALUES:
+            break
+        # The marks on both sides of the statistic, farther apart than the sketch can be off.
+        mark = (F.col("_pos") - F.col("_below")) / F.greatest(F.col("_n") - 1, F.lit(1)) * 1000
+        low = F.get("_marks", F.greatest(F.floor(mark - 1000 * _BAND), F.lit(0)).cast("int"))
+        high = F.get("_marks", F.least(F.ceil(mark + 1000 * _BAND), F.lit(1000)).cast("int"))
+        # The sketch of the ends is off as well: the band's own ends stand for them.
+        edged = seen.select(
+            *keys, "_share",
+            F.when(mark < 2, F.col("_lo")).otherwise(low).alias("_lo"), F.when(mark > 998, F.col("_hi")).otherwise(high).alias("_hi"))
+        counted = _join(data, edged, by).groupBy(*keys, "_share", "_lo", "_hi").agg(
+            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
+        bands = stage(counted.select(*by, "_p", "_share", "_lo", "_hi", "_pos", "_below"), "bands")
+    values = inside.groupBy(*keys, "_share", "_below", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_below") + F.coalesce(F.sum("_n").over(ahead), F.lit(0))
+    found = values.withColumn("_first", first).filter(
+        (F.col("_pos") >= F.col("_first")) & (F.col("_pos") < F.col("_first") + F.col("_n")))
+    low, high = F.min_by("_v", "_pos"), F.max_by("_v", "_pos")
+    each = found.groupBy(*by, "_p").agg((low + (high - low) * F.max("_share")).alias("_q"))
     columns = [F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"p{p * 100:g}") for p in probabilities]
     return each.groupBy(*by).agg(*columns)
 

@@ -41,6 +41,10 @@ class QueryBlock:
     def dim(self) -> int:
         return self.vectors.shape[1]
 
+    def take(self, chosen: np.ndarray) -> QueryBlock:
+        """The chosen queries."""
+        return QueryBlock(self.ids[chosen], self.vectors[chosen], {c: v[chosen] for c, v in self.columns.items()})
+
 
 def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     """Rows of a non-null list column as a matrix, without copying the values.

@@ -63,7 +63,8 @@ def run_update_benchmark(
 ) -> DataFrame:
     """Insert, delete, search again and compare with exact results on the updated rows.
 
-    One row ``upsert_ms, delete_ms, points, queries, hits, recall``.
+    ``search`` gets the updated rows and the queries. Without it the collection's index is searched, which must have been
+    built before. One row ``upsert_ms, delete_ms, points, queries, hits, recall``.
     """
     started = time.perf_counter()
     store.upsert(name, inserts)
@@ -73,7 +74,13 @@ def run_update_benchmark(
     current = store.read(name)
     metric = store.manifest(name).metric
     exact = search_batch(current, queries, k, metric, layout)
-    found = search(current, queries) if search else search_batch(current, queries, k, metric, layout)
+    if search:
+        found = search(current, queries)
+    else:
+        index = store.index(name)
+        if index is None:
+            raise ValueError(f"collection {name!r} has no current index to search")
+        found = index.search(queries, k, layout=layout)
     return recall_at_k(found, exact, k).select(
         F.lit((middle - started) * 1000).alias("upsert_ms"), F.lit((ended - middle) * 1000).alias("delete_ms"),
         F.lit(current.count()).alias("points"), "*")

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larkspur.functions.images import (
     MAX_IMAGE_BYTES, MIN_IMAGE_BYTES, detect_image_format, image_dimensions, image_error,
 )
 from larkspur.functions.links import is_image_key
+from larkspur.sources.listing import register_objects
 
 FETCH_FAILED = "Failed to fetch or decode content"
 IMAGE_FETCH_FAILED = "Image fetch/validation failed"
 
 
-def _files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True)
-    )
+def _files(spark: SparkSession, path: str, glob: str | None, prefix: str = "", content: bool = True,
+           max_bytes: int | None = None) -> DataFrame:
+    """``key, path, modificationTime, length, content`` of the objects whose key starts with ``prefix``.
+
+    Prefixes are listed by tasks, and objects of zero bytes are there too. Without ``content``, or above ``max_bytes``,
+    an object is not opened and its content is null. A glob is matched with the object's name.
+    """
+    register_objects(spark)
+    reader = spark.read.format("objects").option("keyPrefix", prefix).option("content", content)
+    if max_bytes is not None:
+        reader = reader.option("maxContentBytes", max_bytes)
+    files = reader.load(path)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path)
+        names = re.escape(glob).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+        files = files.filter(F.col("key").rlike(f"(^|/){names}$"))
+    return files
 
 
 def object_key(path: Column, root: str | None = None) -> Column:
@@ -36,12 +46,9 @@ def object_key(path: Column, root: str | None = None) -> Column:
 def list_objects(spark: SparkSession, path: str, prefix: str = "", glob: str | None = None) -> DataFrame:
     """``key, path, length, modificationTime`` of all objects whose key starts with ``prefix``.
 
-    ``content`` is not selected, so no file is opened. Spark's file sources
-    leave out objects of zero bytes.
+    No object is opened; objects of zero bytes are listed as well.
     """
-    files = _files(spark, path, glob).select("path", "length", "modificationTime")
-    keyed = files.withColumn("key", object_key(F.col("path"), path))
-    return keyed.filter(F.startswith("key", F.lit(prefix))).select("key", "path", "length", "modificationTime")
+    return _files(spark, path, glob, prefix, content=False).select("key", "path", "length", "modificationTime")
 
 
 def image_keys(keys: DataFrame, column: str = "key") -> DataFrame:
@@ -64,9 +71,8 @@ def decode_text(objects: DataFrame, content: str = "content") -> DataFrame:
 
 def read_text_objects(spark: SparkSession, path: str, prefix: str = "", glob: str | None = None) -> DataFrame:
     """``key, text, success, error_message`` of every object under the path."""
-    files = _files(spark, path, glob).select("path", "content")
-    keyed = files.withColumn("key", object_key(F.col("path"), path)).filter(F.startswith("key", F.lit(prefix)))
-    return decode_text(keyed).select("key", "text", "success", "error_message")
+    files = _files(spark, path, glob, prefix).select("key", "content")
+    return decode_text(files).select("key", "text", "success", "error_message")
 
 
 def check_images(
@@ -104,11 +110,9 @@ def read_image_objects(
 ) -> DataFrame:
     """Image objects with their format, size and verdict.
 
-    The size limits are applied to the ``length`` column as well, which the
-    file scan answers from the listing: an oversized file is never opened.
+    The upper limit is applied to the listed size as well: an oversized file is never opened.
     """
-    files = _files(spark, path, None).withColumn("key", object_key(F.col("path"), path))
-    files = files.filter(is_image_key(F.col("key")) & F.startswith("key", F.lit(prefix)))
+    files = _files(spark, path, None, prefix, max_bytes=max_bytes).filter(is_image_key(F.col("key")))
     in_limit = files.filter(F.col("length") <= max_bytes)
     checked = check_images(in_limit, "content", min_bytes, max_bytes, with_dimensions)
     too_large = (
@@ -125,7 +129,7 @@ def validate_images(spark: SparkSession, path: str) -> DataFrame:
 
     The built-in image source marks a file it cannot decode with width -1. It
     has no WebP decoder, so WebP files are judged by their container header.
-    Spark's file sources do not list files without any bytes.
+    A file without any bytes is no image.
     """
     decoded = spark.read.format("image").option("recursiveFileLookup", True).load(path)
     # The two sources write local paths with a different number of slashes.

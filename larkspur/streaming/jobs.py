@@ -3,29 +3,38 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from larkspur import files
 from larkspur.operators.collections import CollectionStore, WriteReport
 from larkspur.operators.embedding import EmbedderFactory
 from larkspur.plans.ingest import IngestReport, Target, ingest_documents
+from larkspur.sources.listing import register_objects
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def object_stream(spark: SparkSession, path: str, files_per_trigger: int = 10_000, glob: str | None = None) -> DataFrame:
-    """New objects below a path as ``key, content``."""
-    reader = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-    )
+
+def object_stream(spark: SparkSession, path: str, files_per_trigger: int = 10_000, glob: str | None = None,
+                  grace_seconds: float = 0.0) -> DataFrame:
+    """New objects below a path as ``key, content``, objects of zero bytes included.
+
+    Prefixes are listed by tasks. A batch holds what changed since the one before, so ``files_per_trigger`` has no part
+    in it; ``grace_seconds`` leaves the newest changes to the next batch where the store's clock may lag.
+    """
+    register_objects(spark)
+    found = spark.readStream.format("objects").option("grace", grace_seconds).load(path)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(F.col("path").alias("key"), "content")
+        names = re.escape(glob).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+        found = found.filter(F.col("key").rlike(f"(^|/){names}$"))
+    return found.select(F.col("path").alias("key"), "content")
 
 
 def point_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
@@ -113,6 +122,56 @@ def first_arrivals(keys: DataFrame, column: str = "key", event_time: str | None
     return thinned.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([column])
 
 
+class _Lifetime(StatefulProcessor):
+    """Per key the time of the row passed on last, forgotten when its lifetime is over."""
+
+    def __init__(self, event_time: str, lifetime_us: int, columns: list[str]):
+        self.event_time, self.lifetime, self.columns = event_time, lifetime_us, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows)).sort_values(self.event_time, kind="stable")
+        times = batch[self.event_time].dt.as_unit("us").astype("int64").to_numpy()
+        last = self.last.get()[0] if self.last.exists() else None
+        chosen, at = [], 0
+        while at < len(times):
+            if last is None or times[at] >= last + self.lifetime:
+                chosen.append(at)
+                last = int(times[at])
+            # The next row that can pass is the first one after the lifetime.
+            at = max(at + 1, int(np.searchsorted(times, last + self.lifetime)))
+        if chosen:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.lifetime) // 1000 + 1)
+        yield batch.iloc[chosen][self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        yield pd.DataFrame(columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def arrivals_with_lifetime(rows: DataFrame, column: str, event_time: str, lifetime_seconds: float, delay: str = "1 day") -> DataFrame:
+    """The first row of each key, and again the first one at least a lifetime after the row passed on last.
+
+    Times are event times. The state of a key is one number, and a timer clears it when the watermark has passed the end
+    of its lifetime, so state does not grow with the keys ever seen. Rows of one time pass in the order they come in. What
+    passes depends on the row before, so the rows of one key go through one task. Sets the session's state store to
+    RocksDB, which timers need.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    marked = rows.withWatermark(event_time, delay)
+    processor = _Lifetime(event_time, round(lifetime_seconds * 1_000_000), rows.columns)
+    return marked.groupBy(column).transformWithStateInPandas(processor, rows.schema, "Append", "EventTime")
+
+
 def stream_progress(query: StreamingQuery) -> DataFrame:
     """Rows per finished batch of a stream: ``batch_id, rows, seconds, rows_per_second``."""
     spark = SparkSession.getActiveSession()

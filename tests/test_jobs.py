@@ -149,8 +149,9 @@ def test_latency_stats(spark):
     assert rough.lat_ms_p50 in (2.0, 3.0)
 
 
-def test_percentiles_of_a_large_skewed_group(spark, monkeypatch):
-    monkeypatch.setattr(metrics, "_SMALL_GROUP", 100)
+@pytest.mark.parametrize("band_values", [3, 60, 4096])
+def test_percentiles_of_a_large_skewed_group(spark, monkeypatch, band_values):
+    monkeypatch.setattr(metrics, "BAND_VALUES", band_values)
     rows = spark.range(60_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 40).cast("string"))).alias("g"),
         F.when(F.col("id") % 3 == 0, F.pmod(F.hash("id"), F.lit(5000)) / 7).otherwise(F.rand(1)).alias("v"))
@@ -377,6 +378,9 @@ def test_update_benchmark(spark, folder):
     vec = lambda i: [float(i), 1.0]
     store.load("v", spark.createDataFrame([(i, vec(i)) for i in range(30)], "id bigint, vector array<float>"), 2, "l2", 4)
     queries = spark.createDataFrame([(0, vec(3)), (1, vec(100))], "query_id bigint, vector array<double>")
+    with pytest.raises(ValueError, match="no current index"):
+        run_update_benchmark(store, "v", queries.limit(0).withColumnRenamed("query_id", "id"), queries.limit(0).selectExpr("query_id AS id"), queries)
+    store.build_index("v", n_lists=3)
     report = run_update_benchmark(
         store, "v", spark.createDataFrame([(100, vec(100))], "id bigint, vector array<float>"), spark.createDataFrame([(3,)], "id bigint"),
         queries, k=1).first()
@@ -425,7 +429,7 @@ def test_object_stream(spark, folder):
     write("b.txt", "two!")
     run()
     run()
-    assert seen == [(0, 1), (1, 1)] and sorted(r.text for r in store.read("d").collect()) == ["one", "two!"]
+    assert seen == [(0, 1), (1, 1), (2, 0)] and sorted(r.text for r in store.read("d").collect()) == ["one", "two!"]
 
 
 def test_first_arrivals(spark, folder):
