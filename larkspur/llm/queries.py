@@ -14,7 +14,7 @@ from larkspur.llm.periodic_runs import find_runs
 from larkspur.llm.pieces import decode_pieces, encode_pieces
 from larkspur.llm.secret_spans import ADDED, KINDS, find_secrets, fit_field, listed
 from larkspur.llm.sharding import shard_rows
-from larkspur.llm.syncmers import anchors, digest, likeness, with_next
+from larkspur.llm.syncmers import aligned, anchors, digest, likeness, shared_shift, with_next
 from larkspur.llm.token_files import read_documents, write_token_files
 from larkspur.llm.toxicity import fit_chain, predict_categories
 from larkspur.llm.vector_neighbours import near_vectors
@@ -127,18 +127,25 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.char_length("text")
     kept, taken = n - F.expr("char_length(text) div 3"), F.expr("char_length(text) div 3")
-    docs = with_next(docs, anchors=lambda text: anchors(text)["hash"])
+    docs = with_next(docs, anchors=anchors)
     edited = docs.select(
         "id", n.cast("bigint").alias("n_chars"), "anchors", "next_anchors",
         F.concat(F.left("text", kept), F.left("next_text", taken)).alias("edited"))
+    own, following, changed = F.col("anchors"), F.col("next_anchors"), F.col("edited_anchors")
     printed = edited.select(
         "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "anchors", "next_anchors",
-        anchors(F.col("edited"))["hash"].alias("edited_anchors"))
-    return printed.select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", digest(F.col("anchors")).alias("fingerprint"),
-        digest(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"))
+        anchors(F.col("edited")).alias("edited_anchors"))
+    # An edit of the end leaves places as they are; the next document may hold a passage elsewhere.
+    moved = printed.withColumn("shift_next", shared_shift(own, following))
+    shared = moved.select("*", aligned(own, changed, F.lit(0)).alias("shared_edited"),
+                          aligned(own, following, F.col("shift_next")).alias("shared_next"))
+    return shared.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", digest(F.col("anchors.hash")).alias("fingerprint"),
+        digest(F.col("edited_anchors.hash")).alias("edited_fingerprint"),
+        likeness(own, changed, F.col("shared_edited")).alias("near_edited"),
+        likeness(own, following, F.col("shared_next")).alias("near_next"),
+        F.col("shared_edited").cast("bigint").alias("shared_edited"), F.col("shared_next").cast("bigint").alias("shared_next"),
+        F.col("shift_next").cast("bigint").alias("shift_next"))
 
 
 def damaged_conversations(turns: DataFrame) -> DataFrame:

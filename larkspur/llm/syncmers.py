@@ -48,9 +48,9 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
                 return F.least(F.get(short, i), F.get(short, i + (inner - 1))) == smallest
 
             places = F.filter(F.sequence(F.lit(0), n - k), at_edge)
-            return F.transform(places, lambda i: F.struct(i.alias("position"), F.hash(F.slice(word, i + 1, k)).alias("hash")))
+            return F.transform(places, lambda i: F.struct(i.alias("position"), F.xxhash64(F.slice(word, i + 1, k)).alias("hash")))
 
-        whole = F.array(F.struct(F.lit(0).alias("position"), F.hash(word).alias("hash")))
+        whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(word).alias("hash")))
         short = word
         for j in range(1, s):
             short = _joined(short, F.slice(word, j + 1, n), 0, F.hash)
@@ -72,9 +72,43 @@ def digest(hashes: Column) -> Column:
     return F.lower(F.concat(*parts))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of anchor hashes, 0 to 1."""
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+def shared_shift(a: Column, b: Column) -> Column:
+    """How far the anchors that two texts share are moved, by the most frequent distance; the least of equal ones, else 0.
+
+    Of each hash the first place in either text counts. The anchors of both are put in order together, so that a pair
+    stands side by side and no two arrays are compared element by element.
+    """
+    def placed(anchor: Column, side: int) -> Column:
+        # Of the first text the first place comes last, next to the first place of the second.
+        return F.struct(anchor["hash"].alias("hash"), F.lit(side).alias("side"),
+                        (-anchor["position"] if side == 0 else anchor["position"]).alias("at"))
+
+    def paired(both: Column) -> Column:
+        following = F.slice(both, 2, F.greatest(F.size(both) - 1, F.lit(0)))
+        moved = F.zip_with(F.slice(both, 1, F.greatest(F.size(both) - 1, F.lit(0))), following, lambda x, y: F.when(
+            (x["hash"] == y["hash"]) & (x["side"] == 0) & (y["side"] == 1), y["at"] + x["at"]))
+        return F.array_sort(F.filter(moved, lambda m: m.isNotNull()))
+
+    start = F.struct(F.lit(None).cast("int").alias("value"), F.lit(0).alias("run"), F.lit(0).alias("shift"), F.lit(0).alias("most"))
+
+    def count(state: Column, value: Column) -> Column:
+        run = F.when(state["value"] == value, state["run"] + 1).otherwise(1)
+        return F.struct(value.alias("value"), run.alias("run"), F.when(run > state["most"], value).otherwise(state["shift"]).alias("shift"),
+                        F.greatest(run, state["most"]).alias("most"))
+
+    both = F.array_sort(F.concat(F.transform(a, lambda x: placed(x, 0)), F.transform(b, lambda x: placed(x, 1))))
+    return _let(both, lambda x: F.aggregate(paired(x), start, count, lambda state: state["shift"]))
+
+
+def aligned(a: Column, b: Column, shift: Column) -> Column:
+    """Number of anchors of ``a`` that ``b`` has as well, exactly ``shift`` words later; told apart by 64-bit checksums."""
+    own = F.transform(a, lambda x: F.xxhash64((x["position"] + shift).cast("int"), x["hash"]))
+    return F.size(F.array_intersect(own, F.transform(b, lambda x: F.xxhash64(x["position"].cast("int"), x["hash"]))))
+
+
+def likeness(a: Column, b: Column, shared: Column) -> Column:
+    """Share of the anchors of two texts that agree in hash and, ``shared`` of them, in place; 0 to 1."""
+    return shared / (F.size(a) + F.size(b) - shared)
 
 
 def fingerprints(docs: DataFrame, text_column: str = "text", k: int = K, s: int = S) -> DataFrame:
@@ -103,6 +137,8 @@ def matched_positions(printed: DataFrame, id_column: str = "doc_id", most_shared
 def _in_runs(docs: DataFrame) -> DataFrame:
     """``docs`` with two numbers that rise with ``id``, ``run`` and ``part``, some ``RUN_ROWS`` documents in each pair.
 
+    Ids must be numbers. Rows of one id share a pair, so an id that holds many rows makes a long run.
+
     The first counts the quantiles below an id (at most ``MAX_BOUNDS`` of them are held by the driver), the second
     divides the span between two evenly. Rows without an id come first and are cut by the checksum of their text.
     """
@@ -145,7 +181,8 @@ def with_next(docs: DataFrame, anchors: Callable[[Column], Column]) -> DataFrame
         F.struct("run", "part").alias("to"), F.struct("text", anchors(F.col("text")).alias("anchors")).alias("head"))
     below = stage(steps.join(entry, "to").select("run", "part", "head"), "below")
     order = [F.col("id").desc_nulls_last(), F.col("mark").desc(), F.col("text").desc()]
-    told = placed.withColumn("anchors", anchors(F.col("text")))
+    # Rows are dealt before their anchors are made, so only texts move.
+    told = placed.repartition("run", "part").withColumn("anchors", anchors(F.col("text")))
     falling = Window.partitionBy("run", "part").orderBy(*order)
     linked = told.withColumns({f"next_{c}": F.lead(c).over(falling) for c in ("text", "anchors")})
     linked = linked.join(below, ["run", "part"])

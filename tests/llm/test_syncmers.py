@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -67,6 +68,42 @@ def test_anchors_are_closed_syncmers(spark, k, s):
     assert [x["position"] for x in found] == brute_positions(hashes, short, k, s)
 
 
+def by_places(a, b):
+    """Most frequent distance of the first places of shared hashes, and the anchors that agree at it."""
+    first = [{}, {}]
+    for own, anchors in zip(first, (a, b)):
+        for position, value in sorted(anchors):
+            own.setdefault(value, position)
+    moved = [first[1][v] - first[0][v] for v in first[0] if v in first[1]]
+    shift = min(sorted(set(moved)), key=lambda m: (-moved.count(m), m), default=0)
+    return shift, len({(p + shift, v) for p, v in a} & {(p, v) for p, v in b})
+
+
+def test_shared_places(spark):
+    rng = random.Random(4)
+    pairs = []
+    for k in range(120):
+        a = sorted({rng.randint(0, 40) for _ in range(rng.randint(0, 12))})
+        a = [(p, rng.randint(0, 9)) for p in a]
+        b = [(p + rng.choice((0, 3, 3, 5)), v if rng.random() < 0.7 else rng.randint(0, 9)) for p, v in a] + [(90, 1)] * rng.randint(0, 1)
+        pairs.append((k, a, b))
+    kind = "array<struct<position: int, hash: bigint>>"
+    frame = spark.createDataFrame(pairs, f"id int, a {kind}, b {kind}").withColumn("shift", S.shared_shift(F.col("a"), F.col("b")))
+    rows = frame.withColumn("n", S.aligned(F.col("a"), F.col("b"), F.col("shift"))).collect()
+    assert {r["id"]: (r["shift"], r["n"]) for r in rows} == {k: by_places(a, b) for k, a, b in pairs}
+
+
+def test_the_same_words_at_other_places_are_less_alike(spark, folder):
+    """The likeness is that of places: with hashes alone the mixed text would be as near as the moved one."""
+    passages = [" ".join(f"w{j}x{i * i % 89}" for i in range(40)) for j in range(5)]
+    moved, mixed = "some words ahead " + " ".join(passages), " ".join(passages[j] for j in (3, 0, 4, 1, 2))
+    found = []
+    for k, other in enumerate((moved, mixed)):
+        where = tables(spark, f"{folder}/{k}", documents=documents(spark, [(2, " ".join(passages)), (1, other)]))
+        found.append({r["doc_id"]: r for r in op10_syncmers(spark, where).collect()}[2])
+    assert found[0]["near_next"] > 0.9 and found[0]["shift_next"] == 3 and found[1]["near_next"] < 0.4
+
+
 def test_a_passage_keeps_its_anchors(spark):
     passage = " ".join(f"p{i * 7 % 101}" for i in range(80))
     rows = [(1, "a b c d e f g h i j " + passage), (2, passage + " q r s t"), (3, " ".join(f"z{i}" for i in range(60)))]
