@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.catalog.tables import (
-    LABEL_QUERIES, PLACED, PLACED_SQL, embed_sql, label_queries, mean_vectors, placed_vectors, points, score_sql,
+    LABEL_QUERIES, PLACED, PLACED_SQL, embed_sql, label_queries, mean_vectors, over_all_cores, placed_vectors, points, score_sql,
     table, vectors,
 )
 from larkspur.functions.payload import FILTER_FIELDS, parse_filters
@@ -178,7 +178,8 @@ def lsh_candidates(spark, sf_dir):
 
 
 def embedded_documents(spark, sf_dir):
-    embedded = embed_column(table(spark, sf_dir, "documents"), "text", "hashing")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    embedded = embed_column(documents, "text", "hashing", policy=over_all_cores(documents))
     return embedded.filter("success").select(F.col("doc_id").alias("id"), "vector", F.col("lang").alias("species"))
 
 

@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from larkspur.operators.embedding import EmbedPolicy
 from larkspur.operators.search import Layout
 from larkspur.session import ship
 
@@ -15,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def over_all_cores(df: DataFrame) -> EmbedPolicy:
+    """A policy that deals ``df`` to all cores where it comes in fewer splits, and leaves it in its own otherwise."""
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return EmbedPolicy(partitions=cores if splits < cores else None)
+
+
 # The embeddings table as a collection, with coordinates and dates derived from the id.
 PLACED = Layout(id="vec_id", vector="embedding", species="label", latitude="lat", longitude="lon", date="day")
 
