@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.catalog import expressions, indexes, objects, relations, search, stores, texts
+from larkspur.catalog import expressions, indexes, objects, relations, search, sources, stores, texts
 
-_MODULES = (search, expressions, relations, texts, stores, indexes, objects)
+_MODULES = (search, expressions, relations, texts, stores, indexes, objects, sources)
 
 
 def all_queries() -> dict:
