@@ -18,7 +18,7 @@ from larkspur.operators.relational import (
 )
 from larkspur.operators.search import search_batch
 from larkspur.plans.benchmark import run_benchmark
-from larkspur.plans.datasets import build_collection, build_image_dataset, reembed_dataset
+from larkspur.plans.datasets import build_collection, build_image_dataset, reembedded_and_failures
 from larkspur.session import scratch_path
 from larkspur.streaming.jobs import point_stream, upsert_stream
 
@@ -157,17 +157,27 @@ def photo_search_response(spark, sf_dir):
                          F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"), "observed_on")
 
 
-def reembedded_pages(spark, sf_dir):
-    """Pages as a picture dataset; those without a picture signature are left out."""
+def _reembedded(spark, sf_dir):
+    """Pages as a picture dataset; some have no picture signature, every thirteenth no picture."""
     pages = table(spark, sf_dir, "pages")
     url = F.concat(F.lit("https://images.example.org/photos/"), F.col("page_id").cast("string"), F.lit("/medium.jpg"))
     dataset = pages.select(url.alias("img_url"), F.concat(F.lit("photos/"), F.col("page_id").cast("string")).alias("file_name"))
     head = F.when(F.startswith("url", F.lit("https")), F.unhex(F.lit("FFD8FFE0"))).otherwise(F.unhex(F.lit("00000000")))
-    images = pages.select(url.alias("img_url"), F.concat(head, F.encode("html", "UTF-8")).alias("content"))
-    out = reembed_dataset(dataset, images, "byte_histogram", scratch_path(spark, "reembedded"))
+    images = pages.where("page_id % 13 <> 0").select(url.alias("img_url"), F.concat(head, F.encode("html", "UTF-8")).alias("content"))
+    return reembedded_and_failures(dataset, images, "byte_histogram", scratch_path(spark, "reembedded"))
+
+
+def reembedded_pages(spark, sf_dir):
+    """Rows of the picture dataset that got a new vector."""
+    out = _reembedded(spark, sf_dir)[0]
     return out.select("id", "img_url", "file_name", F.size("img_embedding").cast("bigint").alias("dim"))
 
 
+def reembedding_failures(spark, sf_dir):
+    """Rows of the picture dataset that got none, and why."""
+    return _reembedded(spark, sf_dir)[1]
+
+
 # Runs ---------------------------------------------------------------------------
 
 
@@ -246,6 +256,7 @@ QUERIES = {
     "streamed_photos": streamed_photos,
     "photo_search_response": photo_search_response,
     "reembedded_pages": reembedded_pages,
+    "reembedding_failures": reembedding_failures,
     "run_summary": run_summary,
     "run_progress": run_progress,
     "failure_classes": failure_classes,
@@ -333,6 +344,10 @@ UNION ALL SELECT 'l1', 10, queries, recall FROM r""",
     "reembedded_pages": """
 SELECT page_id AS id, 'https://images.example.org/photos/' || page_id || '/medium.jpg' AS img_url,
        'photos/' || page_id AS file_name, 64::BIGINT AS dim
-FROM pages WHERE starts_with(url, 'https')""",
+FROM pages WHERE starts_with(url, 'https') AND page_id % 13 <> 0""",
+    "reembedding_failures": """
+SELECT 'https://images.example.org/photos/' || page_id || '/medium.jpg' AS img_url,
+       CASE WHEN page_id % 13 = 0 THEN 'no picture' ELSE 'not a known image format' END AS error_message, NULL::VARCHAR AS cause
+FROM pages WHERE page_id % 13 = 0 OR NOT starts_with(url, 'https')""",
 }
 ORACLES["streamed_photos"] = ORACLES["photo_collection"]

@@ -335,6 +335,9 @@ def test_image_dataset(spark, tables, folder):
     rows = [(r.id, r.img_url, r.file_name) for r in got.collect()]
     assert rows[0] == (1, "https://h/photos/1/medium.jpg", "photos/1/medium.jpg") and len(rows) == 2
     assert datasets.build_image_dataset(photos, observations, taxa, images, "byte_histogram", "h", limit=1).count() == 1
+    whole, failed = datasets.image_dataset_and_failures(photos, observations, taxa, images, "byte_histogram", "h")
+    said = {r.photo_id: r.error_message for r in failed.collect()}
+    assert whole.count() == 2 and failed.count() == 2 and said[3] == datasets.NO_PICTURE and said[2] not in (None, datasets.NO_PICTURE)
 
 
 def test_build_collection(spark, tables, folder):
@@ -344,6 +347,8 @@ def test_build_collection(spark, tables, folder):
     assert datasets.build_collection(store, "p", one, photos, observations, taxa, "h", 2, n_buckets=2) == 1
     row = store.read("p").first()
     assert (row.id, row.observation_uuid, row.location.lat, row.location.lon, row.species) == (1, "o2", None, 2.5, None)
+    twice = embeddings.unionByName(embeddings.withColumn("embedding", F.transform("embedding", lambda x: x + 1)))
+    assert datasets.build_collection(store, "q", twice, photos, observations, taxa, "h", 2, n_buckets=2) == store.read("q").select("id").distinct().count()
     found = search_batch(store.read("p"), spark.createDataFrame([(0, [1.0, 2.0])], "query_id bigint, vector array<double>"), 3)
     shaped = relational.image_response(store.read("p").join(found, "id")).first()
     assert (shaped.location.lat, shaped.location.lon, shaped.observed_on) == (0.0, 2.5, "")
@@ -355,6 +360,10 @@ def test_reembed(spark, folder):
     images = spark.createDataFrame([(url, bytearray(jpeg(3, 3))), ("https://h/photos/8/medium.jpg", bytearray(b"?" * 50))], "img_url string, content binary")
     got = datasets.reembed_dataset(dataset, images, "byte_histogram", folder + "/out").collect()
     assert [(r.id, r.file_name, len(r.img_embedding)) for r in got] == [(7, "f", 64)]
+    more = dataset.unionByName(spark.createDataFrame([("https://h/photos/9/medium.jpg", "i")], "img_url string, file_name string"))
+    again, failed = datasets.reembedded_and_failures(more, images, "byte_histogram")
+    assert again.count() == 1
+    assert {r.img_url[-12:-11]: r.error_message for r in failed.collect()} == {"8": datasets.UNKNOWN_FORMAT, "9": datasets.NO_PICTURE}
 
 
 # Benchmarks
