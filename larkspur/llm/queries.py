@@ -105,7 +105,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and digest of the base spans, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_secrets(docs, fit_field(docs)).select("doc_id", "spans")
+    found = find_secrets(docs, fit_field(docs), field_column="by_field").select("doc_id", "spans", "by_field")
     base = F.filter("spans", lambda s: s["kind"] != ADDED)
 
     def count(kind: str):
@@ -113,7 +113,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = map(count, KINDS)
     return found.select(
-        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        listed(F.col("by_field")).alias("field_spans"))
 
 
 def op9_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,11 +58,6 @@ _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _EDGE = "\"'.,;:()[]{}<>"
 
 
-def _named(token: str) -> bool:
-    lowered = token.encode().translate(_LOWER)
-    return any(name in lowered for name in _NAMES)
-
-
 def kinds_of(token: str) -> bytes:
     return token.encode().translate(_KIND)
 
@@ -81,7 +76,7 @@ def kind_features(kinds: bytes) -> list[str]:
 
 def letter_features(token: str, kinds: bytes) -> list[str]:
     """What else the characters of a token tell; nothing of a plain word."""
-    out = ["named"] if _named(token) else []
+    out = []
     if b"0" in kinds:
         core = token.strip(_EDGE)
         if _HEX_ONLY.fullmatch(core):
@@ -97,10 +92,7 @@ def near_kind_features(kinds: bytes, side: str) -> list[str]:
 
 
 def near_letter_features(token: str, side: str) -> list[str]:
-    out = [f"{side} named"] if _named(token) else []
-    if len(token) <= 2 and not token.isalnum():
-        out.append(f"{side} mark {token}")
-    return out
+    return [f"{side} mark {token}"] if len(token) <= 2 and not token.isalnum() else []
 
 
 def file_features(text: str) -> list[str]:
@@ -253,13 +245,18 @@ class SpanFinder:
             self.no_before, self.no_after = field.score(["before none"]), field.score(["after none"])
 
     def spans(self, text: str) -> list[tuple[int, str, int]]:
-        found = base_spans(text)
+        """Base spans, and spans of the field that meet none of them."""
+        return self.both(text)[0]
+
+    def both(self, text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+        """The spans, and all that the field finds by itself, without the patterns."""
+        found, added = base_spans(text), []
         if self.field is not None:
             added = self.added(text)
             ends = [(s, e) for s, _, e in found]
             found += [(s, ADDED, e) for s, e in added if all(e <= x or y <= s for x, y in ends)]
             found.sort(key=lambda x: (x[0], (*KINDS, ADDED).index(x[1])))
-        return found
+        return found, [(s, ADDED, e) for s, e in added]
 
     def added(self, text: str) -> list[tuple[int, int]]:
         tokens = text.split()
@@ -310,7 +307,8 @@ def _places(text: str, tokens: list[str], marked: list[list[int]]) -> list[tuple
 
 
 def _windows(text: str):
-    """Tagged windows: around each base span, and one at a place that the text's length decides."""
+    """Tagged windows of the training texts: around the first four base spans, and one at a place that the text's length
+    decides. Tokens are cut at 200 characters there."""
     spans = base_spans(text)
     places = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
     if not places:
@@ -320,7 +318,10 @@ def _windows(text: str):
     for low, high in places:
         while at < len(spans) and spans[at][2] <= low:
             at += 1
-        hit = next(((s, e) for s, _, e in spans[at:at + 4] if s < high and low < e), None)
+        hit, near = None, at
+        while hit is None and near < len(spans) and spans[near][0] < high:
+            hit = (spans[near][0], spans[near][2]) if low < spans[near][2] else None
+            near += 1
         tags.append(OUTSIDE if hit is None else INSIDE if hit == last else BEGIN)
         last = hit
     begins = [t for t, tag in enumerate(tags) if tag == BEGIN][:4]
@@ -369,35 +370,43 @@ SPANS = ArrayType(StructType([
     StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
-def find_secrets(docs: DataFrame, field: Field | None, text_column: str = "text", redact: str | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, field: Field | None, text_column: str = "text", redact: str | None = None,
+                 field_column: str | None = None) -> DataFrame:
     """``docs`` with ``spans``, and the text with every span replaced if ``redact`` is given.
 
     ``spans`` are kind, start and end (code points, end exclusive) of the base patterns and of what the field adds
     outside them, in the whole text; a null text counts as empty and stays null. Overlapping spans are replaced as one.
-    A column ``spans`` of the input is replaced, other columns are passed on.
+    ``field_column`` names a further column for all spans that the field finds by itself; it knows shapes, neighbours and
+    the file, not the patterns or their words. A column ``spans`` of the input is replaced, other columns are passed on.
     """
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    source, added = text_column, [StructField("spans", SPANS)]
+    source, added = text_column, [StructField(c, SPANS) for c in ("spans", field_column) if c]
     if redact is not None:
         # The text before stands under a name of its own while the new one is made.
         source = next(n for n in (f"text before {i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
         added.append(StructField(text_column, StringType()))
 
+    def listed_spans(spans):
+        return pa.array([[{"kind": k, "start": s, "end": e} for s, k, e in f] for f in spans], arrow)
+
     def factory(names):
         place, finder = names.index(source), SpanFinder(field)
 
         def compute(batch):
             texts = batch.column(place).to_pylist()
-            found = [finder.spans(t or "") for t in texts]
-            out = [pa.array([[{"kind": k, "start": s, "end": e} for s, k, e in f] for f in found], arrow)]
+            found = [finder.both(t or "") for t in texts]
+            out = [listed_spans(f for f, _ in found)]
+            if field_column:
+                out.append(listed_spans(own for _, own in found))
             if redact is not None:
-                out.append(pa.array([t if not f else _redacted(t, f, redact) for t, f in zip(texts, found)], pa.string()))
+                out.append(pa.array([t if not f else _redacted(t, f, redact) for t, (f, _) in zip(texts, found)], pa.string()))
             return out
 
         return compute
 
     found = with_computed(docs.withColumnRenamed(text_column, source), added, factory)
-    return found.select(columns_of(docs.drop("spans")) + ["spans"])
+    kept = docs.drop("spans", field_column) if field_column else docs.drop("spans")
+    return found.select(columns_of(kept) + [F.col(f"`{c}`") for c in ("spans", field_column) if c])
 
 
 def _redacted(text: str, spans: list[tuple[int, str, int]], mark: str) -> str:

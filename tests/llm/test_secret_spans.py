@@ -145,3 +145,17 @@ def test_cases(spark, folder, field):
     assert len(rows) == 13 and {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
     listed = spark.range(1).select(S.listed(F.lit(None).cast(S.SPANS)).alias("x")).first()["x"]
     assert listed is None
+
+
+def test_the_field_alone_finds_what_the_patterns_find(spark, data):
+    """Learned from one part of the documents, judged on the others, without the patterns or a list of their words."""
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    field = S.fit_field(docs.where("doc_id % 3 <> 0"))
+    found = S.find_secrets(docs.where("doc_id % 3 = 0"), field, field_column="by_field").collect()
+    meets = lambda a, b: a["start"] < b["end"] and b["start"] < a["end"]
+    base = [(r, x) for r in found for x in r["spans"] if x["kind"] != S.ADDED]
+    assert len(base) > 5 and sum(any(meets(x, y) for y in r["by_field"]) for r, x in base) >= 0.9 * len(base)
+    wrong = [y for r in found for y in r["by_field"] if not any(meets(x, y) for x in r["spans"])]
+    assert not wrong
+    nothing = S.find_secrets(docs.limit(50), None, field_column="by_field").collect()
+    assert all(r["by_field"] == [] for r in nothing)
