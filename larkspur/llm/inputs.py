@@ -69,6 +69,9 @@ def with_computed(df: DataFrame, fields: list[StructField], factory: Callable[[l
         compute = factory(names)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], plain)
+        # The worker lives on, so memory that this task no longer needs goes back before the next one.
+        del compute
+        pa.default_memory_pool().release_unused()
 
     schema = StructType([StructField(n, f.dataType) for n, f in zip(plain, [*kept.schema.fields, *fields])])
     return kept.toDF(*plain[:len(names)]).mapInArrow(run, schema).toDF(*names, *(f.name for f in fields))

@@ -20,7 +20,8 @@ STEPS, RATE, RIDGE = 60, 0.15, 1e-3
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 #: Score of an inside token that follows none of its secret.
 _BROKEN = -12.0
-_REMEMBERED = 150_000
+#: Tokens, and kinds of tokens, whose scores a task remembers.
+_REMEMBERED, _REMEMBERED_KINDS = 100_000, 20_000
 
 # The base patterns and the least lengths of what they find.
 _ASSIGN = re.compile(
@@ -207,7 +208,7 @@ class _Kinds(dict):
         score = self.field.score
         found = np.concatenate([
             score(kind_features(kinds)), score(near_kind_features(kinds, "before")), score(near_kind_features(kinds, "after"))])
-        if len(self) < _REMEMBERED:
+        if len(self) < _REMEMBERED_KINDS:
             self[kinds] = found
         return found
 
