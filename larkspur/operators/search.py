@@ -352,8 +352,8 @@ def search_exact(collection: DataFrame, vector, k: int = 10, metric: str = "cosi
 def with_payload(results: DataFrame, collection: DataFrame, columns: list[str], id_column: str = "id") -> DataFrame:
     """Add payload columns to search results.
 
-    Results of a checked small size are broadcast: the payload is then read in
-    one scan without moving the collection, and the vectors are not read.
+    The results are staged, so Spark knows their bytes and broadcasts them where they are few: the payload is then read
+    in one scan without moving the collection. Vectors are not read.
     """
     payload = collection.select(F.col(id_column).alias("id"), *[c for c in columns if c != id_column])
     return payload.join(stage(results, "results"), "id").select(*results.columns, *[c for c in columns if c != "id"])
