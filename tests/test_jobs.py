@@ -11,6 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from larkspur import schemas, session
+from larkspur.catalog import relations
 from larkspur.operators import metrics, relational
 from larkspur.operators.chunking import SENTENCE_END, chunk_bounds, chunk_list, explode_chunks
 from larkspur.operators.collections import CollectionStore
@@ -366,6 +367,15 @@ def test_reembed(spark, folder):
     assert {r.img_url[-12:-11]: r.error_message for r in failed.collect()} == {"8": datasets.UNKNOWN_FORMAT, "9": datasets.NO_PICTURE}
 
 
+def test_reembedded_pages_leaves_no_page_out(spark, folder):
+    pages = spark.createDataFrame([(i, f"http{'s' if i != 27 else ''}://h/{i}", "<p>some text</p>") for i in range(1, 28)],
+                                  "page_id bigint, url string, html string")
+    pages.write.parquet(f"{folder}/pages.parquet")
+    assert sorted(r.id for r in relations.reembedded_pages(spark, folder).collect()) == list(range(1, 27))
+    failed = relations.reembedding_failures(spark, folder).collect()
+    assert sorted(r.img_url.split("/")[4] for r in failed) == ["13", "26", "27"]
+
+
 # Benchmarks
 
 
