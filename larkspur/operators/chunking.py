@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Fixed value: where a sentence ends.
 SENTENCE_END = r"[.!?]\s+[A-Z]|[.!?]\n"
 
+#: Characters of text whose chunks a task holds at a time.
+BLOCK_CHARS = 1 << 18
+
 _ENDS = [re.compile(alternative) for alternative in SENTENCE_END.split("|")]
 
 
@@ -52,17 +55,34 @@ def chunk_list(text: str | None, size: int, compat: bool) -> list[dict]:
     return [{"chunk_no": n, "start": a, "end": b, "text": t} for n, (a, b, t) in enumerate(p for p in pieces if p[2])]
 
 
+def chunk_blocks(texts: Iterable[pa.StringScalar], size: int, compat: bool) -> Iterator[list[list[dict]]]:
+    """Chunks of each text, in blocks of ``BLOCK_CHARS`` characters of text or one text."""
+    block, held = [], 0
+    for scalar in texts:
+        text = scalar.as_py() or ""
+        block.append(chunk_list(text, size, compat))
+        held += len(text)
+        if held >= BLOCK_CHARS:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
 def chunk_text(text: Column, chunk_size: int = 500, compat: bool = False) -> Column:
     """``array<struct<chunk_no, start, end, text>>`` of a text column, empty chunks left out."""
     if chunk_size < 1:
         raise ValueError("chunk_size must be at least 1")
 
-    @F.pandas_udf(T.ArrayType(_CHUNK))
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = pa.list_(pa.struct([("chunk_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+
+    @F.arrow_udf(T.ArrayType(_CHUNK))
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([chunk_list(t, chunk_size, compat) for t in batch], index=batch.index)
+            for chunks in chunk_blocks(batch, chunk_size, compat):
+                yield pa.array(chunks, kind)
 
-    return split(text)
+    return split(text.cast("string"))
 
 
 def explode_chunks(
