@@ -12,11 +12,13 @@ from __future__ import annotations
 import hashlib
 import re
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larkspur.session import spread
@@ -29,6 +31,11 @@ EMPTY_IMAGE = "Image bytes cannot be empty"
 BREAKER_OPEN = "circuit breaker open"
 
 RESULT_TYPE = "vector array<float>, success boolean, error_message string, cause string, batch_size int"
+_RESULT = pa.schema([("vector", pa.list_(pa.float32())), ("success", pa.bool_()), ("error_message", pa.string()),
+                     ("cause", pa.string()), ("batch_size", pa.int32())])
+
+#: Outcomes that a task holds at a time.
+BLOCK_ROWS = 256
 
 # Errors of the program itself: another attempt cannot help.
 NEVER_RETRIED = (TypeError, AttributeError, KeyError)
@@ -141,13 +148,14 @@ class _Caller:
                 raise
             return [(None, EMBED_FAILED, f"{type(error).__name__}: {error}")] * len(items)
 
-    def run(self, items: list) -> list[tuple]:
+    def run(self, items: Iterable) -> list[tuple]:
         """``(vector, error_message, cause, batch_size)`` for each input."""
-        out: list[tuple] = []
-        pos = 0
-        while pos < len(items):
-            size = self.size
-            batch = items[pos:pos + size]
+        return list(self.results(items))
+
+    def results(self, items: Iterable) -> Iterator[tuple]:
+        """The same one by one; inputs are taken call by call."""
+        items = iter(items)
+        while batch := list(islice(items, size := self.size)):
             relaxed = self.policy.fallback_individual and len(batch) > 1
             strict = self.policy
             if relaxed:
@@ -157,25 +165,34 @@ class _Caller:
             ok = rows[0][1] is None
             if not ok and self.policy.fallback_individual and len(batch) > 1:
                 rows = [self._attempt([item])[0] for item in batch]
-            out.extend((*row, size) for row in rows)
             self.size = next_batch_size(size, ok, self.policy)
-            pos += len(batch)
-        return out
+            yield from ((*row, size) for row in rows)
+
 
+def _outcomes(caller: _Caller, items: Iterable, invalid: Callable[[object], str | None]) -> Iterator[tuple]:
+    """``RESULT_TYPE`` of each item, in order; no more items are held than one call takes, and invalid ones between."""
+    problems: deque[str | None] = deque()
 
-def _run_batch(caller: _Caller, items: list, invalid: Callable[[object], str | None]) -> pd.DataFrame:
-    problems = [invalid(item) for item in items]
-    good = [item for item, problem in zip(items, problems) if problem is None]
-    done = iter(caller.run(good))
-    rows = []
+    def valid() -> Iterator:
+        for item in items:
+            problems.append(invalid(item))
+            if problems[-1] is None:
+                yield item
+
+    for vector, message, cause, size in caller.results(valid()):
+        while (problem := problems.popleft()) is not None:
+            yield None, False, problem, None, None
+        yield vector, message is None, message, cause, size
     for problem in problems:
-        if problem is not None:
-            rows.append((None, False, problem, None, None))
-        else:
-            vector, message, cause, size = next(done)
-            rows.append((vector, message is None, message, cause, size))
-    frame = pd.DataFrame(rows, columns=["vector", "success", "error_message", "cause", "batch_size"])
-    return frame.astype({"batch_size": "Int32"})
+        yield None, False, problem, None, None
+
+
+def _run_batch(caller: _Caller, items: Iterable, invalid: Callable[[object], str | None]) -> Iterator[pa.StructArray]:
+    """Outcomes of one Arrow batch, ``BLOCK_ROWS`` at a time."""
+    rows = _outcomes(caller, items, invalid)
+    while block := list(islice(rows, BLOCK_ROWS)):
+        columns = [pa.array(column, field.type, from_pandas=True) for column, field in zip(zip(*block), _RESULT)]
+        yield pa.StructArray.from_arrays(columns, fields=list(_RESULT))
 
 
 def _blank_text(text) -> str | None:
@@ -198,22 +215,23 @@ def _task_interval(spark: SparkSession, policy: EmbedPolicy) -> float:
 
 
 def _embed_struct(factory, policy, interval, invalid) -> Callable[..., Column]:
-    @F.pandas_udf(RESULT_TYPE)
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT_TYPE)
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         caller = _Caller(factory(), policy, interval)
         for batch in batches:
-            yield _run_batch(caller, list(batch), invalid)
+            yield from _run_batch(caller, (item.as_py() for item in batch), invalid)
 
     return embed.asNondeterministic()
 
 
 def _embed_pair_struct(factory, policy, interval) -> Callable[..., Column]:
-    @F.pandas_udf(RESULT_TYPE)
-    def embed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT_TYPE)
+    def embed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         function = factory()
         caller = _Caller(lambda pairs: function([p[0] for p in pairs], [p[1] for p in pairs]), policy, interval)
         for images, texts in batches:
-            yield _run_batch(caller, list(zip(images, texts)), lambda pair: _empty_image(pair[0]))
+            pairs = ((image.as_py(), text.as_py()) for image, text in zip(images, texts))
+            yield from _run_batch(caller, pairs, lambda pair: _empty_image(pair[0]))
 
     return embed.asNondeterministic()
 

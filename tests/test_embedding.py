@@ -45,6 +45,18 @@ def test_batches_are_bounded():
     assert [len(c) for c in script.calls] == [3, 3, 1] and len(rows) == 7 and all(r[1] is None for r in rows)
 
 
+def test_few_outcomes_are_held_at_a_time():
+    taken, script = [], Script()
+    items = (taken.append(i) or ("" if i % 5 == 0 else "x" * i) for i in range(2000))
+    blocks = e._run_batch(caller(script), items, lambda text: None if text else "empty")
+    first = next(blocks)
+    assert len(first) == e.BLOCK_ROWS and len(taken) < e.BLOCK_ROWS + 20
+    rows = [*first.to_pylist(), *(r for b in blocks for r in b.to_pylist())]
+    assert [r["vector"] for r in rows] == [None if i % 5 == 0 else [i] for i in range(2000)]
+    assert [r["error_message"] for r in rows] == ["empty" if i % 5 == 0 else None for i in range(2000)]
+    assert all(len(c) == 12 for c in script.calls[:-1])
+
+
 def test_a_failed_batch_fails_its_keys_only():
     rows = caller(Script([None, OSError("down")]), batch_size=2).run(list("abcdef"))
     assert [r[1] for r in rows] == [None, None, e.EMBED_FAILED, e.EMBED_FAILED, None, None]
