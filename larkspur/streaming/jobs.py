@@ -132,9 +132,14 @@ class _Lifetime(StatefulProcessor):
         self.handle, self.last = handle, handle.getValueState("last", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(self.event_time, kind="stable")
+        # Every call of the state is a message to the JVM, so none is made whose answer is known.
+        parts = list(rows)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts)
         times = batch[self.event_time].dt.as_unit("us").astype("int64").to_numpy()
-        last = self.last.get()[0] if self.last.exists() else None
+        order = np.argsort(times, kind="stable")
+        times = times[order]
+        held = self.last.get()
+        before = last = None if held is None else held[0]
         chosen, at = [], 0
         while at < len(times):
             if last is None or times[at] >= last + self.lifetime:
@@ -143,15 +148,19 @@ class _Lifetime(StatefulProcessor):
             # The next row that can pass is the first one after the lifetime.
             at = max(at + 1, int(np.searchsorted(times, last + self.lifetime)))
         if chosen:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if before is not None:
+                self.handle.deleteTimer(self._over(before))
             self.last.update((last,))
-            self.handle.registerTimer((last + self.lifetime) // 1000 + 1)
-        yield batch.iloc[chosen][self.columns]
+            self.handle.registerTimer(self._over(last))
+            yield batch.iloc[order[chosen]][self.columns]
+
+    def _over(self, last: int) -> int:
+        """The only timer of a key, in milliseconds."""
+        return (last + self.lifetime) // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.last.clear()
-        yield pd.DataFrame(columns=self.columns)
+        return iter(())
 
     def close(self) -> None:
         pass
