@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from larkspur.llm.letter_words import LetterWords
+
 #: Chunks remembered by a worker; more are encoded each time, which changes no result.
 REMEMBERED = 300_000
 #: A space before a visible character always begins a new token, so chunks cut there are encoded alone.
@@ -27,8 +29,11 @@ class _Chunks(dict):
 
     def __init__(self, encoder: ChunkEncoder, prefix: str):
         self.encoder, self.prefix = encoder, prefix
+        self.letters = LetterWords(encoder.tokenizer, prefix)
 
     def __missing__(self, part: str) -> bytes:
+        if self.letters.match(part):
+            return self.remembered(part, self.letters.ids(part))
         if self.prefix and (not part or part[0].isspace()):
             raise _Odd
         if "\n" in part:
@@ -39,7 +44,9 @@ class _Chunks(dict):
         core = part.rstrip(_MARKS)
         if core and core != part and core[-1].isalpha():
             return self[core] + self.encoder.first[part[len(core):]]
-        found = self.encoder.direct(self.prefix + part)
+        return self.remembered(part, self.encoder.direct(self.prefix + part))
+
+    def remembered(self, part: str, found: bytes) -> bytes:
         if len(self) < REMEMBERED and len(part) < 64:
             self[part] = found
         return found
